@@ -57,12 +57,14 @@ def last_parts(path: Column, n: int = 3) -> Column:
 def seconds_of_clock(text: Column, fix_hours: bool = False) -> Column:
     """Seconds of ``m:s`` or ``h:m:s`` text, -1 when it is no such text.
 
-    The hour counts as it stands; ``fix_hours`` scales it to seconds.
+    An empty part counts as 0. The hour counts as it stands; ``fix_hours``
+    scales it to seconds.
     """
     parts = F.split(text, ":")
 
     def number(i: int) -> Column:
-        return F.get(parts, F.lit(i)).try_cast("int")
+        part = F.get(parts, F.lit(i))
+        return F.when(part == "", 0).otherwise(part.try_cast("int"))
 
     hours = number(0) * (3600 if fix_hours else 1)
     value = (
@@ -75,20 +77,37 @@ def seconds_of_clock(text: Column, fix_hours: bool = False) -> Column:
 
 def register(spark: SparkSession) -> None:
     """Make the clock function callable from SQL as a temporary function."""
+    spark.sql(
+        """
+        CREATE OR REPLACE TEMPORARY FUNCTION clock_part(t STRING, i INT) RETURNS INT
+        RETURN if(get(split(t, ':'), i) = '', 0, try_cast(get(split(t, ':'), i) AS INT))
+        """
+    )
     spark.sql(
         """
         CREATE OR REPLACE TEMPORARY FUNCTION seconds_of_clock(t STRING) RETURNS INT
         RETURN coalesce(
-          CASE WHEN t IS NULL OR t = '' OR NOT t RLIKE '^[0-9:]+$' THEN -1
-               WHEN size(split(t, ':')) = 2 THEN
-                 try_cast(get(split(t, ':'), 0) AS INT) * 60 + try_cast(get(split(t, ':'), 1) AS INT)
-               WHEN size(split(t, ':')) = 3 THEN
-                 try_cast(get(split(t, ':'), 0) AS INT) + try_cast(get(split(t, ':'), 1) AS INT) * 60
-                 + try_cast(get(split(t, ':'), 2) AS INT) END, -1)
+          CASE WHEN NOT t RLIKE '^[0-9:]+$' THEN -1
+               WHEN size(split(t, ':')) = 2 THEN clock_part(t, 0) * 60 + clock_part(t, 1)
+               WHEN size(split(t, ':')) = 3
+               THEN clock_part(t, 0) + clock_part(t, 1) * 60 + clock_part(t, 2) END, -1)
         """
     )
 
 
+def round_cents(x: Column) -> Column:
+    """A non-negative double to two places, halves of the exact value to even.
+
+    ``x`` is split in two parts whose multiples by 200 are exact, so that values
+    just beside a half are not taken for one.
+    """
+    cents = F.floor(x * 100)
+    high = x.cast("float").cast("double")
+    beyond = (high * 200 - (2 * cents + 1)) + (x - high) * 200
+    up = F.when(beyond > 0, 1).when(beyond < 0, 0).otherwise(F.pmod(cents, F.lit(2)))
+    return (cents + up) / F.lit(100.0)
+
+
 def duration_seconds(n: Column, sample_rate: Column | int) -> Column:
-    """Length in seconds to two places, halves to even."""
-    return F.bround(n / sample_rate, 2)
+    """Length in seconds to two places."""
+    return round_cents(n / sample_rate)

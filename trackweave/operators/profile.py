@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 BLOCK = 4096
 _CELLS = 2_000_000
@@ -85,7 +85,8 @@ def matrix_profile(
 
     ``mp`` is the Euclidean distance to the nearest subsequence of the same
     track more than ``m / 2`` frames away and ``pi`` its position, the first one
-    on ties. ``value`` is a number or a vector of numbers per frame.
+    on ties; without any such subsequence they are infinite and -1. ``value`` is
+    a number or a vector of numbers per frame.
     """
     if block < m:
         raise ValueError("block must hold at least one window")
@@ -131,8 +132,7 @@ def matrix_profile(
             i = np.concatenate([i, np.arange(len(near_b)) + b * block])
             d2 = np.concatenate([d2, near_b])
             j = np.concatenate([j, at_b + a * block])
-        keep = np.isfinite(d2)
-        i, d2, j = i[keep], d2[keep], j[keep]
+        j = np.where(np.isfinite(d2), j, -1)
         owner = pa.array([track] * len(i), type=rows.schema.field("track").type)
         return pa.table({"track": owner, "i": i, "d2": d2, "j": j})
 
@@ -197,7 +197,8 @@ def motifs(profile: DataFrame) -> DataFrame:
     nearest = F.min(F.struct("mp", "i", "pi"))
     farthest = F.min(F.struct((-F.col("mp")).alias("far"), "i", "pi"))
     return (
-        profile.groupBy("track")
+        profile.where("pi >= 0")
+        .groupBy("track")
         .agg(nearest.alias("_m"), farthest.alias("_d"))
         .select(
             "track",
@@ -207,3 +208,21 @@ def motifs(profile: DataFrame) -> DataFrame:
             F.col("_d.pi").alias("discord_1"),
         )
     )
+
+
+def top_positions(profile: DataFrame, n_motif: int = 3, n_discord: int = 1) -> DataFrame:
+    """``(track, idx)``: the distinct places of the best motifs and discords.
+
+    The ``n_motif`` smallest and ``n_discord`` largest profile values of a track,
+    each with its nearest neighbour.
+    """
+    usable = profile.where("pi >= 0")
+    low = Window.partitionBy("track").orderBy("mp", "i")
+    high = Window.partitionBy("track").orderBy(F.desc("mp"), F.desc("i"))
+    best = usable.withColumn("_r", F.row_number().over(low)).where(F.col("_r") <= n_motif)
+    worst = usable.withColumn("_r", F.row_number().over(high)).where(F.col("_r") <= n_discord)
+    return (
+        best.unionByName(worst)
+        .select("track", F.explode(F.array("i", "pi")).alias("idx"))
+        .distinct()
+    )

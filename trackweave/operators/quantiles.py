@@ -42,15 +42,17 @@ def exact_quantiles(
         F.max("_v").alias("_max"),
         F.count(F.lit(1)).alias("_n"),
     )
-    # the sketch may miss the outermost values, so the first and last bracket are open
+    # Small groups are ranked whole. In large ones the slack of a bracket is many
+    # rows; the sketch may miss the outermost values, so the end brackets are open.
+    small = F.col("_n") <= 10 * accuracy
     bounds = brackets.select(
         *[F.col(k).alias("k" + k) for k in keys],
         "_n",
         F.array(
             *[
                 F.struct(
-                    (F.col("_min") if p <= margin else F.col("_lo")[i]).alias("lo"),
-                    (F.col("_max") if p >= 1 - margin else F.col("_hi")[i]).alias("hi"),
+                    F.when(small | F.lit(p <= margin), F.col("_min")).otherwise(F.col("_lo")[i]).alias("lo"),
+                    F.when(small | F.lit(p >= 1 - margin), F.col("_max")).otherwise(F.col("_hi")[i]).alias("hi"),
                 )
                 for i, p in enumerate(wanted)
             ]
