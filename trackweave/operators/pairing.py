@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trackweave.functions.draws import draw, draw_below, uniform
+from trackweave.functions.draws import digest, draw, draw_below, uniform
+from trackweave.functions.vectors import mix
 from trackweave.operators.numbering import group_offsets, number_shuffled, repeat_rows
 from trackweave.operators.sampling import random_offset
 
@@ -91,13 +92,13 @@ def numbered_members(df: DataFrame, group: str, seed, keys: Sequence[str]) -> Da
     ).drop("_in")
 
 
-def outside_member(seed, *keys) -> "F.Column":
+def outside_member(seed, *keys) -> Column:
     """A member number outside the own group's range, each equally likely."""
     at = F.pmod(draw(seed, *keys), F.col("n_all") - F.col("n_group"))
     return F.when(at >= F.col("group_start"), at + F.col("n_group")).otherwise(at)
 
 
-def inside_member(seed, *keys) -> "F.Column":
+def inside_member(seed, *keys) -> Column:
     """A member number of the own group."""
     return F.col("group_start") + F.pmod(draw(seed, *keys), F.col("n_group"))
 
@@ -166,3 +167,25 @@ def triplets(
     return number_shuffled(rows, [], seed, named, "index").select(
         "index", group, "a", "a_loc", "b", "b_loc", "c", "c_loc"
     )
+
+
+def mixed_up(batches: DataFrame, keys: Sequence[str], seed, weight, columns: Sequence[str]) -> DataFrame:
+    """Blend every row with another row of its batch, element by element.
+
+    Rows of a batch are put in random order and each is mixed with the next,
+    the last with the first: ``x * weight + other * (1 - weight)`` for each array
+    column. ``batches`` has the batch ``keys`` and ``slot``.
+    """
+    order = Window.partitionBy(*keys).orderBy(digest(seed, *keys, "slot"), "slot")
+    everyone = Window.partitionBy(*keys)
+    placed = batches.withColumn("_r", F.row_number().over(order) - 1).withColumn(
+        "_n", F.count(F.lit(1)).over(everyone)
+    )
+    partner = placed.select(
+        *keys, F.col("_r").alias("_to"), *[F.col(c).alias(f"_{c}") for c in columns]
+    )
+    got = placed.withColumn("_to", F.pmod(F.col("_r") + 1, F.col("_n"))).withColumn("lam", weight)
+    joined = got.join(partner, [*keys, "_to"])
+    for c in columns:
+        joined = joined.withColumn(c, mix(F.col(c), F.col(f"_{c}"), F.col("lam")))
+    return joined.select(*batches.columns, "lam")

@@ -119,11 +119,30 @@ def primary_fragments(
 
 
 def triplet_table(
-    records: DataFrame, taxonomy: DataFrame, n_samples: int, seed, window_sec: float = 7
+    records: DataFrame,
+    taxonomy: DataFrame,
+    n_samples: int,
+    seed,
+    window_sec: float = 7,
+    raw_units: bool = False,
 ) -> DataFrame:
-    """Sampled triplets over the families of the tracks."""
+    """Sampled triplets over the families of the tracks, places in seconds.
+
+    ``raw_units`` leaves motif places in frames.
+    """
+
+    def seconds(place: str):
+        start, _ = frame_to_data(
+            F.col(place), F.col("window"), F.col("n_frames"), F.col("duration_seconds")
+        )
+        return F.col(place) if raw_units else start
+
     known = records.join(taxonomy.select("track", "family"), "track", "left").select(
-        "track", "family", "motif_0", "motif_1", "duration_seconds"
+        "track",
+        "family",
+        seconds("motif_0").alias("motif_0"),
+        seconds("motif_1").alias("motif_1"),
+        "duration_seconds",
     )
     return triplets(known, n_samples, seed, "family", window_sec)
 
