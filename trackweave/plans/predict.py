@@ -24,11 +24,13 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 def centroid_scores(df: DataFrame, keys: Sequence[str], vector: str, centres: DataFrame) -> DataFrame:
     """``(keys, scores)``: the inner product with every class mean, by class order."""
-    paired = with_each(df.select(*keys, vector), centres)
+    paired = with_each(
+        df.select(*keys, vector), centres.withColumnsRenamed({"label": "_class", "centroid": "_centre"})
+    )
     return (
-        paired.select(*keys, "label", F.round(dot(F.col(vector), F.col("centroid")), 9).alias("s"))
+        paired.select(*keys, "_class", F.round(dot(F.col(vector), F.col("_centre")), 9).alias("s"))
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("label", "s"))).alias("_s"))
+        .agg(F.array_sort(F.collect_list(F.struct("_class", "s"))).alias("_s"))
         .select(*keys, F.transform("_s", lambda x: x["s"]).alias("scores"))
     )
 
