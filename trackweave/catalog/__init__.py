@@ -1,6 +1,14 @@
 """All registered queries with the SQL that checks them."""
 
-from trackweave.catalog import relational, samples, scoring, signals  # noqa: F401
+from trackweave.catalog import (  # noqa: F401
+    files,
+    learning,
+    relational,
+    samples,
+    scoring,
+    signals,
+    streams,
+)
 from trackweave.catalog.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
