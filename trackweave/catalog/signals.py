@@ -17,7 +17,15 @@ from trackweave.operators.pairing import neighbour_pairs, window_neighbours
 from trackweave.operators.profile import cross_profile, matrix_profile, motifs, top_positions
 from trackweave.operators.windows import cut, fragments, slice_windows
 from trackweave.plans import motif
-from trackweave.sources.tracks import chunked, frames, lengths, table, taxonomy
+from trackweave.sources.tracks import (
+    chunked,
+    frames,
+    kind_frames,
+    lengths,
+    table,
+    taxonomy,
+    vector_frames,
+)
 
 CHUNK = 32
 M = 8
@@ -167,20 +175,22 @@ _VECTOR_FRAMES = """vframes AS (
           SELECT *, row_number() OVER (PARTITION BY track, i ORDER BY d2, j) AS r FROM bothways) WHERE r = 1""",
 )
 def j5_vectors(spark, sf):
-    from trackweave.operators.numbering import number_rows
-
-    events = table(spark, sf, "events").select(
-        F.col("user_id").alias("track"),
-        "ts",
-        "event_id",
-        F.array(
-            "value",
-            F.get_json_object("props", "$.k").cast("double"),
-            (F.col("event_type") == "purchase").cast("double") * 50,
-        ).alias("frame"),
-    )
-    numbered = number_rows(events, ["track"], ["ts", "event_id"], F.to_date("ts"), "pos")
-    return matrix_profile(numbered, 6, "frame").withColumn("mp", F.round("mp", 6))
+    return matrix_profile(vector_frames(spark, sf), 6, "frame").withColumn("mp", F.round("mp", 6))
+
+
+_KIND_FRAMES = """kframes AS (
+  SELECT event_type AS track, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos, value
+  FROM events),
+sizes AS (SELECT track, count(*) AS n FROM kframes GROUP BY track)"""
+
+
+@query(
+    "j5_matrix_profile_long_tracks",
+    f"WITH {_KIND_FRAMES}, {profile(50, 'kframes')} SELECT track, i, round(mp, 6) AS mp, pi FROM profile",
+)
+def j5_long(spark, sf):
+    """Few long tracks, each computed as many pairs of blocks."""
+    return matrix_profile(kind_frames(spark, sf), 50, block=512).withColumn("mp", F.round("mp", 6))
 
 
 _WINDOWS16 = """w AS (
@@ -222,7 +232,7 @@ def reference_windows(spark: SparkSession, sf: str, windows: DataFrame) -> DataF
 def reference_profiles(spark: SparkSession, sf: str) -> DataFrame:
     windows = query_windows(spark, sf)
     refs = reference_windows(spark, sf, windows)
-    pairs = with_each(windows.select("track", "win", "q_frames"), refs)
+    pairs = with_each(windows.select("track", "win", "q_frames"), refs, by=["track", "win"])
     return cross_profile(pairs, 4, ["track", "win", "ref"])
 
 

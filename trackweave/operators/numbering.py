@@ -28,32 +28,26 @@ def number_rows(
     ``bucket`` must not decrease along the order. ``groups`` may be empty for a
     numbering over the whole table. ``total`` names a column for the group size.
     """
-    keys = [*groups, "_bucket"]
-    tagged = df.withColumn("_bucket", bucket)
+    # one struct key: null groups match, and the join reuses the window's shuffle
+    tagged = df.withColumn("_key", F.struct(*groups, bucket.alias("_bucket")))
     before = (
-        Window.partitionBy(*groups)
-        .orderBy("_bucket")
+        Window.partitionBy(*[F.col("_key")[g] for g in groups])
+        .orderBy(F.col("_key")["_bucket"])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     whole = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     extra = [] if total is None else [F.sum("_n").over(whole).alias(total)]
     offsets = (
-        tagged.groupBy(*keys)
+        tagged.groupBy("_key")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-            *extra,
-        )
-    )
-    inside = tagged.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        .select("_key", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), *extra)
     )
-    match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    inside = Window.partitionBy("_key").orderBy(*order)
     return (
-        inside.join(offsets, match)
+        tagged.withColumn("_rn", F.row_number().over(inside))
+        .join(offsets, "_key")
         .withColumn(name, (F.col("_before") + F.col("_rn") - 1).cast("bigint"))
-        .drop("_bucket", "_rn", "_before", *[f"_k{i}" for i in range(len(keys))])
+        .drop("_key", "_rn", "_before")
     )
 
 
@@ -112,13 +106,17 @@ def group_offsets(df: DataFrame, group: str) -> DataFrame:
     )
 
 
-def with_each(rows: DataFrame, small: DataFrame, salts: int = 32) -> DataFrame:
+def with_each(
+    rows: DataFrame, small: DataFrame, salts: int = 32, by: Sequence[str] | None = None
+) -> DataFrame:
     """Pair every row with every row of a short list, as an equi-join.
 
-    The list is repeated once per salt and rows carry a salt, so Spark can
-    broadcast the list where it is small and otherwise shuffle both sides evenly.
+    The list is repeated once per salt and rows carry a salt out of the columns
+    ``by``, so Spark can broadcast the list where it is small and otherwise
+    shuffle both sides evenly.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    salt = F.pmod(F.xxhash64(*(by or rows.columns)), F.lit(salts)).cast("int")
+    salted = rows.withColumn("_salt", salt)
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, "_salt").drop("_salt")
 

@@ -15,47 +15,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 BLOCK = 4096
-_CELLS = 2_000_000
+_CELLS = 250_000
 
 
 def window_distances(a: np.ndarray, b: np.ndarray, m: int) -> np.ndarray:
     """Squared distances of all length-``m`` windows of ``a`` and ``b``.
 
     The frame distances are summed along diagonals by doubling the width, which
-    needs no subtraction: equal passages come out as exactly 0.
+    needs no subtraction: equal passages come out as exactly 0, and a distance
+    does not depend on the block it is computed in.
     """
-    d = np.zeros((len(a), len(b)))
-    for x, y in zip(a.T, b.T):
-        d += np.square(x[:, None] - y[None, :])
+    part = _frame_distances(a, b)
     rows, cols = len(a) - m + 1, len(b) - m + 1
-    total, done, width, part = None, 0, 1, d
-    while done < m:
+    total, done, width, spare = None, 0, 1, None
+    while True:
         if m & width:
             piece = part[done : done + rows, done : done + cols]
-            total = piece.copy() if total is None else total + piece
+            total = piece.copy() if total is None else np.add(total, piece, out=total)
             done += width
+        if done == m:
+            return total
+        shape = (len(part) - width, part.shape[1] - width)
+        into = np.empty(shape) if spare is None else spare[: shape[0], : shape[1]]
+        spare, part = part, np.add(part[: shape[0], : shape[1]], part[width:, width:], out=into)
         width *= 2
-        if done < m:
-            h = width // 2
-            part = part[: part.shape[0] - h, : part.shape[1] - h] + part[h:, h:]
-    return total
 
 
-def nearest_in_tile(
-    a: np.ndarray, b: np.ndarray, m: int, shift: int | None, zone: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Nearest windows both ways; ``shift`` is the start of b minus that of a."""
+def _frame_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of single frames, a few rows at a time to stay in cache."""
+    out = np.empty((len(a), len(b)))
+    step = max(1, 32_768 // len(b))
+    spare = np.empty((step, len(b)))
+    columns = [np.ascontiguousarray(y) for y in b.T]
+    for lo in range(0, len(a), step):
+        some = a[lo : lo + step]
+        part, d = out[lo : lo + step], spare[: len(some)]
+        np.subtract(some[:, :1], columns[0], out=part)
+        np.multiply(part, part, out=part)
+        for k in range(1, len(columns)):
+            np.subtract(some[:, k : k + 1], columns[k], out=d)
+            np.multiply(d, d, out=d)
+            np.add(part, d, out=part)
+    return out
+
+
+def _strip(m: int, cols: int) -> int:
+    """Windows per strip: about ``_CELLS`` distances, and not mostly overlap."""
+    return max(2 * m, 128, _CELLS // cols - m + 1)
+
+
+def nearest_between(a: np.ndarray, b: np.ndarray, m: int) -> tuple[np.ndarray, ...]:
+    """Nearest window of ``b`` for each of ``a`` and the other way round."""
     rows, cols = len(a) - m + 1, len(b) - m + 1
-    step = max(1, _CELLS // max(len(b), 1) - m + 1)
-    near_a, at_a = np.full(rows, np.inf), np.zeros(rows, dtype=np.int64)
+    near_a, at_a = np.empty(rows), np.empty(rows, dtype=np.int64)
     near_b, at_b = np.full(cols, np.inf), np.zeros(cols, dtype=np.int64)
-    span = np.arange(cols)
+    span, step = np.arange(cols), _strip(m, len(b))
     for lo in range(0, rows, step):
         hi = min(lo + step, rows)
         d = window_distances(a[lo : hi + m - 1], b, m)
-        if shift is not None:
-            lag = span[None, :] + shift - np.arange(lo, hi)[:, None]
-            d[np.abs(lag) <= zone] = np.inf
         at = d.argmin(axis=1)
         near_a[lo:hi], at_a[lo:hi] = d[np.arange(hi - lo), at], at
         at = d.argmin(axis=0)
@@ -65,6 +82,51 @@ def nearest_in_tile(
     return near_a, at_a, near_b, at_b
 
 
+def nearest_within(a: np.ndarray, m: int, zone: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest other window of ``a`` more than ``zone`` windows away.
+
+    Distances are symmetric: a strip only looks at windows from its own start
+    on, and serves the later ones as well.
+    """
+    n = len(a) - m + 1
+    near, at = np.full(n, np.inf), np.full(n, -1, dtype=np.int64)
+    step = _strip(m, len(a))
+    for lo in range(0, n, step):
+        hi = min(lo + step, n)
+        d = window_distances(a[lo : hi + m - 1], a[lo:], m)
+        lag = np.arange(n - lo)[None, :] - np.arange(hi - lo)[:, None]
+        d[np.abs(lag) <= zone] = np.inf
+        # earlier strips came with earlier neighbours, so only less is better
+        j = d.argmin(axis=1)
+        best = d[np.arange(hi - lo), j]
+        closer = best < near[lo:hi]
+        near[lo:hi][closer], at[lo:hi][closer] = best[closer], j[closer] + lo
+        if hi < n:
+            d = d[:, hi - lo :]
+            i = d.argmin(axis=0)
+            best = d[i, np.arange(n - hi)]
+            closer = best < near[hi:]
+            near[hi:][closer], at[hi:][closer] = best[closer], i[closer] + lo
+    return near, at
+
+
+def nearest_in_tile(
+    a: np.ndarray, b: np.ndarray, m: int, gap: int, zone: int
+) -> tuple[np.ndarray, ...]:
+    """Nearest windows of two neighbouring blocks, ``b`` starting ``gap`` later.
+
+    Pairs at most ``zone`` apart, which exist near the common border, are not
+    counted.
+    """
+    if gap - (len(a) - m) > zone:
+        return nearest_between(a, b, m)
+    d = window_distances(a, b, m)
+    lag = np.arange(d.shape[1])[None, :] + gap - np.arange(len(d))[:, None]
+    d[np.abs(lag) <= zone] = np.inf
+    at_a, at_b = d.argmin(axis=1), d.argmin(axis=0)
+    return d[np.arange(len(d)), at_a], at_a, d[at_b, np.arange(d.shape[1])], at_b
+
+
 def _matrix(column) -> np.ndarray:
     """One list of frame vectors as a matrix."""
     frames = column.values
@@ -124,14 +186,16 @@ def matrix_profile(
         parts = {
             blk.as_py(): _matrix(f) for blk, f in zip(rows.column("blk"), rows.column("_f"))
         }
-        near_a, at_a, near_b, at_b = nearest_in_tile(
-            parts[a], parts[b], m, (b - a) * block, zone
-        )
-        i, d2, j = np.arange(len(near_a)) + a * block, near_a, at_a + b * block
-        if a != b:
-            i = np.concatenate([i, np.arange(len(near_b)) + b * block])
-            d2 = np.concatenate([d2, near_b])
-            j = np.concatenate([j, at_b + a * block])
+        if a == b:
+            d2, j = nearest_within(parts[a], m, zone)
+            i, j = np.arange(len(d2)) + a * block, j + a * block
+        else:
+            near_a, at_a, near_b, at_b = nearest_in_tile(
+                parts[a], parts[b], m, (b - a) * block, zone
+            )
+            i = np.concatenate([np.arange(len(near_a)) + a * block, np.arange(len(near_b)) + b * block])
+            d2 = np.concatenate([near_a, near_b])
+            j = np.concatenate([at_a + b * block, at_b + a * block])
         j = np.where(np.isfinite(d2), j, -1)
         owner = pa.array([track] * len(i), type=rows.schema.field("track").type)
         return pa.table({"track": owner, "i": i, "d2": d2, "j": j})
@@ -165,7 +229,7 @@ def cross_profile(pairs: DataFrame, m: int, keys: list[str]) -> DataFrame:
                 q, r = _matrix(queries[row]), _matrix(refs[row])
                 if len(q) < m or len(r) < m:
                     continue
-                near, at, _, _ = nearest_in_tile(q, r, m, None, 0)
+                near, at, _, _ = nearest_between(q, r, m)
                 picks.append(np.full(len(near), row))
                 out_i.append(np.arange(len(near)))
                 out_d.append(np.sqrt(near))

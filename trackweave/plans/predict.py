@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from trackweave.functions.project import linear_map
 from trackweave.functions.vectors import dot
 from trackweave.operators.labels import classes_above, fill_grid, top_classes
 from trackweave.operators.metrics import mean_vector
@@ -22,11 +24,22 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     )
 
 
-def centroid_scores(df: DataFrame, keys: Sequence[str], vector: str, centres: DataFrame) -> DataFrame:
-    """``(keys, scores)``: the inner product with every class mean, by class order."""
-    paired = with_each(
-        df.select(*keys, vector), centres.withColumnsRenamed({"label": "_class", "centroid": "_centre"})
-    )
+def centroid_scores(
+    df: DataFrame, keys: Sequence[str], vector: str, centres: DataFrame, max_classes: int = 10_000
+) -> DataFrame:
+    """``(keys, scores)``: the inner product with every class mean, by class order.
+
+    Up to ``max_classes`` means are a model that goes to the tasks; more of them
+    stay a table that the rows are joined with.
+    """
+    model = centres.orderBy("label").limit(max_classes + 1).collect()
+    if len(model) <= max_classes:
+        weights = np.array([r.centroid for r in model]).T
+        return linear_map(df, keys, vector, weights).select(
+            *keys, F.transform("z", lambda v: F.round(v, 9)).alias("scores")
+        )
+    named = centres.withColumnsRenamed({"label": "_class", "centroid": "_centre"})
+    paired = with_each(df.select(*keys, vector), named, by=keys)
     return (
         paired.select(*keys, "_class", F.round(dot(F.col(vector), F.col("_centre")), 9).alias("s"))
         .groupBy(*keys)
@@ -61,7 +74,8 @@ def evaluation_grid(windows: DataFrame, classes: DataFrame, truth: str | None =
 
     The window at time 0 is left out.
     """
-    grid = with_each(windows.where("end_time <> 0"), classes.select(F.col("label").alias("bird")))
+    names = classes.select(F.col("label").alias("bird"))
+    grid = with_each(windows.where("end_time <> 0"), names, by=["file_id", "end_time"])
     keyed = grid.withColumn(
         "row_id", F.concat_ws("_", F.col("file_id").cast("string"), "bird", F.col("end_time").cast("string"))
     )

@@ -17,19 +17,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(track, pos, value, kind)``: events in time order per user.
 
-    Days are the numbering buckets, so one very long track is ordered in parts.
+    Minutes are the numbering buckets, so one very long track is ordered in parts.
     """
     events = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("track"),
-        "ts",
-        "event_id",
-        F.col("event_type").alias("kind"),
-        "value",
+        F.col("user_id").alias("track"), "ts", "event_id", F.col("event_type").alias("kind"), "value"
     )
-    numbered = number_rows(events, ["track"], ["ts", "event_id"], F.to_date("ts"), "pos")
+    numbered = number_rows(events, ["track"], ["ts", "event_id"], F.date_trunc("minute", "ts"), "pos")
     return numbered.select("track", "pos", "value", "kind")
 
 
+def kind_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(track, pos, value)`` with the event types as few, long tracks."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("track"), "ts", "event_id", "value"
+    )
+    minute = F.date_trunc("minute", "ts")
+    return number_rows(events, ["track"], ["ts", "event_id"], minute, "pos").drop("ts", "event_id")
+
+
+def vector_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(track, pos, frame)`` with three numbers per frame."""
+    frame = F.array(
+        "value",
+        F.get_json_object("props", "$.k").cast("double"),
+        (F.col("event_type") == "purchase").cast("double") * 50,
+    )
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("track"), "ts", "event_id", frame.alias("frame")
+    )
+    minute = F.date_trunc("minute", "ts")
+    return number_rows(events, ["track"], ["ts", "event_id"], minute, "pos").drop("ts", "event_id")
+
+
 def lengths(samples: DataFrame) -> DataFrame:
     """``(track, n)``: samples per track."""
     return samples.groupBy("track").agg((F.max("pos") + 1).alias("n"))
