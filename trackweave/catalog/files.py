@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from trackweave.catalog.registry import query
 from trackweave.catalog.relational import bare_url, records, scored_names
 from trackweave.catalog.sqltext import FRAMES, profile
-from trackweave.operators.profile import matrix_profile
 from trackweave.plans import motif
 from trackweave.session import work_path
 from trackweave.sources import files
-from trackweave.sources.tracks import frames, lengths, table
+from trackweave.sources.tracks import frames, lengths, stored_frames, table
 
 _BARE = "regexp_replace(url, '^https?://', '')"
 
@@ -91,8 +90,8 @@ def s5(spark, sf):
         lists AS""", 1),
 )
 def s6(spark, sf):
-    signal = frames(spark, sf)
-    mp = matrix_profile(signal, 60)
+    signal = stored_frames(spark, sf)
+    mp = motif.stored_profile(signal, 60)
     whole = motif.consolidate(motif.track_records(lengths(signal), mp, 60), mp, part=8)
     finite = F.filter("mp", lambda v: v < float("inf"))
     return whole.select(

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackweave.catalog.registry import query
-from trackweave.catalog.sqltext import FRAMES, TAXONOMY, digest, profile, shuffled
+from trackweave.catalog.sqltext import FRAMES, TAXONOMY, profile, shuffled
 from trackweave.functions import scalar
-from trackweave.functions.draws import digest as digest_of
 from trackweave.operators import labels, metrics, sampling
-from trackweave.operators.numbering import number_shuffled, with_each
-from trackweave.operators.profile import matrix_profile
+from trackweave.operators.numbering import with_each
 from trackweave.plans import motif
-from trackweave.sources.tracks import frames, lengths, table, taxonomy
+from trackweave.sources.tracks import frames, lengths, stored_frames, table, taxonomy
 
 _BARE = "regexp_replace(url, '^https?://', '')"
 _SCORED = "scored AS (SELECT n_name AS label FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')"
@@ -194,7 +192,7 @@ def p12(spark, sf):
 
 
 def records(spark: SparkSession, sf: str, m: int = 8) -> DataFrame:
-    return motif.extract(frames(spark, sf), m)
+    return motif.extract(stored_frames(spark, sf), m)
 
 
 @query(
@@ -527,7 +525,7 @@ def f1(spark, sf):
         FROM frames JOIN sizes USING (track)""",
 )
 def f2(spark, sf):
-    signal = frames(spark, sf)
+    signal = stored_frames(spark, sf)
     start, end = scalar.frame_to_data(
         F.col("pos"), F.lit(8), F.col("n"), F.col("n") * 3200, 2
     )
@@ -544,7 +542,7 @@ def f2(spark, sf):
         FROM frames JOIN sizes USING (track)""",
 )
 def f3(spark, sf):
-    signal = frames(spark, sf)
+    signal = stored_frames(spark, sf)
     low, high = scalar.centred_range(F.col("pos"), F.col("n") * 441, F.col("n"), F.lit(7))
     return signal.join(lengths(signal), "track").select(
         "track", "pos", low.alias("low"), high.alias("high")

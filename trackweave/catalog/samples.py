@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackweave.catalog.registry import query
-from trackweave.catalog.relational import records, scored_names
+from trackweave.catalog.relational import _SCORED, records, scored_names
 from trackweave.catalog.signals import (
     CHUNK,
     M,
@@ -16,18 +16,17 @@ from trackweave.catalog.signals import (
     slices_sql,
     windows10,
 )
-from trackweave.catalog.relational import _SCORED
 from trackweave.catalog.sqltext import FRAMES, TAXONOMY, digest, draw, profile, shuffled, uniform
 from trackweave.functions import vectors
 from trackweave.functions.beta import beta
-from trackweave.functions.draws import draw_below, uniform as uniform_of
+from trackweave.functions.draws import uniform as uniform_of
 from trackweave.functions.scalar import frame_to_data
 from trackweave.operators import batches, labels, pairing, sampling
 from trackweave.operators.numbering import number_shuffled
 from trackweave.operators.profile import matrix_profile
 from trackweave.operators.windows import fragments, slice_windows
 from trackweave.plans import motif, pairs
-from trackweave.sources.tracks import chunked, frames, lengths, table, taxonomy
+from trackweave.sources.tracks import chunked, lengths, stored_frames, table, taxonomy
 
 # groups and numbered members of a table known(key, family, ...)
 
@@ -406,7 +405,7 @@ _PAIR_WINDOWS = f"""{slices_sql(10, 0, None, "right-align")},
 
 
 def pair_batches(spark: SparkSession, sf: str) -> DataFrame:
-    signal_ = frames(spark, sf)
+    signal_ = stored_frames(spark, sf)
     total = F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6).alias("total")
     windows = slice_windows(
         chunked(signal_, CHUNK), lengths(signal_), CHUNK, 10, padding="right-align"
@@ -457,7 +456,7 @@ def l15(spark, sf):
         SELECT species AS label, f.track, off, value FROM fragment f JOIN chosen c ON c.track = f.track""",
 )
 def l20(spark, sf):
-    signal_ = frames(spark, sf)
+    signal_ = stored_frames(spark, sf)
     chunks, sizes = chunked(signal_, CHUNK), lengths(signal_)
     recs = motif.track_records(sizes, matrix_profile(signal_, 40), 40)
     known = recs.join(taxonomy(spark, sf).select("track", F.col("species").alias("label")), "track")

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackweave.catalog.registry import query
 from trackweave.catalog.samples import inside_sql, members_sql, outside_sql
-from trackweave.catalog.sqltext import FRAMES, draw
+from trackweave.catalog.sqltext import draw
 from trackweave.functions import vectors
 from trackweave.functions.project import linear_map
 from trackweave.operators import labels, metrics, pairing, sampling
 from trackweave.operators.numbering import with_each
 from trackweave.plans import predict
-from trackweave.sources.tracks import frames, table, taxonomy
+from trackweave.sources.tracks import table
 
 NOISE = 63
 

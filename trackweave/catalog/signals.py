@@ -7,21 +7,21 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackweave.catalog.registry import query
-from trackweave.catalog.relational import scored_names
 from trackweave.catalog.sqltext import FRAMES, TAXONOMY, profile, shuffled, uniform
-from trackweave.functions import scalar, vectors
+from trackweave.functions import vectors
 from trackweave.functions.draws import uniform as uniform_of
-from trackweave.operators import batches, labels, sampling
+from trackweave.operators import batches, labels
 from trackweave.operators.numbering import number_shuffled, with_each
 from trackweave.operators.pairing import neighbour_pairs, window_neighbours
-from trackweave.operators.profile import cross_profile, matrix_profile, motifs, top_positions
-from trackweave.operators.windows import cut, fragments, slice_windows
+from trackweave.operators.profile import cross_profile, matrix_profile, motifs
+from trackweave.operators.windows import fragments, slice_windows
 from trackweave.plans import motif
 from trackweave.sources.tracks import (
     chunked,
     frames,
     kind_frames,
     lengths,
+    stored_frames,
     table,
     taxonomy,
     vector_frames,
@@ -33,7 +33,7 @@ M = 8
 
 def signal(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The chunked signal and its lengths."""
-    samples = frames(spark, sf).select("track", "pos", "value")
+    samples = stored_frames(spark, sf).select("track", "pos", "value")
     return chunked(samples, CHUNK), lengths(samples)
 
 
@@ -152,7 +152,7 @@ def w8(spark, sf):
 
 @query("j5_matrix_profile", f"WITH {FRAMES}, {profile(M)} SELECT track, i, round(mp, 6) AS mp, pi FROM profile")
 def j5(spark, sf):
-    return matrix_profile(frames(spark, sf), M).withColumn("mp", F.round("mp", 6))
+    return matrix_profile(stored_frames(spark, sf), M).withColumn("mp", F.round("mp", 6))
 
 
 _VECTOR_FRAMES = """vframes AS (
@@ -263,7 +263,7 @@ def a9(spark, sf):
 
 @query("a8_motif_and_discord", f"WITH {FRAMES}, {profile(M)} SELECT * FROM motifs")
 def a8(spark, sf):
-    return motifs(matrix_profile(frames(spark, sf), M))
+    return motifs(matrix_profile(stored_frames(spark, sf), M))
 
 
 _NEIGHBOURS = """votes AS (
@@ -277,7 +277,7 @@ _NEIGHBOURS = """votes AS (
     f"WITH {FRAMES}, {profile(M)}, {_NEIGHBOURS} SELECT track, win, nbr FROM neighbours",
 )
 def a10(spark, sf):
-    return window_neighbours(matrix_profile(frames(spark, sf), M), 10)
+    return window_neighbours(matrix_profile(stored_frames(spark, sf), M), 10)
 
 
 @query(
@@ -290,10 +290,12 @@ def a10(spark, sf):
         JOIN wins b ON b.track = n.track AND b.win_idx = n.nbr""",
 )
 def j7(spark, sf):
-    chunks, sizes = signal(spark, sf)
+    signal_ = stored_frames(spark, sf)
     total = F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6).alias("total")
-    windows = slice_windows(chunks, sizes, CHUNK, 10, padding="right-align").select("track", "win_idx", total)
-    return neighbour_pairs(window_neighbours(matrix_profile(frames(spark, sf), M), 10), windows)
+    windows = slice_windows(
+        chunked(signal_, CHUNK), lengths(signal_), CHUNK, 10, padding="right-align"
+    ).select("track", "win_idx", total)
+    return neighbour_pairs(window_neighbours(matrix_profile(signal_, M), 10), windows)
 
 
 _TOP = """ranked AS (
@@ -310,14 +312,14 @@ _TOP = """ranked AS (
         FROM sizes LEFT JOIN tops USING (track)""",
 )
 def t2(spark, sf):
-    signal_ = frames(spark, sf)
-    mp = matrix_profile(signal_, 40)
+    signal_ = stored_frames(spark, sf)
+    mp = motif.stored_profile(signal_, 40)
     return motif.top_places(motif.track_records(lengths(signal_), mp, 40), mp)
 
 
 @query("l12_motif_extraction", f"WITH {FRAMES}, {profile(M)} SELECT * FROM records")
 def l12(spark, sf):
-    return motif.extract(frames(spark, sf), M)
+    return motif.extract(stored_frames(spark, sf), M)
 
 
 # fragments
@@ -371,7 +373,7 @@ def f4(spark, sf):
         FROM places p JOIN frames f ON f.track = p.track AND pos >= start AND pos < start + 6""",
 )
 def l14(spark, sf):
-    signal_ = frames(spark, sf)
+    signal_ = stored_frames(spark, sf)
     chunks, sizes = chunked(signal_, CHUNK), lengths(signal_)
     recs = motif.track_records(sizes, matrix_profile(signal_, M), M)
     return motif.place_fragments(recs, chunks, sizes, CHUNK, "motif_0", 6)
@@ -384,7 +386,7 @@ def l14(spark, sf):
         SELECT * FROM fragment""",
 )
 def l16(spark, sf):
-    signal_ = frames(spark, sf)
+    signal_ = stored_frames(spark, sf)
     chunks, sizes = chunked(signal_, CHUNK), lengths(signal_)
     recs = motif.track_records(sizes, matrix_profile(signal_, 40), 40)
     return long_fragments(motif.primary_fragments(recs, chunks, sizes, CHUNK, 10))
@@ -396,7 +398,7 @@ def l16(spark, sf):
         SELECT * FROM fragment""",
 )
 def l16_raw(spark, sf):
-    signal_ = frames(spark, sf)
+    signal_ = stored_frames(spark, sf)
     chunks, sizes = chunked(signal_, CHUNK), lengths(signal_)
     recs = motif.track_records(sizes, matrix_profile(signal_, 40), 40)
     return long_fragments(motif.primary_fragments(recs, chunks, sizes, CHUNK, 10, raw_units=True))
@@ -417,7 +419,7 @@ def l16_raw(spark, sf):
         FROM wins JOIN marks ON marks.row_id = concat_ws('_', track, 'site', win_idx * 5)""",
 )
 def l18(spark, sf):
-    signal_ = frames(spark, sf)
+    signal_ = stored_frames(spark, sf)
     windows = slice_windows(chunked(signal_, CHUNK), lengths(signal_), CHUNK, 10)
     total = F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6)
     name = F.concat_ws("_", F.col("track").cast("string"), F.lit("site"))
@@ -540,7 +542,7 @@ def f14(spark, sf):
           FROM frames f JOIN (SELECT track, max(value * value) AS top FROM frames GROUP BY track) t ON t.track = f.track)""",
 )
 def f16(spark, sf):
-    power = frames(spark, sf).select("track", "pos", (F.col("value") * F.col("value")).alias("s"))
+    power = stored_frames(spark, sf).select("track", "pos", (F.col("value") * F.col("value")).alias("s"))
     tops = power.groupBy("track").agg(F.max("s").alias("top"))
     floor = F.lit(1e-10)
     level = 10 * F.log10(F.greatest("s", floor) / F.greatest("top", floor))

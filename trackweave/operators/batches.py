@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackweave.operators.numbering import number_shuffled
+from trackweave.session import cut_lineage
 
 
 def chunk_no(idx: Column, size: int) -> Column:
@@ -37,6 +38,8 @@ def interleave(windows: DataFrame, queue: int, seed, noise: str = "noise") -> Da
     noise row, which is also read in the round that finds the tracks at an end.
     Sorting by ``wave, round, slot`` gives the order.
     """
+    # read several times below; the windows may be costly to make
+    windows = cut_lineage(windows.select("track", "win_idx", "label"))
     tracks = number_shuffled(windows.select("track").distinct(), [], seed, ["track"], "_t")
     places = tracks.select(
         "track",

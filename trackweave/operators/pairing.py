@@ -10,6 +10,7 @@ from trackweave.functions.draws import digest, draw, draw_below, uniform
 from trackweave.functions.vectors import mix
 from trackweave.operators.numbering import group_offsets, number_shuffled, repeat_rows
 from trackweave.operators.sampling import random_offset
+from trackweave.session import cut_lineage
 
 
 def window_neighbours(profile: DataFrame, width: int) -> DataFrame:
@@ -121,6 +122,8 @@ def triplets(
 
     All picks are numbers; one equi-join on the number fetches the tracks.
     """
+    # read several times below; the motifs may be costly to find
+    df = cut_lineage(df.select(key, group, "motif_0", "motif_1", "duration_seconds"))
     members = numbered_members(df, group, seed, [key])
     groups = group_offsets(df.where(F.col(group).isNotNull()), group)
     per_group = F.floor(F.floor(F.lit(n_samples) / F.col("n_groups")) / 2)

@@ -8,55 +8,78 @@ thereby spread over many tasks and no pair of subsequences becomes a row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 BLOCK = 4096
 _CELLS = 250_000
 
 
-def window_distances(a: np.ndarray, b: np.ndarray, m: int) -> np.ndarray:
-    """Squared distances of all length-``m`` windows of ``a`` and ``b``.
+class Scratch:
+    """Work arrays that are used again: fresh memory costs more than the sums."""
 
-    The frame distances are summed along diagonals by doubling the width, which
-    needs no subtraction: equal passages come out as exactly 0, and a distance
-    does not depend on the block it is computed in.
+    def __init__(self) -> None:
+        self._held = [np.empty(0) for _ in range(5)]
+
+    def get(self, slot: int, shape: tuple[int, ...]) -> np.ndarray:
+        size = math.prod(shape)
+        if self._held[slot].size < size:
+            self._held[slot] = np.empty(size)
+        return self._held[slot][:size].reshape(shape)
+
+
+# one per Python worker
+_SCRATCH = Scratch()
+
+
+def diagonal_sums(part: np.ndarray, m: int, scratch: Scratch = _SCRATCH) -> np.ndarray:
+    """Sums of ``m`` neighbours along the diagonals of the last two axes.
+
+    Widths are doubled, which needs no subtraction: equal passages come out as
+    exactly 0, and a sum does not depend on the block it is computed in. The
+    result is a work array, good until the next call.
     """
-    part = _frame_distances(a, b)
-    rows, cols = len(a) - m + 1, len(b) - m + 1
-    total, done, width, spare = None, 0, 1, None
+    rows, cols = part.shape[-2] - m + 1, part.shape[-1] - m + 1
+    total, done, width, slot = None, 0, 1, 0
     while True:
         if m & width:
-            piece = part[done : done + rows, done : done + cols]
-            total = piece.copy() if total is None else np.add(total, piece, out=total)
+            piece = part[..., done : done + rows, done : done + cols]
+            if total is None:
+                total = scratch.get(2, piece.shape)
+                np.copyto(total, piece)
+            else:
+                np.add(total, piece, out=total)
             done += width
         if done == m:
             return total
-        shape = (len(part) - width, part.shape[1] - width)
-        into = np.empty(shape) if spare is None else spare[: shape[0], : shape[1]]
-        spare, part = part, np.add(part[: shape[0], : shape[1]], part[width:, width:], out=into)
-        width *= 2
+        here, ahead = part[..., :-width, :-width], part[..., width:, width:]
+        part = np.add(here, ahead, out=scratch.get(slot, here.shape))
+        slot, width = 1 - slot, 2 * width
 
 
-def _frame_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of single frames, a few rows at a time to stay in cache."""
-    out = np.empty((len(a), len(b)))
+def window_distances(
+    a: np.ndarray, b: np.ndarray, m: int, scratch: Scratch = _SCRATCH
+) -> np.ndarray:
+    """Squared distances of all length-``m`` windows of ``a`` and ``b``."""
+    out = scratch.get(3, (len(a), len(b)))
     step = max(1, 32_768 // len(b))
-    spare = np.empty((step, len(b)))
     columns = [np.ascontiguousarray(y) for y in b.T]
+    # a few rows at a time, so that all dimensions are added up in cache
     for lo in range(0, len(a), step):
         some = a[lo : lo + step]
-        part, d = out[lo : lo + step], spare[: len(some)]
+        part, d = out[lo : lo + step], scratch.get(4, (len(some), len(b)))
         np.subtract(some[:, :1], columns[0], out=part)
         np.multiply(part, part, out=part)
         for k in range(1, len(columns)):
             np.subtract(some[:, k : k + 1], columns[k], out=d)
             np.multiply(d, d, out=d)
             np.add(part, d, out=part)
-    return out
+    return diagonal_sums(out, m, scratch)
 
 
 def _strip(m: int, cols: int) -> int:
@@ -64,21 +87,39 @@ def _strip(m: int, cols: int) -> int:
     return max(2 * m, 128, _CELLS // cols - m + 1)
 
 
-def nearest_between(a: np.ndarray, b: np.ndarray, m: int) -> tuple[np.ndarray, ...]:
-    """Nearest window of ``b`` for each of ``a`` and the other way round."""
+def _improve(near: np.ndarray, at: np.ndarray, d: np.ndarray, first: int) -> None:
+    """Take column minima of ``d`` that beat ``near``; rows count from ``first``."""
+    best = d.min(axis=0)
+    closer = np.flatnonzero(best < near)
+    near[closer] = best[closer]
+    at[closer] = (d[:, closer] == best[closer]).argmax(axis=0) + first
+
+
+def _hide(d: np.ndarray, gap: int, zone: int) -> None:
+    """Rule out pairs at most ``zone`` apart; column 0 is ``gap`` after row 0."""
+    cols = min(d.shape[1], max(0, len(d) + zone - gap))
+    lag = np.arange(cols)[None, :] + gap - np.arange(len(d))[:, None]
+    d[:, :cols][np.abs(lag) <= zone] = np.inf
+
+
+def nearest_between(
+    a: np.ndarray, b: np.ndarray, m: int, gap: int, zone: int
+) -> tuple[np.ndarray, ...]:
+    """Nearest window of ``b`` for each of ``a`` and the other way round.
+
+    ``b`` starts ``gap`` after ``a``; pairs at most ``zone`` apart do not count.
+    """
     rows, cols = len(a) - m + 1, len(b) - m + 1
     near_a, at_a = np.empty(rows), np.empty(rows, dtype=np.int64)
     near_b, at_b = np.full(cols, np.inf), np.zeros(cols, dtype=np.int64)
-    span, step = np.arange(cols), _strip(m, len(b))
+    step = _strip(m, len(b))
     for lo in range(0, rows, step):
         hi = min(lo + step, rows)
         d = window_distances(a[lo : hi + m - 1], b, m)
+        _hide(d, gap - lo, zone)
         at = d.argmin(axis=1)
         near_a[lo:hi], at_a[lo:hi] = d[np.arange(hi - lo), at], at
-        at = d.argmin(axis=0)
-        best = d[at, span]
-        closer = best < near_b
-        near_b[closer], at_b[closer] = best[closer], at[closer] + lo
+        _improve(near_b, at_b, d, lo)
     return near_a, at_a, near_b, at_b
 
 
@@ -94,39 +135,17 @@ def nearest_within(a: np.ndarray, m: int, zone: int) -> tuple[np.ndarray, np.nda
     for lo in range(0, n, step):
         hi = min(lo + step, n)
         d = window_distances(a[lo : hi + m - 1], a[lo:], m)
-        lag = np.arange(n - lo)[None, :] - np.arange(hi - lo)[:, None]
-        d[np.abs(lag) <= zone] = np.inf
+        _hide(d, 0, zone)
         # earlier strips came with earlier neighbours, so only less is better
         j = d.argmin(axis=1)
         best = d[np.arange(hi - lo), j]
         closer = best < near[lo:hi]
         near[lo:hi][closer], at[lo:hi][closer] = best[closer], j[closer] + lo
         if hi < n:
-            d = d[:, hi - lo :]
-            i = d.argmin(axis=0)
-            best = d[i, np.arange(n - hi)]
-            closer = best < near[hi:]
-            near[hi:][closer], at[hi:][closer] = best[closer], i[closer] + lo
+            _improve(near[hi:], at[hi:], d[:, hi - lo :], lo)
     return near, at
 
 
-def nearest_in_tile(
-    a: np.ndarray, b: np.ndarray, m: int, gap: int, zone: int
-) -> tuple[np.ndarray, ...]:
-    """Nearest windows of two neighbouring blocks, ``b`` starting ``gap`` later.
-
-    Pairs at most ``zone`` apart, which exist near the common border, are not
-    counted.
-    """
-    if gap - (len(a) - m) > zone:
-        return nearest_between(a, b, m)
-    d = window_distances(a, b, m)
-    lag = np.arange(d.shape[1])[None, :] + gap - np.arange(len(d))[:, None]
-    d[np.abs(lag) <= zone] = np.inf
-    at_a, at_b = d.argmin(axis=1), d.argmin(axis=0)
-    return d[np.arange(len(d)), at_a], at_a, d[at_b, np.arange(d.shape[1])], at_b
-
-
 def _matrix(column) -> np.ndarray:
     """One list of frame vectors as a matrix."""
     frames = column.values
@@ -134,12 +153,26 @@ def _matrix(column) -> np.ndarray:
     return frames.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
+def _stack(column, length: int) -> np.ndarray:
+    """Lists of equally many frame vectors as a stack of matrices."""
+    numbers = column.flatten().flatten().to_numpy(zero_copy_only=False)
+    return numbers.reshape(len(column), length, -1)
+
+
 def _as_vector(frames: DataFrame, value: str) -> DataFrame:
     kind = frames.schema[value].dataType.simpleString()
     vector = F.col(value) if kind.startswith("array") else F.array(F.col(value).cast("double"))
     return frames.select("track", "pos", vector.cast("array<double>").alias("_f"))
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for work that is heavy in computing but not in bytes.
+
+    A fixed number of partitions is not merged at run time.
+    """
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def matrix_profile(
     frames: DataFrame, m: int, value: str = "value", block: int = BLOCK
 ) -> DataFrame:
@@ -186,23 +219,22 @@ def matrix_profile(
         parts = {
             blk.as_py(): _matrix(f) for blk, f in zip(rows.column("blk"), rows.column("_f"))
         }
+        start_a, start_b = a * block, b * block
         if a == b:
             d2, j = nearest_within(parts[a], m, zone)
-            i, j = np.arange(len(d2)) + a * block, j + a * block
+            i, j = np.arange(len(d2)) + start_a, j + start_a
         else:
-            near_a, at_a, near_b, at_b = nearest_in_tile(
-                parts[a], parts[b], m, (b - a) * block, zone
+            near_a, at_a, near_b, at_b = nearest_between(
+                parts[a], parts[b], m, start_b - start_a, zone
             )
-            i = np.concatenate([np.arange(len(near_a)) + a * block, np.arange(len(near_b)) + b * block])
+            i = np.concatenate([np.arange(len(near_a)) + start_a, np.arange(len(near_b)) + start_b])
             d2 = np.concatenate([near_a, near_b])
-            j = np.concatenate([at_a + b * block, at_b + a * block])
+            j = np.concatenate([at_a + start_b, at_b + start_a])
         j = np.where(np.isfinite(d2), j, -1)
         owner = pa.array([track] * len(i), type=rows.schema.field("track").type)
         return pa.table({"track": owner, "i": i, "d2": d2, "j": j})
 
-    # tiles are heavy in work, not in bytes: keep them spread over all tasks
-    spread = int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = sides.repartition(spread, "track", "a", "b").groupBy("track", "a", "b")
+    tiles = sides.repartition(_tasks(sides), "track", "a", "b").groupBy("track", "a", "b")
     partial = tiles.applyInArrow(
         tile, f"track {kind}, i bigint, d2 double, j bigint"
     )
@@ -223,33 +255,35 @@ def cross_profile(pairs: DataFrame, m: int, keys: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            picks, out_i, out_d, out_j = [], [], [], []
             queries, refs = batch.column("q_frames"), batch.column("r_frames")
-            for row in range(batch.num_rows):
-                q, r = _matrix(queries[row]), _matrix(refs[row])
-                if len(q) < m or len(r) < m:
-                    continue
-                near, at, _, _ = nearest_between(q, r, m)
-                picks.append(np.full(len(near), row))
-                out_i.append(np.arange(len(near)))
-                out_d.append(np.sqrt(near))
-                out_j.append(at)
-            if not picks:
-                continue
-            taken = batch.select(keys).take(pa.array(np.concatenate(picks)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *taken.columns,
-                    pa.array(np.concatenate(out_i)),
-                    pa.array(np.concatenate(out_d)),
-                    pa.array(np.concatenate(out_j)),
-                ],
-                names=[*keys, "i", "mp", "pi"],
+            sizes = np.stack(
+                [pc.list_value_length(queries).to_numpy(), pc.list_value_length(refs).to_numpy()], axis=1
             )
-
-    return pairs.select(*keys, "q_frames", "r_frames").mapInArrow(
-        run, f"{fields}, i bigint, mp double, pi bigint"
-    )
+            # rows of equal lengths are computed together
+            for q_len, r_len in np.unique(sizes, axis=0):
+                if q_len < m or r_len < m:
+                    continue
+                rows = np.flatnonzero((sizes == (q_len, r_len)).all(axis=1))
+                step = max(1, _CELLS // (q_len * r_len))
+                for some in np.split(rows, range(step, len(rows), step)):
+                    q = _stack(queries.take(pa.array(some)), q_len)
+                    r = _stack(refs.take(pa.array(some)), r_len)
+                    part = np.zeros((len(some), q_len, r_len))
+                    for k in range(q.shape[2]):
+                        part += np.square(q[:, :, None, k] - r[:, None, :, k])
+                    d = diagonal_sums(part, m)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *batch.select(keys).take(pa.array(np.repeat(some, d.shape[1]))).columns,
+                            pa.array(np.tile(np.arange(d.shape[1]), len(some))),
+                            pa.array(np.sqrt(d.min(axis=2)).ravel()),
+                            pa.array(d.argmin(axis=2).ravel()),
+                        ],
+                        names=[*keys, "i", "mp", "pi"],
+                    )
+
+    work = pairs.select(*keys, "q_frames", "r_frames").repartition(_tasks(pairs), *keys)
+    return work.mapInArrow(run, f"{fields}, i bigint, mp double, pi bigint")
 
 
 def motifs(profile: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from trackweave.functions.scalar import duration_seconds, frame_to_data
 from trackweave.operators.pairing import triplets
 from trackweave.operators.profile import matrix_profile, motifs, top_positions
 from trackweave.operators.windows import cut, fragments
+from trackweave.session import cut_lineage
 
 # Fixed values of the default pipeline: frames per second, frames per profile window
 FRAME_RATE = 10
@@ -39,6 +40,11 @@ def extract(frames: DataFrame, m: int = PROFILE_WINDOW, value: str = "value") ->
     return track_records(sizes, matrix_profile(frames, m, value), m)
 
 
+def stored_profile(frames: DataFrame, m: int = PROFILE_WINDOW, value: str = "value") -> DataFrame:
+    """The profiles written once, for plans that read them several times."""
+    return cut_lineage(matrix_profile(frames, m, value))
+
+
 def consolidate(records: DataFrame, profile: DataFrame, part: int = 65_536) -> DataFrame:
     """Records with their profiles as arrays, empty where there is none.
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from trackweave.operators.batches import full_batches, worker_of
 from trackweave.operators.numbering import number_shuffled
 from trackweave.operators.pairing import batch_distants, neighbour_pairs, window_neighbours
+from trackweave.session import cut_lineage
 
 
 def pair_batches(
@@ -17,10 +18,13 @@ def pair_batches(
     Tracks go to workers in contiguous shuffled ranges; the pairs of a worker are
     shuffled and cut in full batches.
     """
+    # both are read several times below
+    windows = cut_lineage(windows)
+    neighbours = cut_lineage(window_neighbours(profile, width))
     tracks = number_shuffled(
         windows.select("track").distinct(), [], seed, ["track"], "_t", "_n_t"
     ).select("track", worker_of(F.col("_t"), F.col("_n_t"), workers).alias("worker"))
-    pairs = neighbour_pairs(window_neighbours(profile, width), windows).join(tracks, "track")
+    pairs = neighbour_pairs(neighbours, windows).join(tracks, "track")
     numbered = number_shuffled(
         pairs, ["worker"], seed, ["track", "anchor_win_idx"], "row_idx", "n"
     )

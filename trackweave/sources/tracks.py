@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackweave.operators.numbering import number_rows
+from trackweave.session import cut_lineage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,17 +27,23 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("track", "pos", "value", "kind")
 
 
+def stored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbered frames written once, for plans that read them several times."""
+    return cut_lineage(frames(spark, sf_dir))
+
+
 def kind_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(track, pos, value)`` with the event types as few, long tracks."""
+    """``(track, pos, value)`` with the event types as few, long tracks, written once."""
     events = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("track"), "ts", "event_id", "value"
     )
     minute = F.date_trunc("minute", "ts")
-    return number_rows(events, ["track"], ["ts", "event_id"], minute, "pos").drop("ts", "event_id")
+    numbered = number_rows(events, ["track"], ["ts", "event_id"], minute, "pos")
+    return cut_lineage(numbered.drop("ts", "event_id"))
 
 
 def vector_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(track, pos, frame)`` with three numbers per frame."""
+    """``(track, pos, frame)`` with three numbers per frame, written once."""
     frame = F.array(
         "value",
         F.get_json_object("props", "$.k").cast("double"),
@@ -46,7 +53,8 @@ def vector_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("track"), "ts", "event_id", frame.alias("frame")
     )
     minute = F.date_trunc("minute", "ts")
-    return number_rows(events, ["track"], ["ts", "event_id"], minute, "pos").drop("ts", "event_id")
+    numbered = number_rows(events, ["track"], ["ts", "event_id"], minute, "pos")
+    return cut_lineage(numbered.drop("ts", "event_id"))
 
 
 def lengths(samples: DataFrame) -> DataFrame:
