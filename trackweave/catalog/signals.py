@@ -190,7 +190,7 @@ sizes AS (SELECT track, count(*) AS n FROM kframes GROUP BY track)"""
 )
 def j5_long(spark, sf):
     """Few long tracks, each computed as many pairs of blocks."""
-    return matrix_profile(kind_frames(spark, sf), 50, block=512).withColumn("mp", F.round("mp", 6))
+    return matrix_profile(kind_frames(spark, sf), 50, block=1024).withColumn("mp", F.round("mp", 6))
 
 
 _WINDOWS16 = """w AS (

@@ -148,9 +148,7 @@ def nearest_within(a: np.ndarray, m: int, zone: int) -> tuple[np.ndarray, np.nda
 
 def _matrix(column) -> np.ndarray:
     """One list of frame vectors as a matrix."""
-    frames = column.values
-    dims = len(frames[0]) if len(frames) else 1
-    return frames.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    return column.values.flatten().to_numpy(zero_copy_only=False).reshape(len(column.values), -1)
 
 
 def _stack(column, length: int) -> np.ndarray:
@@ -211,33 +209,40 @@ def matrix_profile(
             "_f",
         )
     )
+    # one row per tile, with its one or two blocks in order
+    tiles = (
+        sides.repartition(_tasks(sides), "track", "a", "b")
+        .groupBy("track", "a", "b")
+        .agg(F.array_sort(F.collect_list(F.struct("blk", "_f"))).alias("_p"))
+        .select("track", "a", "b", F.transform("_p", lambda p: p["_f"]).alias("parts"))
+    )
     zone = m // 2
     kind = sides.schema["track"].dataType.simpleString()
 
-    def tile(key: tuple, rows: pa.Table) -> pa.Table:
-        track, a, b = (k.as_py() for k in key)
-        parts = {
-            blk.as_py(): _matrix(f) for blk, f in zip(rows.column("blk"), rows.column("_f"))
-        }
-        start_a, start_b = a * block, b * block
-        if a == b:
-            d2, j = nearest_within(parts[a], m, zone)
-            i, j = np.arange(len(d2)) + start_a, j + start_a
-        else:
-            near_a, at_a, near_b, at_b = nearest_between(
-                parts[a], parts[b], m, start_b - start_a, zone
-            )
-            i = np.concatenate([np.arange(len(near_a)) + start_a, np.arange(len(near_b)) + start_b])
-            d2 = np.concatenate([near_a, near_b])
-            j = np.concatenate([at_a + start_b, at_b + start_a])
-        j = np.where(np.isfinite(d2), j, -1)
-        owner = pa.array([track] * len(i), type=rows.schema.field("track").type)
-        return pa.table({"track": owner, "i": i, "d2": d2, "j": j})
-
-    tiles = sides.repartition(_tasks(sides), "track", "a", "b").groupBy("track", "a", "b")
-    partial = tiles.applyInArrow(
-        tile, f"track {kind}, i bigint, d2 double, j bigint"
-    )
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = np.stack([batch.column(c).to_numpy() * block for c in "ab"], axis=1)
+            found, waiting = [], 0
+            for row, (a, b) in enumerate(starts):
+                parts = [_matrix(f) for f in batch.column("parts")[row].values]
+                if a == b:
+                    d2, j = nearest_within(parts[0], m, zone)
+                    i, j = np.arange(len(d2)) + a, j + a
+                else:
+                    near_a, at_a, near_b, at_b = nearest_between(parts[0], parts[1], m, b - a, zone)
+                    i = np.concatenate([np.arange(len(near_a)) + a, np.arange(len(near_b)) + b])
+                    d2, j = np.concatenate([near_a, near_b]), np.concatenate([at_a + b, at_b + a])
+                found.append((np.full(len(i), row), i, d2, np.where(np.isfinite(d2), j, -1)))
+                waiting += len(i)
+                if waiting > _CELLS or row == batch.num_rows - 1:
+                    rows, *rest = (np.concatenate(x) for x in zip(*found))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("track").take(pa.array(rows)), *map(pa.array, rest)],
+                        names=["track", "i", "d2", "j"],
+                    )
+                    found, waiting = [], 0
+
+    partial = tiles.mapInArrow(nearest, f"track {kind}, i bigint, d2 double, j bigint")
     best = partial.groupBy("track", "i").agg(F.min(F.struct("d2", "j")).alias("_best"))
     return best.select(
         "track", "i", F.sqrt("_best.d2").alias("mp"), F.col("_best.j").alias("pi")
