@@ -26,6 +26,7 @@ from trackweave.operators.numbering import number_shuffled
 from trackweave.operators.profile import matrix_profile
 from trackweave.operators.windows import fragments, slice_windows
 from trackweave.plans import motif, pairs
+from trackweave.session import cut_lineage
 from trackweave.sources.tracks import chunked, lengths, stored_frames, table, taxonomy
 
 # groups and numbered members of a table known(key, family, ...)
@@ -486,7 +487,7 @@ def l22(spark, sf):
     positive = labels.in_list(rows, "species", scored).select(name, "x", F.col("species").alias("label"))
     known = scored.select(F.col("label").alias("species"))
     negative = rows.join(known, "species", "left_anti").select(name, "x", F.lit("other").alias("label"))
-    pool = positive.unionByName(negative)
+    pool = cut_lineage(positive.unionByName(negative))
     drawn = sampling.sample_with_replacement(pool, "label", 30, 84, ["name"])
     loud = drawn.withColumn("_db", -18 + 24 * uniform_of(85, "label", "name", "draw")).select(
         "label",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackweave.functions.vectors import distance, norm
-from trackweave.operators.quantiles import exact_quantiles
+from trackweave.operators.quantiles import exact_quantiles, with_group
 
 
 def class_scores(rows: DataFrame, by: str, truth: Column, predicted: Column) -> DataFrame:
@@ -66,10 +66,7 @@ def described(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
         F.max(value).alias("max"),
     )
     quart = exact_quantiles(df, groups, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    if groups:
-        return basic.join(quart, list(groups))
-    one = basic.withColumn("_one", F.lit(1)).join(quart.withColumn("_one", F.lit(1)), "_one")
-    return one.drop("_one")
+    return with_group(basic, quart, list(groups))
 
 
 def histogram(df: DataFrame, value: Column, low: Column, high: Column, bins: int) -> DataFrame:

@@ -12,6 +12,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+def with_group(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the facts of each row's group; null groups match, no keys mean one group."""
+    names = [c for c in facts.columns if c not in keys]
+    if not keys:
+        one = facts.select(F.struct(*names)).scalar()
+        return rows.withColumn("_facts", one).select(
+            *rows.columns, *[F.col("_facts")[n].alias(n) for n in names]
+        )
+    named = facts.select(F.struct(*keys).alias("_key"), *names)
+    return rows.withColumn("_key", F.struct(*keys)).join(named, "_key").drop("_key")
+
+
 def exact_quantiles(
     df: DataFrame,
     groups: Sequence[str],
@@ -28,14 +40,11 @@ def exact_quantiles(
     names, wanted = list(probs), list(probs.values())
     gs = [f"_g{i}" for i in range(len(groups))]
     rows = df.select(
-        *[F.col(g).alias(a) for g, a in zip(groups, gs)],
-        F.lit(0).alias("_all"),
-        F.col(value).cast("double").alias("_v"),
+        *[F.col(g).alias(a) for g, a in zip(groups, gs)], F.col(value).cast("double").alias("_v")
     ).where("_v is not null")
-    keys = gs or ["_all"]
     lows = F.percentile_approx("_v", [max(p - margin, 0.0) for p in wanted], accuracy)
     highs = F.percentile_approx("_v", [min(p + margin, 1.0) for p in wanted], accuracy)
-    brackets = rows.groupBy(*keys).agg(
+    brackets = rows.groupBy(*gs).agg(
         lows.alias("_lo"),
         highs.alias("_hi"),
         F.min("_v").alias("_min"),
@@ -46,7 +55,7 @@ def exact_quantiles(
     # rows; the sketch may miss the outermost values, so the end brackets are open.
     small = F.col("_n") <= 10 * accuracy
     bounds = brackets.select(
-        *[F.col(k).alias("k" + k) for k in keys],
+        *gs,
         "_n",
         F.array(
             *[
@@ -58,9 +67,8 @@ def exact_quantiles(
             ]
         ).alias("_bounds"),
     )
-    match = [F.col(k).eqNullSafe(F.col("k" + k)) for k in keys]
-    placed = rows.join(bounds, match).drop(*["k" + k for k in keys])
-    below = placed.groupBy(*keys).agg(
+    placed = with_group(rows, bounds, gs)
+    below = placed.groupBy(*gs).agg(
         F.max("_n").alias("_n"),
         F.array(
             *[
@@ -76,20 +84,21 @@ def exact_quantiles(
             F.get("_bounds", i)["lo"], F.get("_bounds", i)["hi"]
         ),
     )
-    upto = Window.partitionBy(*keys, "_q").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
+    upto = Window.partitionBy(*gs, "_q").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    counted = (
         placed.withColumn("_q", F.explode(near))
-        .groupBy(*keys, "_q", "_v")
+        .groupBy(*gs, "_q", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_cum", F.sum("_c").over(upto))
-        .join(below.select(*[F.col(k).alias("k" + k) for k in keys], "_n", "_below"), match)
-        .withColumn("_cum", F.col("_cum") + F.get("_below", F.col("_q")))
+        .withColumn("_inside", F.sum("_c").over(upto))
+    )
+    ranked = with_group(counted, below, gs).withColumn(
+        "_cum", F.col("_inside") + F.get("_below", F.col("_q"))
     )
     p = F.get(F.array(*[F.lit(float(x)) for x in wanted]), F.col("_q"))
     rank = (F.col("_n") - 1) * p
     edges = (
         ranked.withColumn("_rank", rank)
-        .groupBy(*keys, "_q")
+        .groupBy(*gs, "_q")
         .agg(
             F.min(F.when(F.col("_cum") > F.floor("_rank"), F.col("_v"))).alias("_a"),
             F.min(F.when(F.col("_cum") > F.ceil("_rank"), F.col("_v"))).alias("_b"),
@@ -97,7 +106,7 @@ def exact_quantiles(
         )
         .withColumn("_x", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w"))
     )
-    wide = edges.groupBy(*keys).agg(
+    wide = edges.groupBy(*gs).agg(
         *[F.max(F.when(F.col("_q") == i, F.col("_x"))).alias(n) for i, n in enumerate(names)]
     )
     return wide.select(*[F.col(a).alias(g) for g, a in zip(groups, gs)], *names)
