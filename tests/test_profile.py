@@ -3,7 +3,13 @@
 import numpy as np
 import pytest
 
-from trackweave.operators.profile import cross_profile, matrix_profile, motifs, top_positions
+from trackweave.operators.profile import (
+    matrix_profile,
+    motifs,
+    reference_features,
+    reference_profile,
+    top_positions,
+)
 
 
 def brute(values, m):
@@ -64,20 +70,27 @@ def test_motifs_and_top_positions(spark):
     assert sorted(r.idx for r in top_positions(profile, 2, 1).collect()) == [0, 1, 2, 3]
 
 
-def test_cross_profile(spark):
+@pytest.mark.parametrize("bound", [1000, 2])
+def test_reference_profile(spark, bound):
+    """References sent to the tasks or, beyond the bound, joined: the same result."""
     rng = np.random.default_rng(3)
-    rows = [
-        (k, rng.normal(size=(nq, 2)).tolist(), rng.normal(size=(nr, 2)).tolist())
-        for k, (nq, nr) in enumerate([(9, 7), (9, 7), (12, 5), (3, 9), (6, 4)])
-    ]
-    pairs = spark.createDataFrame(rows, "k int, q_frames array<array<double>>, r_frames array<array<double>>")
-    got = {(r.k, r.i): (r.mp, r.pi) for r in cross_profile(pairs, 4, ["k"]).collect()}
+    windows = [(k, rng.normal(size=(n, 2)).tolist()) for k, n in enumerate([9, 9, 12, 3, 6])]
+    refs = [(f"r{n}", rng.normal(size=(n, 2)).tolist()) for n in (7, 5, 3)]
+    left = spark.createDataFrame(windows, "k int, q_frames array<array<double>>")
+    right = spark.createDataFrame(refs, "ref string, r_frames array<array<double>>")
     want = {}
-    for k, q, r in rows:
-        q, r = np.array(q), np.array(r)
-        for i in range(len(q) - 3):
-            d = [np.sqrt(((q[i : i + 4] - r[j : j + 4]) ** 2).sum()) for j in range(len(r) - 3)]
-            if d:
-                want[k, i] = (min(d), int(np.argmin(d)))
+    for k, q in windows:
+        for name, r in refs:
+            q, r = np.array(q), np.array(r)
+            for i in range(len(q) - 3):
+                d = [np.sqrt(((q[i : i + 4] - r[j : j + 4]) ** 2).sum()) for j in range(len(r) - 3)]
+                if d:
+                    want[k, name, i] = (min(d), int(np.argmin(d)))
+    got = {(r.k, r.ref, r.i): (r.mp, r.pi) for r in reference_profile(left, right, 4, ["k"], max_references=bound).collect()}
     assert got.keys() == want.keys()
-    assert all(got[k][1] == want[k][1] and np.isclose(got[k][0], want[k][0]) for k in want)
+    assert all(got[x][1] == want[x][1] and np.isclose(got[x][0], want[x][0]) for x in want)
+    features = reference_features(left, right, 4, ["k"], max_references=bound).collect()
+    assert len(features) == len({(k, name) for k, name, _ in want})
+    for r in features:
+        near = [v[0] for (k, name, _), v in want.items() if (k, name) == (r.k, r.ref)]
+        assert np.allclose([r.mp_min, r.mp_median, r.mp_max], [min(near), np.median(near), max(near)])

@@ -67,6 +67,17 @@ def test_without_replacement(skewed):
     assert sampling.sample_without_replacement(skewed, [], 10, 5, ["id"]).count() == 10
 
 
+def test_many_per_group(spark):
+    """From a thousand on the first rows are found in two steps."""
+    df = spark.range(6000).select("id", (F.col("id") % 6 == 0).alias("g"))
+    got = sampling.first_per_group(df, ["g"], [F.desc("id")], 1500, salts=8).collect()
+    assert Counter(r.g for r in got) == {True: 1000, False: 1500}
+    ids = [r.id for r in sorted((r for r in got if not r.g), key=lambda r: r["rank"])]
+    assert ids == [i for i in range(5999, -1, -1) if i % 6][:1500]
+    some = sampling.sample_without_replacement(df, ["g"], 1500, 1, ["id"]).collect()
+    assert Counter(r.g for r in some) == {True: 1000, False: 1500} and len({r.id for r in some}) == 2500
+
+
 def test_splits(skewed):
     two = Counter(r.split for r in sampling.split_two(skewed, 0.9, 1, ["id"]).collect())
     assert two == {"train": 900, "test": 100}

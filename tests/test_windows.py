@@ -79,6 +79,13 @@ def test_all_lengths(spark, padding, shape):
     assert sliced(spark, tracks, *shape, padding=padding, chunk=3) == want
 
 
+@pytest.mark.parametrize("chunk", [5, 10, 7])
+def test_aligned_chunks(spark, chunk):
+    tracks = {n: [i + 1 for i in range(n)] for n in range(1, 24)}
+    want = {(n, w): x for n, v in tracks.items() for w, x in expected(v, 5, 0, None, "right").items()}
+    assert sliced(spark, tracks, 5, padding="right", chunk=chunk) == want
+
+
 def cut_out(spark, tracks, wanted, length, chunk=4):
     df = samples(spark, tracks)
     requests = spark.createDataFrame(wanted, "track bigint, offset bigint")

@@ -170,7 +170,11 @@ def s11(spark, sf):
     return spark.read.parquet(path).groupBy("doc_id", "n_chars").agg(F.count("*").alias("copies"))
 
 
-@query("s12_run_record")
+@query(
+    "s12_run_record",
+    """SELECT 64::BIGINT AS embedding_dim, 10::BIGINT AS cens_sr, 8::BIGINT AS mp_window, true AS dated,
+         count(DISTINCT user_id) AS n_tracks FROM events""",
+)
 def s12(spark, sf):
     """Outputs with their record: parameters and creation time."""
     path = work_path(spark, "run")
@@ -179,4 +183,5 @@ def s12(spark, sf):
     files.write_run_record(spark, f"{path}/metadata", embedding_dim=64, cens_sr=10, mp_window=8)
     record = spark.read.json(f"{path}/metadata")
     n = spark.read.parquet(f"{path}/records").agg(F.count("*")).scalar()
-    return record.withColumn("n_tracks", n)
+    dated = F.col("created").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T")
+    return record.withColumns({"dated": dated, "n_tracks": n}).drop("created")

@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trackweave.catalog.registry import query
 from trackweave.catalog.sqltext import FRAMES, TAXONOMY, profile, shuffled, uniform
 from trackweave.functions import vectors
-from trackweave.functions.draws import uniform as uniform_of
+from trackweave.functions.draws import normal, uniform as uniform_of
 from trackweave.operators import batches, labels
-from trackweave.operators.numbering import number_shuffled, with_each
+from trackweave.operators.numbering import number_shuffled
 from trackweave.operators.pairing import neighbour_pairs, window_neighbours
-from trackweave.operators.profile import cross_profile, matrix_profile, motifs
+from trackweave.operators.profile import (
+    matrix_profile,
+    motifs,
+    reference_features,
+    reference_profile,
+)
 from trackweave.operators.windows import fragments, slice_windows
 from trackweave.plans import motif
 from trackweave.sources.tracks import (
@@ -229,19 +234,14 @@ def reference_windows(spark: SparkSession, sf: str, windows: DataFrame) -> DataF
     )
 
 
-def reference_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    windows = query_windows(spark, sf)
-    refs = reference_windows(spark, sf, windows)
-    pairs = with_each(windows.select("track", "win", "q_frames"), refs, by=["track", "win"])
-    return cross_profile(pairs, 4, ["track", "win", "ref"])
-
-
 @query(
     "j6_reference_profile",
     f"WITH {FRAMES}, {TAXONOMY}, {_WINDOWS16} SELECT track, win, ref, i, round(mp, 6) AS mp, pi FROM cross_mp",
 )
 def j6(spark, sf):
-    return reference_profiles(spark, sf).withColumn("mp", F.round("mp", 6))
+    windows = query_windows(spark, sf)
+    refs = reference_windows(spark, sf, windows)
+    return reference_profile(windows, refs, 4, ["track", "win"]).withColumn("mp", F.round("mp", 6))
 
 
 @query(
@@ -250,15 +250,10 @@ def j6(spark, sf):
           round(median(mp), 6) AS mp_median, round(max(mp), 6) AS mp_max FROM cross_mp GROUP BY 1, 2, 3""",
 )
 def a9(spark, sf):
-    return (
-        reference_profiles(spark, sf)
-        .groupBy("track", "win", "ref")
-        .agg(
-            F.round(F.min("mp"), 6).alias("mp_min"),
-            F.round(F.median("mp"), 6).alias("mp_median"),
-            F.round(F.max("mp"), 6).alias("mp_max"),
-        )
-    )
+    windows = query_windows(spark, sf)
+    refs = reference_windows(spark, sf, windows)
+    got = reference_features(windows, refs, 4, ["track", "win"])
+    return got.withColumns({c: F.round(c, 6) for c in ("mp_min", "mp_median", "mp_max")})
 
 
 @query("a8_motif_and_discord", f"WITH {FRAMES}, {profile(M)} SELECT * FROM motifs")
@@ -508,15 +503,24 @@ def f13(spark, sf):
     return windows10(spark, sf).select("track", "win_idx", F.round(scale, 6).alias("scale"))
 
 
-@query("f13_add_noise")
+@query(
+    "f13_add_noise",
+    f"""WITH {FRAMES}, {slices_sql(10, 0, None, 'right')},
+        scales AS (SELECT track, win_idx, sqrt(avg(value * value) / pow(10.0, 15 / 10.0)) AS scale FROM slices GROUP BY 1, 2)
+        SELECT s.track, s.win_idx, off, round(value + scale
+            * sqrt(-2 * ln(1 - {uniform('noise', "'radius'", 's.track', 's.win_idx', 'off')}))
+            * cos(2 * pi() * {uniform('noise', "'angle'", 's.track', 's.win_idx', 'off')}), 6) AS value
+        FROM slices s JOIN scales c ON c.track = s.track AND c.win_idx = s.win_idx""",
+)
 def f13_noise(spark, sf):
-    """Windows with white noise at 15 dB below the signal."""
+    """Windows with white noise 15 dB below the signal."""
     rows = windows10(spark, sf).withColumn("_scale", vectors.noise_scale(F.col("x"), F.lit(15.0)))
-    noise = F.array(*[F.randn(seed) for seed in range(10)])
-    return rows.withColumn("_noise", noise).select(
-        "track",
-        "win_idx",
-        F.posexplode(vectors.with_noise(F.col("x"), F.col("_scale"), F.col("_noise"))).alias("off", "value"),
+    noise = F.array(*[normal("noise", "track", "win_idx", F.lit(off)) for off in range(10)])
+    loud = vectors.with_noise(F.col("x"), F.col("_scale"), F.col("_noise"))
+    return (
+        rows.withColumn("_noise", noise)
+        .select("track", "win_idx", F.posexplode(loud).alias("off", "value"))
+        .withColumn("value", F.round("value", 6))
     )
 
 

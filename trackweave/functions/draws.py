@@ -7,6 +7,8 @@ another engine can check the result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 HEX_DIGITS = 13  # 52 bits: every value is an exact double
@@ -36,3 +38,9 @@ def draw_below(n, seed, *keys) -> Column:
 def uniform(seed, *keys) -> Column:
     """A double in [0, 1)."""
     return draw(seed, *keys) / F.lit(SPAN)
+
+
+def normal(seed, *keys) -> Column:
+    """A standard normal value, from two uniform ones."""
+    radius = F.sqrt(-2 * F.log(1 - uniform(seed, F.lit("radius"), *keys)))
+    return radius * F.cos(2 * math.pi * uniform(seed, F.lit("angle"), *keys))

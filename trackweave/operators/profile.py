@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from trackweave.operators.numbering import with_each
+
 BLOCK = 4096
 _CELLS = 250_000
 
@@ -249,46 +251,116 @@ def matrix_profile(
     )
 
 
-def cross_profile(pairs: DataFrame, m: int, keys: list[str]) -> DataFrame:
-    """Profiles of short queries against short references.
+def _matched(
+    q: np.ndarray, r: np.ndarray, m: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest window of ``r`` for each window of ``q``, for stacks of both."""
+    part = np.zeros((q.shape[0], q.shape[1], r.shape[1]))
+    for k in range(q.shape[2]):
+        part += np.square(q[:, :, None, k] - r[:, None, :, k])
+    d = diagonal_sums(part, m)
+    return np.sqrt(d.min(axis=2)), d.argmin(axis=2)
 
-    ``pairs`` holds one query (``q_frames``) and one reference (``r_frames``) per
-    row, each an array of frame vectors. Returns ``(keys, i, mp, pi)``: for every
-    query subsequence the nearest reference subsequence, without exclusion zone.
-    """
-    fields = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profile_rows(near: np.ndarray, at: np.ndarray) -> tuple[int, list[np.ndarray]]:
+    rows, width = near.shape
+    return width, [np.tile(np.arange(width), rows), near.ravel(), at.ravel()]
+
+
+def _feature_rows(near: np.ndarray, at: np.ndarray) -> tuple[int, list[np.ndarray]]:
+    return 1, [near.min(axis=1), np.median(near, axis=1), near.max(axis=1)]
+
+
+def _against_references(windows, references, m, keys, ref, shape, fields, max_references):
+    """Rows made by ``shape`` out of the profile of every window and reference."""
+    names = [f.split()[0] for f in fields]
+    ref_type = references.schema[ref].dataType.simpleString()
+    schema = ", ".join(
+        [f"{k} {windows.schema[k].dataType.simpleString()}" for k in keys] + [f"{ref} {ref_type}", *fields]
+    )
+    model = references.select(ref, "r_frames").limit(max_references + 1).collect()
+
+    def rows_of(batch, some, near, at, labels):
+        repeat, columns = shape(near, at)
+        picked = batch.select(keys).take(pa.array(np.repeat(some, repeat)))
+        return pa.RecordBatch.from_arrays(
+            [*picked.columns, labels.take(pa.array(np.repeat(np.arange(len(labels)), repeat))), *map(pa.array, columns)],
+            names=[*keys, ref, *names],
+        )
+
+    def parts(lists: np.ndarray, other: int):
+        """Rows of equal sizes, a bounded number at a time."""
+        for size in np.unique(lists, axis=0):
+            if size.min() >= m:
+                rows = np.flatnonzero((lists == size).all(axis=1))
+                step = max(1, _CELLS // int(size[0] * (other or size[1])))
+                yield from ((some, size) for some in np.split(rows, range(step, len(rows), step)))
+
+    if len(model) <= max_references:
+        known = [(r[ref], np.array(r.r_frames, dtype=float)) for r in model]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                queries = batch.column("q_frames")
+                lists = pc.list_value_length(queries).to_numpy()[:, None]
+                for name, frames in known:
+                    if len(frames) < m:
+                        continue
+                    for some, size in parts(lists, len(frames)):
+                        q = _stack(queries.take(pa.array(some)), size[0])
+                        near, at = _matched(q, frames[None], m)
+                        yield rows_of(batch, some, near, at, pa.array([name] * len(some)))
+
+        return windows.select(*keys, "q_frames").mapInArrow(run, schema)
+
+    def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             queries, refs = batch.column("q_frames"), batch.column("r_frames")
-            sizes = np.stack(
-                [pc.list_value_length(queries).to_numpy(), pc.list_value_length(refs).to_numpy()], axis=1
-            )
-            # rows of equal lengths are computed together
-            for q_len, r_len in np.unique(sizes, axis=0):
-                if q_len < m or r_len < m:
-                    continue
-                rows = np.flatnonzero((sizes == (q_len, r_len)).all(axis=1))
-                step = max(1, _CELLS // (q_len * r_len))
-                for some in np.split(rows, range(step, len(rows), step)):
-                    q = _stack(queries.take(pa.array(some)), q_len)
-                    r = _stack(refs.take(pa.array(some)), r_len)
-                    part = np.zeros((len(some), q_len, r_len))
-                    for k in range(q.shape[2]):
-                        part += np.square(q[:, :, None, k] - r[:, None, :, k])
-                    d = diagonal_sums(part, m)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *batch.select(keys).take(pa.array(np.repeat(some, d.shape[1]))).columns,
-                            pa.array(np.tile(np.arange(d.shape[1]), len(some))),
-                            pa.array(np.sqrt(d.min(axis=2)).ravel()),
-                            pa.array(d.argmin(axis=2).ravel()),
-                        ],
-                        names=[*keys, "i", "mp", "pi"],
-                    )
+            lists = np.stack([pc.list_value_length(c).to_numpy() for c in (queries, refs)], axis=1)
+            for some, size in parts(lists, 0):
+                q = _stack(queries.take(pa.array(some)), size[0])
+                r = _stack(refs.take(pa.array(some)), size[1])
+                near, at = _matched(q, r, m)
+                yield rows_of(batch, some, near, at, batch.column(ref).take(pa.array(some)))
+
+    pairs = with_each(windows.select(*keys, "q_frames"), references.select(ref, "r_frames"), by=keys)
+    return pairs.mapInArrow(run_pairs, schema)
+
+
+def reference_profile(
+    windows: DataFrame,
+    references: DataFrame,
+    m: int,
+    keys: list[str],
+    ref: str = "ref",
+    max_references: int = 1000,
+) -> DataFrame:
+    """``(keys, ref, i, mp, pi)``: profiles of short windows against short references.
+
+    ``windows`` holds ``keys`` and ``q_frames``, ``references`` holds ``ref`` and
+    ``r_frames``, both arrays of frame vectors. For every subsequence of a window
+    the nearest one of the reference is found, without exclusion zone. Up to
+    ``max_references`` references are a model that goes to the tasks; more of them
+    stay a table that the windows are joined with.
+    """
+    fields = ["i bigint", "mp double", "pi bigint"]
+    return _against_references(windows, references, m, keys, ref, _profile_rows, fields, max_references)
 
-    work = pairs.select(*keys, "q_frames", "r_frames").repartition(_tasks(pairs), *keys)
-    return work.mapInArrow(run, f"{fields}, i bigint, mp double, pi bigint")
+
+def reference_features(
+    windows: DataFrame,
+    references: DataFrame,
+    m: int,
+    keys: list[str],
+    ref: str = "ref",
+    max_references: int = 1000,
+) -> DataFrame:
+    """``(keys, ref, mp_min, mp_median, mp_max)``: the same profiles summed up.
+
+    A profile never leaves its task, so nothing is shuffled.
+    """
+    fields = ["mp_min double", "mp_median double", "mp_max double"]
+    return _against_references(windows, references, m, keys, ref, _feature_rows, fields, max_references)
 
 
 def motifs(profile: DataFrame) -> DataFrame:

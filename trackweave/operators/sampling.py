@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from trackweave.functions.draws import digest, draw_below, uniform
 from trackweave.operators.numbering import number_shuffled, repeat_rows
 
+# from here on Spark ranks whole groups instead of each task's first rows
+_LARGE_K = 1000
+
 
 def bernoulli_by_group(
     df: DataFrame, group: str, fractions: DataFrame, seed, keys: Sequence[str]
@@ -43,23 +46,29 @@ def sample_with_replacement(
 def sample_without_replacement(
     df: DataFrame, groups: Sequence[str], k: int, seed, keys: Sequence[str]
 ) -> DataFrame:
-    """At most ``k`` distinct rows per group (or of the whole table).
-
-    Each task first keeps its own best ``k`` per group, so groups never gather.
-    """
+    """At most ``k`` distinct rows per group (or of the whole table)."""
+    if k >= _LARGE_K:
+        numbered = number_shuffled(df, groups, seed, keys, "_i")
+        return numbered.where(F.col("_i") < k).drop("_i")
     ordered = df.withColumn("_digest", digest(seed, *keys))
     if not groups:
         return ordered.orderBy("_digest", *keys).limit(k).drop("_digest")
-    by = Window.partitionBy(*groups).orderBy("_digest", *keys)
-    return ordered.withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= k).drop(
-        "_rn", "_digest"
-    )
+    return first_per_group(ordered, groups, ["_digest", *keys], k).drop("rank", "_digest")
 
 
 def first_per_group(
-    df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], k: int
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], k: int, salts: int = 256
 ) -> DataFrame:
-    """The first ``k`` rows per group in the given order, ranked from 1."""
+    """The first ``k`` rows per group in the given order, ranked from 1.
+
+    For a small ``k`` every task keeps only its own first rows of each group
+    before the shuffle. For a large one Spark does not, so the first rows of
+    each salted part of a group are taken before those of the group.
+    """
+    if k >= _LARGE_K:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+        part = Window.partitionBy(*groups, "_salt").orderBy(*order)
+        df = salted.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= k).drop("_rn", "_salt")
     by = Window.partitionBy(*groups).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
