@@ -179,9 +179,8 @@ def m1(spark, sf):
 @query("m1_sample_by")
 def m1_sample_by(spark, sf):
     """The same stratified sample drawn by Spark's own generator."""
-    fractions = {r.event_type: r.fraction for r in kind_fractions(spark, sf).limit(10_000).collect()}
     rows = table(spark, sf, "events").select("event_type", "event_id")
-    return rows.sampleBy("event_type", fractions, 51)
+    return sampling.bernoulli_by_generator(rows, "event_type", kind_fractions(spark, sf), 51, ["event_id"])
 
 
 @query(
@@ -228,7 +227,7 @@ def m2(spark, sf):
 def m3(spark, sf):
     vecs = table(spark, sf, "embeddings")
     drawn = sampling.sample_with_replacement(vecs, "label", 500, 54, ["vec_id"])
-    total = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    total = vectors.total(F.col("embedding"))
     name = F.concat_ws("_", F.col("vec_id").cast("string"), F.col("draw").cast("string"))
     return drawn.select("label", name.alias("name"), F.round(total, 6).alias("total"))
 
@@ -407,7 +406,7 @@ _PAIR_WINDOWS = f"""{slices_sql(10, 0, None, "right-align")},
 
 def pair_batches(spark: SparkSession, sf: str) -> DataFrame:
     signal_ = stored_frames(spark, sf)
-    total = F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6).alias("total")
+    total = F.round(vectors.total(F.col("x")), 6).alias("total")
     windows = slice_windows(
         chunked(signal_, CHUNK), lengths(signal_), CHUNK, 10, padding="right-align"
     ).select("track", "win_idx", total)

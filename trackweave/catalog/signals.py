@@ -224,7 +224,7 @@ def query_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 def reference_windows(spark: SparkSession, sf: str, windows: DataFrame) -> DataFrame:
     """Per family the window with the largest total, as reference motif."""
-    total = F.round(F.aggregate("values", F.lit(0.0), lambda s, v: s + v), 6)
+    total = F.round(vectors.total(F.col("values")), 6)
     best = F.min(F.struct((-total).alias("t"), "track", "win", "q_frames"))
     return (
         windows.join(taxonomy(spark, sf).select("track", "family"), "track")
@@ -286,7 +286,7 @@ def a10(spark, sf):
 )
 def j7(spark, sf):
     signal_ = stored_frames(spark, sf)
-    total = F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6).alias("total")
+    total = F.round(vectors.total(F.col("x")), 6).alias("total")
     windows = slice_windows(
         chunked(signal_, CHUNK), lengths(signal_), CHUNK, 10, padding="right-align"
     ).select("track", "win_idx", total)
@@ -416,7 +416,7 @@ def l16_raw(spark, sf):
 def l18(spark, sf):
     signal_ = stored_frames(spark, sf)
     windows = slice_windows(chunked(signal_, CHUNK), lengths(signal_), CHUNK, 10)
-    total = F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6)
+    total = F.round(vectors.total(F.col("x")), 6)
     name = F.concat_ws("_", F.col("track").cast("string"), F.lit("site"))
     rows = (
         windows.withColumn("name", name)
@@ -450,7 +450,7 @@ def l19(spark, sf):
     known = taxonomy(spark, sf)
     classes = labels.class_table(known, "species", ["noise"])
     k = classes.agg(F.count("*")).scalar()
-    total = F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6).alias("total")
+    total = F.round(vectors.total(F.col("x")), 6).alias("total")
     rows = labelled_windows(spark, sf).select("track", "win_idx", total, "label")
     return (
         rows.join(classes, "label")

@@ -8,6 +8,7 @@ from trackweave.catalog.registry import query
 from trackweave.catalog.samples import PAIR_SQL, pair_batches
 from trackweave.catalog.signals import CHUNK, slices_sql
 from trackweave.catalog.sqltext import FRAMES
+from trackweave.functions import vectors
 from trackweave.operators.windows import slice_windows
 from trackweave.session import work_path
 from trackweave.sources.tracks import chunked, frames, lengths, table
@@ -29,7 +30,7 @@ def r1(spark, sf):
 
     def score(batch):
         windows = slice_windows(chunked(batch, CHUNK), lengths(batch), CHUNK, 10)
-        mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.size("x")
+        mean = vectors.total(F.col("x")) / F.size("x")
         return windows.select(
             "track", "win_idx", (F.col("win_idx") * 5).alias("end_time"), F.round(mean, 6).alias("score")
         )

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+def total(x: Column) -> Column:
+    """Sum of the elements."""
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double"))
 
 
 def squared_norm(a: Column) -> Column:
-    return _sum(F.transform(a, lambda v: v.cast("double") * v.cast("double")))
+    return total(F.transform(a, lambda v: v.cast("double") * v.cast("double")))
 
 
 def norm(a: Column) -> Column:
@@ -19,7 +20,7 @@ def norm(a: Column) -> Column:
 
 def distance(a: Column, b: Column) -> Column:
     return F.sqrt(
-        _sum(
+        total(
             F.zip_with(
                 a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))
             )
@@ -28,7 +29,7 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    return _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
+    return total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
 
 def sigmoid(x: Column) -> Column:

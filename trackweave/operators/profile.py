@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from trackweave.operators.numbering import with_each
 
 BLOCK = 4096
-_CELLS = 250_000
+_CELLS = 125_000
 
 
 class Scratch:
@@ -84,12 +84,21 @@ def window_distances(
     return diagonal_sums(out, m, scratch)
 
 
-def _strip(m: int, cols: int) -> int:
-    """Windows per strip: about ``_CELLS`` distances, and not mostly overlap."""
-    return max(2 * m, 128, _CELLS // cols - m + 1)
+def _piece(m: int) -> tuple[int, int]:
+    """Rows and columns computed at once: fit for the cache, not mostly overlap."""
+    height = max(2 * m, 256)
+    return height, max(2 * m, _CELLS // (height + m) - m)
 
 
-def _improve(near: np.ndarray, at: np.ndarray, d: np.ndarray, first: int) -> None:
+def _improve_rows(near: np.ndarray, at: np.ndarray, d: np.ndarray, first: int) -> None:
+    """Take row minima of ``d`` that beat ``near``; columns count from ``first``."""
+    j = d.argmin(axis=1)
+    best = d[np.arange(len(d)), j]
+    closer = best < near
+    near[closer], at[closer] = best[closer], j[closer] + first
+
+
+def _improve_cols(near: np.ndarray, at: np.ndarray, d: np.ndarray, first: int) -> None:
     """Take column minima of ``d`` that beat ``near``; rows count from ``first``."""
     best = d.min(axis=0)
     closer = np.flatnonzero(best < near)
@@ -104,6 +113,14 @@ def _hide(d: np.ndarray, gap: int, zone: int) -> None:
     d[:, :cols][np.abs(lag) <= zone] = np.inf
 
 
+def _none_yet(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.full(n, np.inf), np.full(n, -1, dtype=np.int64)
+
+
+# Ranges come in ascending order, so an equally near later window never replaces
+# an earlier one.
+
+
 def nearest_between(
     a: np.ndarray, b: np.ndarray, m: int, gap: int, zone: int
 ) -> tuple[np.ndarray, ...]:
@@ -112,39 +129,38 @@ def nearest_between(
     ``b`` starts ``gap`` after ``a``; pairs at most ``zone`` apart do not count.
     """
     rows, cols = len(a) - m + 1, len(b) - m + 1
-    near_a, at_a = np.empty(rows), np.empty(rows, dtype=np.int64)
-    near_b, at_b = np.full(cols, np.inf), np.zeros(cols, dtype=np.int64)
-    step = _strip(m, len(b))
-    for lo in range(0, rows, step):
-        hi = min(lo + step, rows)
-        d = window_distances(a[lo : hi + m - 1], b, m)
-        _hide(d, gap - lo, zone)
-        at = d.argmin(axis=1)
-        near_a[lo:hi], at_a[lo:hi] = d[np.arange(hi - lo), at], at
-        _improve(near_b, at_b, d, lo)
+    (near_a, at_a), (near_b, at_b) = _none_yet(rows), _none_yet(cols)
+    height, width = _piece(m)
+    for lo in range(0, rows, height):
+        hi = min(lo + height, rows)
+        for left in range(0, cols, width):
+            right = min(left + width, cols)
+            d = window_distances(a[lo : hi + m - 1], b[left : right + m - 1], m)
+            _hide(d, gap + left - lo, zone)
+            _improve_rows(near_a[lo:hi], at_a[lo:hi], d, left)
+            _improve_cols(near_b[left:right], at_b[left:right], d, lo)
     return near_a, at_a, near_b, at_b
 
 
 def nearest_within(a: np.ndarray, m: int, zone: int) -> tuple[np.ndarray, np.ndarray]:
     """Nearest other window of ``a`` more than ``zone`` windows away.
 
-    Distances are symmetric: a strip only looks at windows from its own start
+    Distances are symmetric: a row range only looks at windows from its own start
     on, and serves the later ones as well.
     """
     n = len(a) - m + 1
-    near, at = np.full(n, np.inf), np.full(n, -1, dtype=np.int64)
-    step = _strip(m, len(a))
-    for lo in range(0, n, step):
-        hi = min(lo + step, n)
-        d = window_distances(a[lo : hi + m - 1], a[lo:], m)
-        _hide(d, 0, zone)
-        # earlier strips came with earlier neighbours, so only less is better
-        j = d.argmin(axis=1)
-        best = d[np.arange(hi - lo), j]
-        closer = best < near[lo:hi]
-        near[lo:hi][closer], at[lo:hi][closer] = best[closer], j[closer] + lo
-        if hi < n:
-            _improve(near[hi:], at[hi:], d[:, hi - lo :], lo)
+    near, at = _none_yet(n)
+    height, width = _piece(m)
+    for lo in range(0, n, height):
+        hi = min(lo + height, n)
+        for left in range(lo, n, width):
+            right = min(left + width, n)
+            d = window_distances(a[lo : hi + m - 1], a[left : right + m - 1], m)
+            _hide(d, left - lo, zone)
+            _improve_rows(near[lo:hi], at[lo:hi], d, left)
+            # the square on the diagonal has served its own rows already
+            later = max(left, hi)
+            _improve_cols(near[later:right], at[later:right], d[:, later - left :], lo)
     return near, at
 
 
