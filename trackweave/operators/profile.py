@@ -186,7 +186,9 @@ def _tasks(df: DataFrame) -> int:
 
     A fixed number of partitions is not merged at run time.
     """
-    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(wanted, 2 * spark.sparkContext.defaultParallelism)
 
 
 def matrix_profile(

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trackweave.operators.numbering import number_rows
 from trackweave.session import cut_lineage
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def minute_of(ts: str) -> Column:
+    """Minutes since 1970 of a timestamp without time zone."""
+    return F.unix_date(F.to_date(ts)) * 1440 + F.hour(ts) * 60 + F.minute(ts)
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(track, pos, value, kind)``: events in time order per user.
 
@@ -23,7 +28,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("track"), "ts", "event_id", F.col("event_type").alias("kind"), "value"
     )
-    numbered = number_rows(events, ["track"], ["ts", "event_id"], F.date_trunc("minute", "ts"), "pos")
+    numbered = number_rows(events, ["track"], ["ts", "event_id"], minute_of("ts"), "pos")
     return numbered.select("track", "pos", "value", "kind")
 
 
@@ -37,8 +42,7 @@ def kind_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("track"), "ts", "event_id", "value"
     )
-    minute = F.date_trunc("minute", "ts")
-    numbered = number_rows(events, ["track"], ["ts", "event_id"], minute, "pos")
+    numbered = number_rows(events, ["track"], ["ts", "event_id"], minute_of("ts"), "pos")
     return cut_lineage(numbered.drop("ts", "event_id"))
 
 
@@ -52,8 +56,7 @@ def vector_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("track"), "ts", "event_id", frame.alias("frame")
     )
-    minute = F.date_trunc("minute", "ts")
-    numbered = number_rows(events, ["track"], ["ts", "event_id"], minute, "pos")
+    numbered = number_rows(events, ["track"], ["ts", "event_id"], minute_of("ts"), "pos")
     return cut_lineage(numbered.drop("ts", "event_id"))
 
 
