@@ -199,7 +199,8 @@ def matrix_profile(
     ``mp`` is the Euclidean distance to the nearest subsequence of the same
     track more than ``m / 2`` frames away and ``pi`` its position, the first one
     on ties; without any such subsequence they are infinite and -1. ``value`` is
-    a number or a vector of numbers per frame.
+    a number or a vector of numbers per frame; positions count 0, 1, 2, ... without
+    gaps.
     """
     if block < m:
         raise ValueError("block must hold at least one window")
