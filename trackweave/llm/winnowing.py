@@ -150,13 +150,15 @@ def with_next(docs: DataFrame, columns: dict[str, Callable[[Column], Column]]) -
     home = F.struct(F.col("_range").alias("r"), F.lit(0).alias("extra"))
     extra = F.struct(also.alias("r"), F.lit(1).alias("extra"))
     sent = ranged.withColumn("_to", F.explode(F.when(also.isNull(), F.array(home)).otherwise(F.array(home, extra))))
-    in_order = Window.partitionBy("_to.r").orderBy("_to.extra", "_key", "text")
-    out = sent.select("doc_id", "text", "_key", "_to").withColumn("next_text", F.lead("text").over(in_order))
+    # plain columns: both windows then use one exchange and one sort
+    sent = sent.select("doc_id", "text", "_key", F.col("_to.r").alias("_part"), F.col("_to.extra").alias("_extra"))
+    in_order = Window.partitionBy("_part").orderBy("_extra", "_key", "text")
+    out = sent.withColumn("next_text", F.lead("text").over(in_order))
     for name, value in columns.items():
         out = out.withColumn(name, value(F.col("text")))
     for name in columns:
         out = out.withColumn(f"next_{name}", F.lead(name).over(in_order))
-    return out.where("_to.extra = 0").drop("_key", "_to")
+    return out.where("_extra = 0").drop("_key", "_part", "_extra")
 
 
 def edited(text: Column, following: Column) -> Column:
