@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackweave.llm import mixing, pieces, suffix_tree, token_counts, url_rules, winnowing
+from trackweave.llm import (
+    mixing,
+    pieces,
+    quality,
+    shingle_join,
+    suffix_tree,
+    token_counts,
+    toxicity,
+    url_rules,
+    vector_join,
+    winnowing,
+)
 from trackweave.sources.tracks import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +85,11 @@ def op1(spark, sf):
     return mixing.taken(mixing.clock(docs, weights=(5, 2, 1), repeats=3, share=1.0))
 
 
+@query("op2_shingle_join")
+def op2(spark, sf):
+    return shingle_join.near_classes(table(spark, sf, "documents"))
+
+
 @query("op3_winnowing_fingerprints")
 def op3(spark, sf):
     return winnowing.compared(table(spark, sf, "documents"))
@@ -87,6 +103,29 @@ def op4(spark, sf):
     return suffix_tree.scored(docs, tree, counts)
 
 
+@query("op5_toxicity_chain")
+def op5(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, table(spark, sf, "labels"))
+    rows = toxicity.scored(docs, chain).drop("text")
+    found = [F.col(f"_t_{c}").alias(f"p_{c}") for c in chain.categories]
+    return rows.select("doc_id", *found, (F.col("_t_toxic") >= toxicity.REJECT).alias("toxic"))
+
+
+@query("op6_quality_rules")
+def op6(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = suffix_tree.held_out(F.col("doc_id"), 4, 2)
+    model = quality.fit(docs, table(spark, sf, "labels").where(~held_out))
+    rows = quality.scored(docs, model).withColumn("held_out", held_out)
+    return rows.select(
+        "doc_id",
+        "held_out",
+        F.col("_q_score").alias("score"),
+        (F.col("_q_score") >= quality.ACCEPT).cast("int").alias("predicted"),
+    )
+
+
 @query("op7_sentencepiece_round_trip")
 def op7(spark, sf):
     return pieces.round_trips(table(spark, sf, "documents"))
@@ -102,4 +141,9 @@ def op9(spark, sf):
     return url_rules.verdicts(table(spark, sf, "pages"), URL_RULES)
 
 
+@query("op10_near_vectors")
+def op10(spark, sf):
+    return vector_join.near_vectors(table(spark, sf, "embeddings"), cosine=0.95, recall=0.995)
+
+
 ORACLE["op1_mix_sources"] = MIX_SQL

@@ -1,27 +1,27 @@
 """Exact self-join of texts on the Jaccard similarity of their word shingles.
 
-Texts with equal shingle sets are one *node*. Links between nodes are found in two steps
-and lose nothing:
-
-1. *Hubs.* A few minimum hashes per node pick, for each node, the one other node it agrees
-   with most; that pair is verified. Families of near copies collapse to components, so
-   later steps need not pair their members with each other.
-2. *Tiles.* Two sets that are similar enough share one of the first
-   ``n - ceil(t n) + 1`` shingles in any common order. Shingles that a fixed-size count
-   sketch finds frequent go last in that order, so passages shared by many texts are
-   rarely among the first ones. A tile holds the nodes that have one such shingle and lie
-   in one size band or the next longer one (sizes of a pair differ by less than a band).
-   Tiles of one component are dropped. In the others pairs across components are bounded
-   from above by bit counts of hashed bitmap signatures, and what passes is verified by
-   the exact intersection of the sorted arrays. A large tile is cut in blocks of nodes by
-   hash, and each pair of blocks is a tile of its own.
-
-The sketch only orders shingles; whatever it says, the join is complete.
+Texts with equal shingle sets are one *node*. Links are found in three steps; whatever
+the first two do, the last one completes the components exactly:
+
+1. *Hubs.* Nodes that share a minimum hash share a few hubs, picked in several orders. A
+   node is verified with the hubs it agrees with most, so families of near copies become
+   components without pairing their members.
+2. *Tiles.* Two sets that are similar enough share one of the first ``n - ceil(t n) + 1``
+   shingles in any common order. Shingles that a fixed-size count sketch finds frequent go
+   last in that order, so passages shared by many texts are rarely among the first ones. A
+   tile holds the nodes with one such shingle in one size band or the next longer one
+   (sizes of a pair are at most one band apart). Tiles of one component are dropped. In
+   the others bit counts of hashed bitmap signatures bound the overlap from above, and the
+   pair of highest bound of each node is verified by exact intersection of sorted arrays.
+3. Tiles that still hold several components are gone over again, now with every pair across
+   components that the bound lets pass.
+
+A large tile is cut in blocks of nodes by hash, and each pair of blocks is a task's tile.
 
 Defined cases: null or empty texts, and texts without words, have no shingles and link
 with nothing; fewer words than a shingle form one shingle; repeated rows and equal texts
-belong to one component; a null id takes part like any other but is never the smallest;
-an empty table gives an empty result; other columns are not read.
+belong to one component; a row without id belongs to the component of an equal text that
+has one, else to none; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from trackweave.llm.components import components
 from trackweave.llm.runs import runs
@@ -41,8 +41,10 @@ from trackweave.session import cut_lineage
 SIZE = 5
 CELLS = 1 << 18  # counters of the sketch
 SLICES = 64
-MINIMA = 8
-AGREE = 3  # minimum hashes that a node and its hub share
+MINIMA = 16
+AGREE = 10  # minimum hashes that a node and its hub share
+HUBS = 6  # orders in which hubs are picked
+TRIED = 3  # hubs of a node that are verified
 BLOCK = 256  # nodes of one block of a large tile
 MOST_SENT = 4_000_000  # ids broadcast at once (32 MB); beyond it texts are joined by a shuffle
 
@@ -257,45 +259,57 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "bits": pa.array(maps, pa.binary())})
 
 
-def _candidates(rule: Threshold):
-    """Pairs of a tile in different components whose bound on the overlap is high enough."""
+def _candidates(rule: Threshold, best: bool):
+    """Pairs of a tile in different components whose bound on the overlap is high enough.
+
+    With ``best`` only the pair of highest bound is given for each node.
+    """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_a: list[np.ndarray] = []
-        held_b: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         n_held = 0
         for tile in runs(batches, ["key", "band", "lo", "hi"]):
-            if tile.num_rows < 2:
+            m = tile.num_rows
+            if m < 2:
                 continue
             node, n, comp, own, block = (tile.column(c).to_numpy() for c in ("node", "n", "comp", "own", "block"))
             lo, hi = tile.column("lo")[0].as_py(), tile.column("hi")[0].as_py()
             width = 1 << max(0, (int(n.min()) - 1).bit_length() - 6)
             bits = np.stack([_folded(x, width) for x in tile.column("bits").to_pylist()])
-            for i in range(len(node) - 1):
-                rest = slice(i + 1, None)
-                ok = (comp[rest] != comp[i]) & ((own[rest] == 1) | (own[i] == 1))
+            step = max(1, (1 << 21) // (m * width))
+            for i in range(0, m, step):
+                rows = slice(i, i + step)
+                ok = (comp[rows, None] != comp) & ((own[rows, None] == 1) | (own == 1))
                 if lo != hi:
-                    ok &= block[rest] != block[i]
-                at = np.flatnonzero(ok) + i + 1
-                if not len(at):
+                    ok &= block[rows, None] != block
+                if not ok.any():
                     continue
-                apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1)
-                at = at[rule.linked((n[at] + n[i] - apart) // 2, n[at], n[i])]
-                if len(at):
-                    held_a.append(np.full(len(at), node[i]))
-                    held_b.append(node[at])
-                    n_held += len(at)
+                apart = np.bitwise_count(bits[rows, None, :] ^ bits).sum(axis=2, dtype=np.int64)
+                both = n[rows, None].astype(np.int64) + n
+                most = (both - apart) // 2
+                ok &= rule.whole * most >= rule.part * (both - most)
+                if best:
+                    some = np.flatnonzero(ok.any(axis=1))
+                    like = np.where(ok[some], most[some] / (both[some] - most[some]), -1.0)
+                    x, y = some + i, like.argmax(axis=1)
+                else:
+                    x, y = np.nonzero(ok)
+                    x = x + i
+                    x, y = x[x < y], y[x < y]
+                if len(x):
+                    held.append((node[x], node[y]))
+                    n_held += len(x)
             if n_held > 200_000:
-                yield _pairs(held_a, held_b)
-                held_a, held_b, n_held = [], [], 0
+                yield _pairs(held)
+                held, n_held = [], 0
         if n_held:
-            yield _pairs(held_a, held_b)
+            yield _pairs(held)
 
     return pair
 
 
-def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    x, y = np.concatenate(a), np.concatenate(b)
+def _pairs(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    x, y = (np.concatenate(c) for c in zip(*held))
     both = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
     return pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0].copy()), "b": pa.array(both[:, 1].copy())})
 
@@ -343,29 +357,36 @@ class Join:
         return pairs.join(left, "a").join(right, "b").mapInArrow(_intersected(self.rule), "a bigint, b bigint")
 
     def hub_pairs(self) -> DataFrame:
-        """Each node with the node it shares most minimum hashes with."""
-        each = self.nodes.select("node", F.explode("minima").alias("value"))
-        hubs = each.groupBy("value").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub <> _last")
-        agreed = each.join(hubs.drop("_last"), "value").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("k"))
-        best = agreed.where(F.col("k") >= AGREE).groupBy("node").agg(F.max(F.struct("k", "hub"))["hub"].alias("hub"))
-        return best.select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        """Each node with the hubs it shares most minimum hashes with.
 
-    def tile_pairs(self, known: DataFrame) -> DataFrame:
-        """Candidate pairs across the components ``(node, component)`` known so far."""
+        Every minimum hash has a hub in each of several orders of the nodes.
+        """
+        each = self.nodes.select("node", F.explode("minima").alias("value"))
+        order = [F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(HUBS)]
+        hubs = each.groupBy("value").agg(F.array_distinct(F.array(*order)).alias("hubs"), F.count(F.lit(1)).alias("_n"))
+        hubs = hubs.where("_n > 1").select("value", F.explode("hubs").alias("hub"))
+        agreed = each.join(hubs, "value").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("k"))
+        by = Window.partitionBy("node").orderBy(F.desc("k"), "hub")
+        tried = agreed.where(F.col("k") >= AGREE).withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= TRIED)
+        return tried.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+
+    def tile_rows(self) -> DataFrame:
+        """``(key, node, n)``: first shingles that several nodes have."""
         kinds = "key bigint, node bigint, n int, often boolean"
         firsts = self.docs.where("doc_id IS NOT NULL").mapInArrow(_firsts(self.frequent, self.rule, self.size), kinds)
-        # texts of equal sets give equal rows
+        # texts of equal sets give equal rows; rare shingles have short runs by the sketch
         rare = firsts.where("NOT often").repartition("key").groupBy("key", "node", "n").agg(F.lit(1).alias("_one"))
-        alone = F.expr("count(1) OVER (PARTITION BY key)")
-        shared = rare.withColumn("_c", alone).where("_c > 1").select("key", "node", "n")
-        heavy = firsts.where("often").groupBy("key", "node", "n").agg(F.lit(1).alias("_one")).select("key", "node", "n")
-        rows = cut_lineage(shared.union(heavy))
+        shared = rare.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_c > 1")
+        heavy = firsts.where("often").select("key", "node", "n").distinct()
+        return shared.select("key", "node", "n").union(heavy)
+
+    def open_tiles(self, rows: DataFrame, known: DataFrame) -> DataFrame:
+        """Rows of the tiles with several components; a tile has one band and the next longer one."""
         rows = rows.join(known, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         band = F.floor(F.log("n") / F.log(F.lit(self.rule.whole / self.rule.part)) + 1e-9).cast("int")
-        # band b: the texts of b and the longer ones of b + 1
-        rows = rows.withColumn("_band", band).withColumn(
-            "_in", F.explode(F.array(F.struct(F.col("_band").alias("band"), F.lit(1).alias("own")), F.struct((F.col("_band") - 1).alias("band"), F.lit(0).alias("own"))))
-        )
+        place = lambda b, own: F.struct(b.alias("band"), F.lit(own).alias("own"))
+        rows = rows.withColumn("_band", band)
+        rows = rows.withColumn("_in", F.explode(F.array(place(F.col("_band"), 1), place(F.col("_band") - 1, 0))))
         rows = cut_lineage(rows.select("key", "node", "n", "comp", "_in.band", "_in.own"))
         tiles = (
             rows.groupBy("key", "band")
@@ -373,30 +394,47 @@ class Join:
             .where("_c0 <> _c1 AND _own = 1")
             .select("key", "band", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
         )
-        open_rows = cut_lineage(rows.join(tiles, ["key", "band"]))
-        marks = cut_lineage(self.sets_of(cut_lineage(open_rows.select("node").distinct())).mapInArrow(_marked, "node bigint, bits binary"))
+        return cut_lineage(rows.join(tiles, ["key", "band"]))
+
+    def tile_pairs(self, open_rows: DataFrame, marks: DataFrame, best: bool) -> DataFrame:
+        """Candidate pairs of the open tiles; large tiles as pairs of blocks."""
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        other = F.sequence(F.lit(0), F.col("blocks") - 1)
-        dealt = open_rows.withColumn("block", block).withColumn("_with", F.explode(other))
+        dealt = open_rows.withColumn("block", block).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select(
             "key", "band", "node", "n", "comp", "own", "block",
             F.least("block", "_with").alias("lo"), F.greatest("block", "_with").alias("hi"),
         )
         tile = ["key", "band", "lo", "hi"]
         ready = dealt.join(marks, "node").repartition(*tile).sortWithinPartitions(*tile)
-        return ready.mapInArrow(_candidates(self.rule), "a bigint, b bigint").distinct()
-
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """Verified links between nodes that make up all components, and the components."""
-        near = cut_lineage(self.verified(cut_lineage(self.hub_pairs())))
-        known = components(near)
-        far = cut_lineage(self.verified(cut_lineage(self.tile_pairs(known))))
-        every = near.union(far)
-        return every, components(every) if not far.isEmpty() else known
+        return ready.mapInArrow(_candidates(self.rule, best), "a bigint, b bigint").distinct()
+
+    def marks(self, nodes: DataFrame) -> DataFrame:
+        return self.sets_of(nodes).mapInArrow(_marked, "node bigint, bits binary")
+
+    def components(self) -> DataFrame:
+        """``(node, component)`` of all nodes that links tie to a smaller one.
+
+        After the hubs, a round over the tiles verifies the best pair of each node only;
+        what that ties together needs no further pairs. The last round takes every pair
+        across components that the bound lets pass.
+        """
+        links = cut_lineage(self.verified(cut_lineage(self.hub_pairs())))
+        known = components(links)
+        rows = cut_lineage(self.tile_rows())
+        marks = None
+        for best in (True, False):
+            rows = self.open_tiles(rows.select("key", "node", "n").distinct() if marks is not None else rows, known)
+            if marks is None:
+                marks = cut_lineage(self.marks(cut_lineage(rows.select("node").distinct())))
+            more = cut_lineage(self.verified(cut_lineage(self.tile_pairs(rows, marks, best))))
+            if not more.isEmpty():
+                links = links.union(more)
+                known = components(links)
+        return known
 
     def classes(self) -> DataFrame:
         """``(doc_id, n_shingles, component_id)`` of every text."""
-        _, found = self.links()
+        found = self.components()
         # the smallest id of a component
         named = self.nodes.select("node", "doc_id").join(found, "node", "left")
         named = named.withColumn("_c", F.coalesce("component", "node")).select("node", "doc_id", "_c")
