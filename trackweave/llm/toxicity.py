@@ -4,9 +4,10 @@ Categories are predicted one after another; each model sees the words of a text
 probabilities of the categories before it. Those it is trained on come from models that
 did not see the row (out of fold), so it learns how far they can be trusted.
 
-The words that tell a category are picked by the likelihood ratio of their document
-counts in a bounded sample of labelled texts; a feature is whether a text has the word, so
-one word in a very long text counts as much as in a short one.
+Terms are words and their beginnings of a few lengths, so that inflected forms of a stem
+count together. The terms that tell a category are picked by the likelihood ratio of their
+document counts in a bounded sample of labelled texts; a feature is whether a text has the
+term, so one word in a very long text counts as much as in a short one.
 
 Labels give the category ``toxic``; the finer categories are marked in toxic rows by the
 seed words of ``SEEDS`` (a parameter).
@@ -31,12 +32,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from trackweave.llm.labelled import bounded, sampled
-from trackweave.llm.words import Words, cut, pieces
+from trackweave.llm.words import Words, cut, mix, pieces
 from trackweave.session import cut_lineage
 
 MOST_LABELLED = 12_000  # rows that the chain is fitted on
-MOST_WORDS = 24  # words picked for each category
-LEAST_TEXTS = 5  # labelled texts that a picked word is in
+MOST_TERMS = 80  # terms picked for each category
+LEAST_TEXTS = 5  # labelled texts that a picked term is in
+BEGINNINGS = (4, 5, 6, 7)  # bytes of a word's beginning that are terms too
 FOLDS = 3
 RIDGE = 1e-4
 REJECT = 0.5
@@ -57,6 +59,18 @@ def _word_pieces(column: pa.Array) -> Iterator[tuple[int, Words]]:
         yield row, cut(data, offsets, APART)
 
 
+def _terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """``(term numbers, text of each)`` of all words and their beginnings."""
+    of, size = words.row(), words.end - words.begin
+    names, rows = [words.hashes()], [of]
+    for n in BEGINNINGS:
+        long = size >= n
+        part = Words(words.data, words.begin[long], words.begin[long] + n, words.first, words.texts)
+        names.append(mix(part.hashes() + np.uint64(n)))
+        rows.append(of[long])
+    return np.concatenate(names).view(np.int64), np.concatenate(rows)
+
+
 def word_name(word: str) -> int:
     """The number that stands for a word."""
     data = np.frombuffer(word.encode(), dtype=np.uint8)
@@ -64,11 +78,12 @@ def word_name(word: str) -> int:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(doc_id, words)``: the distinct words of each text as numbers in text form."""
+    """``(doc_id, words)``: the distinct terms of each text as numbers in text form."""
     for batch in batches:
         for row, words in _word_pieces(batch.column("text")):
-            h = words.hashes().view(np.int64)
-            cuts = words.first.tolist()
+            h, of = _terms(words)
+            order = np.argsort(of, kind="stable")
+            h, cuts = h[order], np.searchsorted(of[order], np.arange(len(words.first))).tolist()
             bags = [[str(x) for x in np.unique(h[a:b]).tolist()] for a, b in zip(cuts[:-1], cuts[1:])]
             ids = batch.column("doc_id").slice(row, len(bags))
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "words": pa.array(bags, pa.list_(pa.string()))})
@@ -77,7 +92,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Chain:
     categories: list[str]
-    words: np.ndarray  # picked words, sorted
+    words: np.ndarray  # picked terms, sorted
     weights: np.ndarray  # category x word
     earlier: np.ndarray  # category x category: weights of the probabilities before it
     intercepts: np.ndarray
@@ -88,10 +103,10 @@ class Chain:
             n = len(words.first) - 1
             z = np.tile(self.intercepts, (n, 1))
             if len(self.words):
-                h = words.hashes().view(np.int64)
+                h, of = _terms(words)
                 at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
                 hit = self.words[at] == h
-                pairs = np.unique(words.row()[hit] * len(self.words) + at[hit])
+                pairs = np.unique(of[hit] * len(self.words) + at[hit])
                 of, word = pairs // len(self.words), pairs % len(self.words)
                 for c in range(len(self.categories)):
                     z[:, c] += np.bincount(of, self.weights[c][word], n)
@@ -103,7 +118,7 @@ class Chain:
 
 
 def _picked(rows: DataFrame, categories: Sequence[str], most: int) -> list[str]:
-    """The words that tell the categories best; at most ``most`` for each."""
+    """The terms that tell the categories best; at most ``most`` for each."""
     total = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     counted = (
         rows.select(F.explode("words").alias("word"), *categories)
@@ -144,7 +159,7 @@ def fit(
     categories = [*seeds, column]
     rows = rows.withColumn(column, F.col("label")).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)))
     rows = cut_lineage(rows.coalesce(8))
-    names = _picked(rows, categories, MOST_WORDS)
+    names = _picked(rows, categories, MOST_TERMS)
     n = len(names)
     chain = Chain(categories, np.array([int(x) for x in names], dtype=np.int64), np.zeros((len(categories), n)), np.zeros((len(categories),) * 2), np.zeros(len(categories)))
     if n:
