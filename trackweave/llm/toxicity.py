@@ -38,6 +38,7 @@ from trackweave.session import cut_lineage
 MOST_LABELLED = 12_000  # rows that the chain is fitted on
 MOST_TERMS = 80  # terms picked for each category
 LEAST_TEXTS = 5  # labelled texts that a picked term is in
+SIGNIFICANT = 12.0  # least log likelihood ratio of a picked term: chance among some 100,000 terms is excluded
 BEGINNINGS = (4, 5, 6, 7)  # bytes of a word's beginning that are terms too
 FOLDS = 3
 RIDGE = 1e-4
@@ -136,7 +137,7 @@ def _picked(rows: DataFrame, categories: Sequence[str], most: int) -> list[str]:
         both = F.col("n") / F.lit(inside + outside)
         part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
         ratio = part(a, both * inside) + part(b, both * outside)
-        told = counted.where(a / inside > b / outside).orderBy(F.desc(ratio), "word").limit(most)
+        told = counted.where((a / inside > b / outside) & (ratio >= SIGNIFICANT)).orderBy(F.desc(ratio), "word").limit(most)
         found |= {r["word"] for r in told.select("word").collect()}
     return sorted(found, key=int)
 
