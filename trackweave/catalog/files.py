@@ -17,7 +17,7 @@ _BARE = "regexp_replace(url, '^https?://', '')"
 
 @query(
     "s1_file_listing",
-    "SELECT DISTINCT 'label=' || source AS label, true AS has_files FROM documents",
+    "SELECT DISTINCT source AS label, true AS has_files FROM documents",
 )
 def s1(spark, sf):
     path = work_path(spark, "listing")
@@ -161,10 +161,10 @@ def s10(spark, sf):
 
 @query("s11_skip_existing", "SELECT doc_id, n_chars, count(*) AS copies FROM documents GROUP BY 1, 2")
 def s11(spark, sf):
-    """A first run covers the labelled documents, two more only add the rest."""
+    """A first run makes the table of the labelled documents, two more only add the rest."""
     path = work_path(spark, "outputs")
     docs = table(spark, sf, "documents").select("doc_id", "n_chars")
-    docs.join(table(spark, sf, "labels"), "doc_id", "left_semi").write.parquet(path)
+    files.append_missing(docs.join(table(spark, sf, "labels"), "doc_id", "left_semi"), path, ["doc_id"])
     files.append_missing(docs, path, ["doc_id"])
     files.append_missing(docs, path, ["doc_id"])
     return spark.read.parquet(path).groupBy("doc_id", "n_chars").agg(F.count("*").alias("copies"))

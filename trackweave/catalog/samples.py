@@ -180,7 +180,8 @@ def m1(spark, sf):
 def m1_sample_by(spark, sf):
     """The same stratified sample drawn by Spark's own generator."""
     rows = table(spark, sf, "events").select("event_type", "event_id")
-    return sampling.bernoulli_by_generator(rows, "event_type", kind_fractions(spark, sf), 51, ["event_id"])
+    known = {r["event_type"]: r["fraction"] for r in kind_fractions(spark, sf).collect()}
+    return sampling.bernoulli_by_generator(rows, "event_type", known, 51)
 
 
 @query(

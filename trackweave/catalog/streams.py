@@ -54,7 +54,8 @@ def r2(spark, sf):
     events.repartition(FILES).write.parquet(f"{root}/in")
     stream = ingest.read_arriving(spark, f"{root}/in", "track bigint, ts timestamp, value double")
     # the files are not in time order: rows may be as late as the whole collection is long
-    windows = ingest.time_windows(stream, "ts", "5 seconds", "60 days", ["track"], "value")
+    delay = ingest.spread(spark.read.parquet(f"{root}/in"), "ts")
+    windows = ingest.time_windows(stream, "ts", "5 seconds", delay, ["track"], "value")
     ingest.run_batches(windows, lambda b: b, f"{root}/out", f"{root}/state", "update").awaitTermination()
     return ingest.latest(spark.read.parquet(f"{root}/out"), ["track", "start"]).select(
         "track",

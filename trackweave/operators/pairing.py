@@ -17,9 +17,9 @@ def window_neighbours(profile: DataFrame, width: int) -> DataFrame:
     """``(track, win, nbr)``: the most frequent neighbour window of each window.
 
     Profile positions are grouped in runs of ``width``; ties go to the smaller
-    neighbour.
+    neighbour. Subsequences without a neighbour do not vote.
     """
-    votes = profile.groupBy(
+    votes = profile.where("pi >= 0").groupBy(
         "track",
         F.expr(f"i div {width}").alias("win"),
         F.expr(f"pi div {width}").alias("nbr"),

@@ -90,6 +90,11 @@ def _piece(m: int) -> tuple[int, int]:
     return height, max(2 * m, _CELLS // (height + m) - m)
 
 
+def _finite(d: np.ndarray) -> None:
+    """Windows with a missing or non-finite frame are near to nothing."""
+    np.copyto(d, np.inf, where=~np.isfinite(d))
+
+
 def _improve_rows(near: np.ndarray, at: np.ndarray, d: np.ndarray, first: int) -> None:
     """Take row minima of ``d`` that beat ``near``; columns count from ``first``."""
     j = d.argmin(axis=1)
@@ -136,6 +141,7 @@ def nearest_between(
         for left in range(0, cols, width):
             right = min(left + width, cols)
             d = window_distances(a[lo : hi + m - 1], b[left : right + m - 1], m)
+            _finite(d)
             _hide(d, gap + left - lo, zone)
             _improve_rows(near_a[lo:hi], at_a[lo:hi], d, left)
             _improve_cols(near_b[left:right], at_b[left:right], d, lo)
@@ -156,6 +162,7 @@ def nearest_within(a: np.ndarray, m: int, zone: int) -> tuple[np.ndarray, np.nda
         for left in range(lo, n, width):
             right = min(left + width, n)
             d = window_distances(a[lo : hi + m - 1], a[left : right + m - 1], m)
+            _finite(d)
             _hide(d, left - lo, zone)
             _improve_rows(near[lo:hi], at[lo:hi], d, left)
             # the square on the diagonal has served its own rows already
@@ -166,7 +173,15 @@ def nearest_within(a: np.ndarray, m: int, zone: int) -> tuple[np.ndarray, np.nda
 
 def _matrix(column) -> np.ndarray:
     """One list of frame vectors as a matrix."""
-    return column.values.flatten().to_numpy(zero_copy_only=False).reshape(len(column.values), -1)
+    frames = column.values
+    numbers = frames.flatten().to_numpy(zero_copy_only=False)
+    if not frames.null_count:
+        return numbers.reshape(len(frames), -1)
+    there = frames.is_valid().to_numpy(zero_copy_only=False)
+    out = np.full((len(frames), len(numbers) // max(1, int(there.sum())) or 1), np.nan)
+    if there.any():
+        out[there] = numbers.reshape(int(there.sum()), -1)
+    return out
 
 
 def _stack(column, length: int) -> np.ndarray:
@@ -192,7 +207,7 @@ def _tasks(df: DataFrame) -> int:
 
 
 def matrix_profile(
-    frames: DataFrame, m: int, value: str = "value", block: int = BLOCK
+    frames: DataFrame, m: int, value: str = "value", block: int | None = None
 ) -> DataFrame:
     """``(track, i, mp, pi)`` for every subsequence of ``m`` frames.
 
@@ -202,6 +217,8 @@ def matrix_profile(
     a number or a vector of numbers per frame; positions count 0, 1, 2, ... without
     gaps.
     """
+    if block is None:
+        block = max(BLOCK, 2 * m)
     if block < m:
         raise ValueError("block must hold at least one window")
     vectors = _as_vector(frames, value)

@@ -27,18 +27,13 @@ def bernoulli_by_group(
     )
 
 
-def bernoulli_by_generator(
-    df: DataFrame, group: str, fractions: DataFrame, seed: int, keys: Sequence[str], max_groups: int = 10_000
-) -> DataFrame:
+def bernoulli_by_generator(df: DataFrame, group: str, fractions: dict, seed: int) -> DataFrame:
     """The same kind of sample by Spark's own generator.
 
-    It takes its fractions from the driver; more than ``max_groups`` of them are
-    joined instead.
+    It takes its fractions from the driver; groups without one are left out. For fractions
+    kept in a table use ``bernoulli_by_group``.
     """
-    known = fractions.select(group, "fraction").limit(max_groups + 1).collect()
-    if len(known) > max_groups:
-        return bernoulli_by_group(df, group, fractions, seed, keys)
-    return df.sampleBy(group, {r[group]: r.fraction for r in known}, seed)
+    return df.sampleBy(group, fractions, seed)
 
 
 def sample_with_replacement(

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """``(path, length, label)`` of all files below ``root``; label = parent folder.
 
-    File contents are not read.
+    A folder ``name=value``, as partitioned tables have them, counts as ``value``. File
+    contents are not read.
     """
     found = (
         spark.read.format("binaryFile")
@@ -19,7 +20,8 @@ def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
         .load(root)
         .select("path", "length")
     )
-    return found.withColumn("label", F.element_at(F.split("path", "/"), -2))
+    folder = F.url_decode(F.element_at(F.split("path", "/"), -2))
+    return found.withColumn("label", F.regexp_replace(folder, "^[A-Za-z_][A-Za-z0-9_]*=", ""))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -74,9 +76,21 @@ def missing_outputs(wanted: DataFrame, existing: DataFrame, keys: Sequence[str])
     return wanted.join(existing.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's file system has something at ``path``."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def append_missing(wanted: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Append only the rows whose output is not yet in the table at ``path``."""
+    """Append only the rows whose output is not yet in the table at ``path``.
+
+    The first run makes the table.
+    """
     spark = wanted.sparkSession
+    if not exists(spark, path):
+        wanted.write.mode("append").parquet(path)
+        return
     existing = spark.read.schema(wanted.schema).parquet(path)
     missing_outputs(wanted, existing, keys).write.mode("append").parquet(path)
 

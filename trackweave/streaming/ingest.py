@@ -45,6 +45,12 @@ def run_batches(
     )
 
 
+def spread(df: DataFrame, time: str) -> str:
+    """The time between the first and the last row, as a delay that no row exceeds."""
+    seconds = df.agg((F.unix_seconds(F.max(time)) - F.unix_seconds(F.min(time))).alias("s")).first()["s"]
+    return f"{int(seconds or 0) + 1} seconds"
+
+
 def time_windows(
     stream: DataFrame, time: str, width: str, delay: str, keys: list[str], value: str
 ) -> DataFrame:
