@@ -13,7 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
+from trackweave.llm.piece_model import SPACE_MARK
 from trackweave.llm.words import IDENTITY, Words, cut, mix, pieces
 
 SPACE_ONLY = np.zeros(256, dtype=bool)
@@ -74,6 +76,8 @@ def parted(
 ) -> Iterator[tuple[int, Parts, np.ndarray, list]]:
     """``(first row, parts, number of each part, results)``: ``make`` is given each distinct part once."""
     known: dict[int, object] = {}
+    # a mark written in a text is a space to the model; a run of both must not be cut
+    column = pc.replace_substring(column, SPACE_MARK, " ")
     for row, data, texts in pieces(column, PIECE):
         parts = parts_of(data, texts, prefix)
         keys, at, number = np.unique(parts.key, return_index=True, return_inverse=True)
