@@ -418,8 +418,7 @@ class Join:
         what that ties together needs no further pairs. The last round takes every pair
         across components that the bound lets pass.
         """
-        links = cut_lineage(self.verified(cut_lineage(self.hub_pairs())))
-        known = components(links)
+        known = components(cut_lineage(self.verified(cut_lineage(self.hub_pairs()))))
         rows = cut_lineage(self.tile_rows())
         marks = None
         for best in (True, False):
@@ -428,8 +427,8 @@ class Join:
                 marks = cut_lineage(self.marks(cut_lineage(rows.select("node").distinct())))
             more = cut_lineage(self.verified(cut_lineage(self.tile_pairs(rows, marks, best))))
             if not more.isEmpty():
-                links = links.union(more)
-                known = components(links)
+                # what is known ties the same nodes together as the links it came from
+                known = components(known.union(more))
         return known
 
     def classes(self) -> DataFrame:
