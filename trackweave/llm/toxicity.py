@@ -26,8 +26,8 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -41,6 +41,7 @@ LEAST_TEXTS = 5  # labelled texts that a picked term is in
 SIGNIFICANT = 12.0  # least log likelihood ratio of a picked term: chance among some 100,000 terms is excluded
 BEGINNINGS = (4, 5, 6, 7)  # bytes of a word's beginning that are terms too
 FOLDS = 3
+TASKS = 4  # tasks over the features of the bounded sample: few enough to sum gradients in one stage
 RIDGE = 1e-4
 REJECT = 0.5
 
@@ -78,16 +79,61 @@ def word_name(word: str) -> int:
     return int(cut(data, np.array([0, len(data)]), APART).hashes().view(np.int64)[0])
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(doc_id, words)``: the distinct terms of each text as numbers in text form."""
-    for batch in batches:
-        for row, words in _word_pieces(batch.column("text")):
-            h, of = _terms(words)
-            order = np.argsort(of, kind="stable")
-            h, cuts = h[order], np.searchsorted(of[order], np.arange(len(words.first))).tolist()
-            bags = [[str(x) for x in np.unique(h[a:b]).tolist()] for a, b in zip(cuts[:-1], cuts[1:])]
-            ids = batch.column("doc_id").slice(row, len(bags))
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "words": pa.array(bags, pa.list_(pa.string()))})
+def _flags(h: np.ndarray, of: np.ndarray, label: np.ndarray, seeds: Sequence[np.ndarray]) -> np.ndarray:
+    """``text x category``: the label, and the label where a text has a seed word of the category."""
+    out = np.zeros((len(label), len(seeds) + 1))
+    for i, wanted in enumerate(seeds):
+        out[of[np.isin(h, wanted)], i] = 1.0
+    out[:, :-1] *= label[:, None]
+    out[:, -1] = label
+    return out
+
+
+def _counted(seeds: Sequence[np.ndarray], categories: Sequence[str]):
+    """``(word, n, <categories>)``: in how many texts a term is, of all and of each category.
+
+    The texts themselves are counted under the term null.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = batch.column("label").to_numpy()
+            for row, words in _word_pieces(batch.column("text")):
+                h, of = _terms(words)
+                flags = _flags(h, of, labels[row : row + len(words.first) - 1], seeds)
+                order = np.lexsort((of, h))
+                h, of = h[order], of[order]
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+                names, at = np.unique(h[new], return_inverse=True)
+                n = np.bincount(at, minlength=len(names))
+                parts = [np.bincount(at, flags[of[new], i], len(names)) for i in range(len(categories))]
+                columns = [pa.array([*names.tolist(), None], pa.int64()), pa.array([*n.tolist(), len(flags)], pa.int64())]
+                columns += [pa.array(np.append(x, flags[:, i].sum())) for i, x in enumerate(parts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "n", *categories])
+
+    return count
+
+
+def _featured(seeds: Sequence[np.ndarray], categories: Sequence[str], picked: np.ndarray):
+    """``(doc_id, has, <categories>)``: which picked terms a text has, and its categories."""
+
+    def feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = batch.column("label").to_numpy()
+            for row, words in _word_pieces(batch.column("text")):
+                h, of = _terms(words)
+                flags = _flags(h, of, labels[row : row + len(words.first) - 1], seeds)
+                has = np.zeros((len(flags), len(picked)))
+                if len(picked):
+                    at = np.minimum(np.searchsorted(picked, h), len(picked) - 1)
+                    hit = picked[at] == h
+                    has[of[hit], at[hit]] = 1.0
+                ids = batch.column("doc_id").slice(row, len(flags))
+                columns = [ids, pa.array(list(has), pa.list_(pa.float64())), *[pa.array(x) for x in flags.T.copy()]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "has", *categories])
+
+    return feature
 
 
 @dataclass
@@ -118,17 +164,16 @@ class Chain:
         return out
 
 
-def _picked(rows: DataFrame, categories: Sequence[str], most: int) -> list[str]:
-    """The terms that tell the categories best; at most ``most`` for each."""
-    total = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
-    counted = (
-        rows.select(F.explode("words").alias("word"), *categories)
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories])
-        .where(F.col("n") >= LEAST_TEXTS)
-    )
-    counted = cut_lineage(counted)
-    found: set[str] = set()
+def _picked(rows: DataFrame, seeds: Sequence[np.ndarray], categories: Sequence[str], most: int) -> np.ndarray:
+    """The terms that tell the categories best, sorted; at most ``most`` for each."""
+    kinds = "word bigint, n bigint, " + ", ".join(f"`{c}` double" for c in categories)
+    each = rows.mapInArrow(_counted(seeds, categories), kinds).groupBy("word")
+    counted = cut_lineage(each.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in categories]).where(F.col("n") >= LEAST_TEXTS))
+    total = counted.where("word IS NULL").first()
+    if total is None:
+        return np.zeros(0, dtype=np.int64)
+    counted = counted.where("word IS NOT NULL")
+    found: set[int] = set()
     for c in categories:
         inside, outside = float(total[c] or 0), float(total["n"] - (total[c] or 0))
         if not inside or not outside:
@@ -139,7 +184,7 @@ def _picked(rows: DataFrame, categories: Sequence[str], most: int) -> list[str]:
         ratio = part(a, both * inside) + part(b, both * outside)
         told = counted.where((a / inside > b / outside) & (ratio >= SIGNIFICANT)).orderBy(F.desc(ratio), "word").limit(most)
         found |= {r["word"] for r in told.select("word").collect()}
-    return sorted(found, key=int)
+    return np.array(sorted(found), dtype=np.int64)
 
 
 def fit(
@@ -152,20 +197,19 @@ def fit(
     """A chain of the seeded categories and, last, the labelled one."""
     known, share = bounded(labels, column, most, "toxic")
     texts = docs.where(F.col("doc_id").isNotNull() & sampled(F.col("doc_id"), share, "toxic")).select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(_bags, f"doc_id {kind}, words array<string>").join(known, "doc_id").dropDuplicates(["words"])
-    for name, words in seeds.items():
-        ids = F.array(*[F.lit(str(word_name(w))) for w in words])
-        rows = rows.withColumn(name, F.when(F.arrays_overlap("words", ids), F.col("label")).otherwise(0.0))
+    # only the ids and texts of the bounded sample move; equal texts become one row
+    same = texts.withColumn("text", F.coalesce("text", F.lit(""))).join(known, "doc_id")
+    rows = cut_lineage(same.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")))
     categories = [*seeds, column]
-    rows = rows.withColumn(column, F.col("label")).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)))
-    rows = cut_lineage(rows.coalesce(8))
-    names = _picked(rows, categories, MOST_TERMS)
+    marks = [np.array([word_name(w) for w in words], dtype=np.int64) for words in seeds.values()]
+    names = _picked(rows, marks, categories, MOST_TERMS)
     n = len(names)
-    chain = Chain(categories, np.array([int(x) for x in names], dtype=np.int64), np.zeros((len(categories), n)), np.zeros((len(categories),) * 2), np.zeros(len(categories)))
-    if n:
-        bags = CountVectorizerModel.from_vocabulary(names, inputCol="words", outputCol="has", binary=True)
-        rows = bags.transform(rows).drop("words", "label")
+    chain = Chain(categories, names, np.zeros((len(categories), n)), np.zeros((len(categories),) * 2), np.zeros(len(categories)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = f"doc_id {kind}, has array<double>, " + ", ".join(f"`{c}` double" for c in categories)
+    rows = rows.mapInArrow(_featured(marks, categories, names), kinds)
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold")
+    rows = cut_lineage(rows.select(array_to_vector("has").alias("has"), fold, *categories).coalesce(TASKS))
     for i, c in enumerate(categories):
         seen = {r[c]: r["count"] for r in rows.groupBy(c).count().collect()}
         if len(seen) < 2 or not n:
@@ -175,7 +219,7 @@ def fit(
             continue
         before = [f"p_{x}" for x in categories[:i]]
         ready = VectorAssembler(inputCols=["has", *before], outputCol="x").transform(rows)
-        ready = cut_lineage(ready)
+        ready = cut_lineage(ready).coalesce(TASKS)
         learner = LogisticRegression(featuresCol="x", labelCol=c, regParam=RIDGE, standardization=False, maxIter=25, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y")
         model = learner.fit(ready)
         weights = model.coefficients.toArray()
@@ -191,7 +235,7 @@ def fit(
             else:
                 parts.append(learner.fit(rest).transform(own).withColumn(f"p_{c}", vector_to_array("_p")[1]).drop("_p", "_r", "_y"))
         rows = reduce(DataFrame.unionByName, parts)
-        rows = cut_lineage(rows.drop("x").coalesce(8))
+        rows = cut_lineage(rows.drop("x").coalesce(TASKS))
     return chain
 
 
