@@ -333,9 +333,12 @@ class Join:
         )
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
-        """``(node, n, part)`` of the given distinct nodes, made anew from their texts."""
+        """``(node, n, part)`` of the given distinct nodes, made anew from their texts.
+
+        ``nodes`` comes from a written table: it is counted without the join.
+        """
         ids = self.nodes.join(nodes, "node").select("doc_id")
-        if ids.count() <= MOST_SENT:
+        if nodes.count() <= MOST_SENT:
             wanted = np.sort(ids.toArrow().column(0).to_numpy())
             if not len(wanted):
                 return self.spark.createDataFrame([], "node bigint, n bigint, part binary")
@@ -365,7 +368,9 @@ class Join:
         order = [F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(HUBS)]
         hubs = each.groupBy("value").agg(F.array_distinct(F.array(*order)).alias("hubs"), F.count(F.lit(1)).alias("_n"))
         hubs = hubs.where("_n > 1").select("value", F.explode("hubs").alias("hub"))
-        agreed = each.join(hubs, "value").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("k"))
+        # dealt by node: the counts and the ranks of a node, at most MINIMA * HUBS rows, take one exchange
+        met = each.join(hubs, "value").where("node <> hub").select("node", "hub").repartition("node")
+        agreed = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("k"))
         by = Window.partitionBy("node").orderBy(F.desc("k"), "hub")
         tried = agreed.where(F.col("k") >= AGREE).withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= TRIED)
         return tried.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
