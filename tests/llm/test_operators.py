@@ -333,6 +333,17 @@ def test_toxicity_finds_held_out_rows(spark, sf):
     assert sum(r["_t_toxic"] >= 0.5 for r in clean) <= 0.02 * len(clean)
 
 
+def test_toxicity_uses_every_significant_term(spark):
+    words = [f"{c}{d}xenolith" for c in "bcdfghjklm" for d in "aeiou"]  # each with its own beginnings
+    toxic = [(i, f"{w} t{i}", 1) for i, w in enumerate(words * 12)]
+    clean = [(i, f"plain text number t{i}", 0) for i in range(1000, 4000)]
+    rows = spark.createDataFrame(toxic + clean, "doc_id bigint, text string, toxic int")
+    chain = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), seeds={})
+    assert {toxicity.word_name(w) for w in words} == set(chain.words.tolist())  # their beginnings are in the same texts
+    p = chain.probabilities(pa.array([*words, "plain text"]))[:, -1]
+    assert (p[:-1] >= toxicity.REJECT).all() and p[-1] < toxicity.REJECT
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     one = spark.createDataFrame([(4, 1, 0), (5, 1, None), (None, 0, 1)], "doc_id bigint, quality int, toxic int")

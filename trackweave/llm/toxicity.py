@@ -5,9 +5,11 @@ probabilities of the categories before it. Those it is trained on come from mode
 did not see the row (out of fold), so it learns how far they can be trusted.
 
 Terms are words and their beginnings of a few lengths, so that inflected forms of a stem
-count together. The terms that tell a category are picked by the likelihood ratio of their
-document counts in a bounded sample of labelled texts; a feature is whether a text has the
-term, so one word in a very long text counts as much as in a short one.
+count together. The terms that tell a category are all those whose likelihood ratio of
+document counts, in a bounded sample of labelled texts, is significant; the sample bounds
+them. A beginning in the same texts as one of its words adds nothing and is left out. A
+feature is whether a text has the term, so one word in a very long text counts as much as
+in a short one.
 
 Labels give the category ``toxic``; the finer categories are marked in toxic rows by the
 seed words of ``SEEDS`` (a parameter).
@@ -26,8 +28,8 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -36,7 +38,6 @@ from trackweave.llm.words import Words, cut, mix, pieces
 from trackweave.session import cut_lineage
 
 MOST_LABELLED = 12_000  # rows that the chain is fitted on
-MOST_TERMS = 80  # terms picked for each category
 LEAST_TEXTS = 5  # labelled texts that a picked term is in
 SIGNIFICANT = 12.0  # least log likelihood ratio of a picked term: chance among some 100,000 terms is excluded
 BEGINNINGS = (4, 5, 6, 7)  # bytes of a word's beginning that are terms too
@@ -61,16 +62,23 @@ def _word_pieces(column: pa.Array) -> Iterator[tuple[int, Words]]:
         yield row, cut(data, offsets, APART)
 
 
-def _terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """``(term numbers, text of each)`` of all words and their beginnings."""
-    of, size = words.row(), words.end - words.begin
-    names, rows = [words.hashes()], [of]
-    for n in BEGINNINGS:
+def _starts(words: Words) -> np.ndarray:
+    """``length x word``: the terms that stand for a word's beginnings, 0 where it is shorter."""
+    size = words.end - words.begin
+    out = np.zeros((len(BEGINNINGS), len(words)), dtype=np.uint64)
+    for i, n in enumerate(BEGINNINGS):
         long = size >= n
         part = Words(words.data, words.begin[long], words.begin[long] + n, words.first, words.texts)
-        names.append(mix(part.hashes() + np.uint64(n)))
-        rows.append(of[long])
-    return np.concatenate(names).view(np.int64), np.concatenate(rows)
+        out[i, long] = mix(part.hashes() + np.uint64(n))
+    return out.view(np.int64)
+
+
+def _terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(term numbers, text of each, beginnings)``: all words in order, then their beginnings."""
+    of, starts = words.row(), _starts(words)
+    there = (words.end - words.begin) >= np.array(BEGINNINGS)[:, None]
+    rows = np.broadcast_to(of, starts.shape)[there]
+    return np.concatenate([words.hashes().view(np.int64), starts[there]]), np.concatenate([of, rows]), starts
 
 
 def word_name(word: str) -> int:
@@ -90,52 +98,68 @@ def _flags(h: np.ndarray, of: np.ndarray, label: np.ndarray, seeds: Sequence[np.
 
 
 def _counted(seeds: Sequence[np.ndarray], categories: Sequence[str]):
-    """``(word, n, <categories>)``: in how many texts a term is, of all and of each category.
+    """``(word, n, texts, starts, <categories>)``: in how many texts a term is, of all and of each category.
 
+    ``texts`` is equal for terms in the same texts; ``starts`` are the beginnings of a whole word.
     The texts themselves are counted under the term null.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column("label").to_numpy()
+            marks = batch.column("mark").to_numpy()
             for row, words in _word_pieces(batch.column("text")):
-                h, of = _terms(words)
+                h, of, starts = _terms(words)
                 flags = _flags(h, of, labels[row : row + len(words.first) - 1], seeds)
                 order = np.lexsort((of, h))
                 h, of = h[order], of[order]
                 new = np.ones(len(h), dtype=bool)
                 new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-                names, at = np.unique(h[new], return_inverse=True)
+                of, at_word = of[new], order[new]
+                names, begin, at = np.unique(h[new], return_index=True, return_inverse=True)
                 n = np.bincount(at, minlength=len(names))
-                parts = [np.bincount(at, flags[of[new], i], len(names)) for i in range(len(categories))]
+                parts = [np.bincount(at, flags[of, i], len(names)) for i in range(len(categories))]
+                texts = np.bitwise_xor.reduceat(marks[row + of], begin) if len(names) else np.zeros(0, np.int64)
+                # the words come first among the terms
+                first = at_word[begin]
+                own = [starts[:, i][starts[:, i] != 0].tolist() if i < len(words) else None for i in first]
                 columns = [pa.array([*names.tolist(), None], pa.int64()), pa.array([*n.tolist(), len(flags)], pa.int64())]
+                columns += [pa.array([*texts.tolist(), None], pa.int64()), pa.array([*own, None], pa.list_(pa.int64()))]
                 columns += [pa.array(np.append(x, flags[:, i].sum())) for i, x in enumerate(parts)]
-                yield pa.RecordBatch.from_arrays(columns, names=["word", "n", *categories])
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "texts", "starts", *categories])
 
     return count
 
 
 def _featured(seeds: Sequence[np.ndarray], categories: Sequence[str], picked: np.ndarray):
-    """``(doc_id, has, <categories>)``: which picked terms a text has, and its categories."""
+    """``(doc_id, has, <categories>)``: the places of the picked terms a text has, and its categories."""
 
     def feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column("label").to_numpy()
             for row, words in _word_pieces(batch.column("text")):
-                h, of = _terms(words)
+                h, of, _ = _terms(words)
                 flags = _flags(h, of, labels[row : row + len(words.first) - 1], seeds)
-                has = np.zeros((len(flags), len(picked)))
-                if len(picked):
-                    at = np.minimum(np.searchsorted(picked, h), len(picked) - 1)
-                    hit = picked[at] == h
-                    has[of[hit], at[hit]] = 1.0
+                of, at = _found(picked, h, of)
+                cuts = np.searchsorted(of, np.arange(len(flags) + 1)).astype(np.int32)
+                has = pa.ListArray.from_arrays(pa.array(cuts), pa.array(at.astype(str).tolist(), pa.string()))
                 ids = batch.column("doc_id").slice(row, len(flags))
-                columns = [ids, pa.array(list(has), pa.list_(pa.float64())), *[pa.array(x) for x in flags.T.copy()]]
+                columns = [ids, has, *[pa.array(x) for x in flags.T.copy()]]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "has", *categories])
 
     return feature
 
 
+def _found(picked: np.ndarray, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, place)`` of the picked terms that texts have, each once, in order of the texts."""
+    if not len(picked):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    at = np.minimum(np.searchsorted(picked, h), len(picked) - 1)
+    hit = picked[at] == h
+    pairs = np.unique(of[hit] * len(picked) + at[hit])
+    return pairs // len(picked), pairs % len(picked)
+
+
 @dataclass
 class Chain:
     categories: list[str]
@@ -150,11 +174,8 @@ class Chain:
             n = len(words.first) - 1
             z = np.tile(self.intercepts, (n, 1))
             if len(self.words):
-                h, of = _terms(words)
-                at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-                hit = self.words[at] == h
-                pairs = np.unique(of[hit] * len(self.words) + at[hit])
-                of, word = pairs // len(self.words), pairs % len(self.words)
+                h, of, _ = _terms(words)
+                of, word = _found(self.words, h, of)
                 for c in range(len(self.categories)):
                     z[:, c] += np.bincount(of, self.weights[c][word], n)
             p = np.zeros_like(z)
@@ -164,16 +185,16 @@ class Chain:
         return out
 
 
-def _picked(rows: DataFrame, seeds: Sequence[np.ndarray], categories: Sequence[str], most: int) -> np.ndarray:
-    """The terms that tell the categories best, sorted; at most ``most`` for each."""
-    kinds = "word bigint, n bigint, " + ", ".join(f"`{c}` double" for c in categories)
-    each = rows.mapInArrow(_counted(seeds, categories), kinds).groupBy("word")
-    counted = cut_lineage(each.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in categories]).where(F.col("n") >= LEAST_TEXTS))
+def _picked(rows: DataFrame, seeds: Sequence[np.ndarray], categories: Sequence[str]) -> np.ndarray:
+    """All terms that tell a category, sorted; no beginning in the same texts as one of its words."""
+    kinds = "word bigint, n bigint, texts bigint, starts array<bigint>, " + ", ".join(f"`{c}` double" for c in categories)
+    each = rows.withColumn("mark", F.xxhash64("text")).mapInArrow(_counted(seeds, categories), kinds).groupBy("word")
+    sums = [F.sum("n").alias("n"), F.bit_xor("texts").alias("texts"), F.max("starts").alias("starts")]
+    counted = cut_lineage(each.agg(*sums, *[F.sum(c).alias(c) for c in categories]).where(F.col("n") >= LEAST_TEXTS))
     total = counted.where("word IS NULL").first()
     if total is None:
         return np.zeros(0, dtype=np.int64)
-    counted = counted.where("word IS NOT NULL")
-    found: set[int] = set()
+    told = F.lit(False)
     for c in categories:
         inside, outside = float(total[c] or 0), float(total["n"] - (total[c] or 0))
         if not inside or not outside:
@@ -182,9 +203,10 @@ def _picked(rows: DataFrame, seeds: Sequence[np.ndarray], categories: Sequence[s
         both = F.col("n") / F.lit(inside + outside)
         part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
         ratio = part(a, both * inside) + part(b, both * outside)
-        told = counted.where((a / inside > b / outside) & (ratio >= SIGNIFICANT)).orderBy(F.desc(ratio), "word").limit(most)
-        found |= {r["word"] for r in told.select("word").collect()}
-    return np.array(sorted(found), dtype=np.int64)
+        told = told | ((a / inside > b / outside) & (ratio >= SIGNIFICANT))
+    found = counted.where(F.col("word").isNotNull() & told).select("word", "texts", "starts").collect()
+    same = {(s, r["texts"]) for r in found for s in r["starts"] or []}
+    return np.array(sorted(r["word"] for r in found if (r["word"], r["texts"]) not in same), dtype=np.int64)
 
 
 def fit(
@@ -202,14 +224,17 @@ def fit(
     rows = cut_lineage(same.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")))
     categories = [*seeds, column]
     marks = [np.array([word_name(w) for w in words], dtype=np.int64) for words in seeds.values()]
-    names = _picked(rows, marks, categories, MOST_TERMS)
+    names = _picked(rows, marks, categories)
     n = len(names)
     chain = Chain(categories, names, np.zeros((len(categories), n)), np.zeros((len(categories),) * 2), np.zeros(len(categories)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    kinds = f"doc_id {kind}, has array<double>, " + ", ".join(f"`{c}` double" for c in categories)
+    kinds = f"doc_id {kind}, has array<string>, " + ", ".join(f"`{c}` double" for c in categories)
     rows = rows.mapInArrow(_featured(marks, categories, names), kinds)
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold")
-    rows = cut_lineage(rows.select(array_to_vector("has").alias("has"), fold, *categories).coalesce(TASKS))
+    if n:
+        places = CountVectorizerModel.from_vocabulary([str(i) for i in range(n)], inputCol="has", outputCol="found")
+        rows = places.setBinary(True).setMinTF(1.0).transform(rows).drop("has").withColumnRenamed("found", "has")
+    rows = cut_lineage(rows.select("has", fold, *categories).coalesce(TASKS))
     for i, c in enumerate(categories):
         seen = {r[c]: r["count"] for r in rows.groupBy(c).count().collect()}
         if len(seen) < 2 or not n:
