@@ -303,6 +303,42 @@ def test_suffix_tree(spark, documents):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize("head", [suffix_tree.HEAD, 1e-3, 1.0])
+def test_suffix_tree_keeps_every_run_seen_twice(spark, documents, head):
+    docs = documents.select("doc_id", "text").withColumn("held_out", F.lit(False))
+    texts = {r["doc_id"]: [*words_of(r["text"]), None] for r in docs.collect()}
+    count = [Counter(tuple(t[i : i + k]) for t in texts.values() for i in range(len(t) - k + 1)) for k in (1, 2, 3)]
+    total = sum(count[0].values())
+    root = lambda w: (count[0][w,] + 0.1) / (total + 0.1 * (len(count[0]) + 1))
+    after = [defaultdict(dict), defaultdict(dict)]
+    for d in (0, 1):
+        for run, n in count[d + 1].items():
+            if n >= 2:
+                after[d][run[:-1]][run[-1]] = n
+    state = {}
+
+    def probability(ctx, w):
+        while ctx and ctx not in state:
+            ctx = ctx[1:]
+        if not ctx:
+            return root(w)
+        size, rest = count[len(ctx) - 1][ctx], state[ctx]
+        n = after[len(ctx) - 1][ctx].get(w)
+        return ((n - 0.5) / size if n else 0.0) + rest * probability(ctx[1:], w)
+
+    for d in (0, 1):
+        for ctx, nxt in after[d].items():
+            size = count[d][ctx]
+            told = sum(n / size * math.log(n / size / probability(ctx[1:], w)) for w, n in nxt.items())
+            if told >= 0.05 and (d == 0 or ctx[1:] in state):
+                state[ctx] = 1 - sum(n - 0.5 for n in nxt.values()) / size
+    tree, table = suffix_tree.train(docs, head=head)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.scored(docs, tree, table).collect()}
+    for i, t in texts.items():
+        want = sum(math.log10(probability(tuple(t[max(0, j - 2) : j]), w)) for j, w in enumerate(t))
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
 def test_suffix_tree_of_odd_rows(odd, empty):
     docs = odd.withColumn("held_out", suffix_tree.held_out(F.col("doc_id"), 10, 0))
     tree, counts = suffix_tree.train(docs)

@@ -1,18 +1,20 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The tree holds contexts of up to ``depth`` words. A context enters if its share of the
-training tokens is at least ``least_context`` and its next-word distribution diverges
-from that of its longest suffix in the tree by at least ``divergence`` nats; of its next
-words those with a share of at least ``least_entry`` are kept. So a level never has more
-than ``1 / least_context`` contexts and ``1 / least_entry`` entries whatever the corpus,
-which bounds what is broadcast, while all tokens of the corpus are counted.
-
-Smoothing: every kept entry gives up ``DISCOUNT`` counts; what a context's entries leave
-goes to its suffix, and from the root to all words by ``(c + 0.1) / (N + 0.1 (V + 1))``.
-Each token is scored in the state of its longest suffix, so all next words sum to 1.
-
-Words below ``least_entry`` have no entry anywhere; only their root probability is
-missing where texts are scored, and comes from the full table of counts by a join.
+The tree holds contexts of up to ``depth`` words. A context seen at least twice enters if
+its next-word distribution diverges from that of its longest suffix in the tree by at least
+``divergence`` nats; all its next words seen at least twice after it are entries. Larger
+bounds can be given as shares of the training tokens. Contexts and entries are Spark tables
+that grow with the corpus.
+
+Smoothing: every entry gives up ``DISCOUNT`` counts; what a context's entries leave goes to
+its suffix, and from the root to all words by ``(c + 0.1) / (N + 0.1 (V + 1))``. Each token
+is scored in the state of its longest suffix, so all next words sum to 1.
+
+The logarithm of a token's probability is a sum over the runs of words that end at it: the
+root's, what each context leaves, and what each entry gains over its suffix. So a text's
+score is a sum over its runs. Runs with at least a share ``HEAD`` of the tokens are sent to
+the tasks; the others are joined on their hash. A bitmap of fixed size spares the join most
+runs without a value and loses none; when it is full it only spares less.
 
 Defined cases: null text counts as empty and has its end token alone; a null id counts as
 the empty text in the split; an empty training set gives every token probability 1;
@@ -35,8 +37,9 @@ from trackweave.session import cut_lineage
 END = np.uint64(0x9E3779B97F4A7C15)  # the token after the last word
 DISCOUNT = 0.5
 ALPHA = 0.1
-_STEP = np.uint64(0xD6E8FEB86659FD93)
 _ENTRY = np.uint64(0xA0761D6478BD642F)
+HEAD = 2e-6  # share of the tokens from which a word or run is sent to the tasks
+SLOTS = 21  # the bitmap has 2**SLOTS slots of 64 bits
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -57,20 +60,25 @@ def tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def context(toks: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the ``depth`` tokens before each token, and whether the text has that many."""
-    at = np.arange(len(toks)) - np.repeat(first[:-1], np.diff(first))
-    there = at >= depth
-    h = np.zeros(len(toks), dtype=np.uint64)
-    for j in range(depth, 0, -1):
-        h[depth:] = h[depth:] * _STEP + toks[depth - j : len(toks) - j]
-    return mix(h), there
-
-
 def entry(ctx: np.ndarray, nxt: np.ndarray) -> np.ndarray:
     return mix(ctx * _ENTRY + nxt)
 
 
+def runs(toks: np.ndarray, first: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size up to ``most``: hash of the run that ends at each token, and whether the text has it.
+
+    A run's hash is that of the runs without its last and without its first token.
+    """
+    at = np.arange(len(toks)) - np.repeat(first[:-1], np.diff(first))
+    out = [(toks, at >= 0)]
+    for size in range(1, most):
+        h = out[-1][0]
+        longer = np.zeros_like(h)
+        longer[1:] = entry(h[:-1], h[1:])
+        out.append((longer, at >= size))
+    return out
+
+
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each key in a sorted list, and whether it is there."""
     if not len(sorted_keys):
@@ -82,17 +90,12 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class Level:
-    """Contexts of one depth and their kept next words, sorted by hash."""
+    """Frequent contexts of one depth and their frequent entries, sorted by hash."""
 
     contexts: np.ndarray
-    rest: np.ndarray  # what each context leaves to its suffix
+    rest: np.ndarray  # log of what each context leaves to its suffix
     entries: np.ndarray
-    share: np.ndarray
-
-    def gain(self, ctx: np.ndarray, nxt: np.ndarray) -> np.ndarray:
-        """What the kept entries give to each pair of context and next word."""
-        at, kept = _find(self.entries, entry(ctx, nxt))
-        return np.where(kept, self.share[at], 0.0) if len(self.share) else np.zeros(len(nxt))
+    gain: np.ndarray  # log of the entry's probability over what its suffix would give it
 
 
 @dataclass
@@ -102,27 +105,53 @@ class Tree:
     words: np.ndarray  # frequent words, sorted
     counts: np.ndarray
     levels: list[Level] = field(default_factory=list)
+    rare: np.ndarray = field(default_factory=lambda: np.zeros(1 << SLOTS, dtype=np.uint64))  # bitmap of the other runs
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return (counts + ALPHA) / (self.total + ALPHA * (self.distinct + 1))
 
+    def logs(self, toks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Per token: logs of what its contexts leave and its entries gain; places and hashes of other runs."""
+        sizes = runs(toks, first, len(self.levels) + 1)
+        rest, gain, others = np.zeros(len(toks)), np.zeros(len(toks)), []
+        here = [np.zeros(len(toks), dtype=bool) for _ in sizes]
+        for d, level in enumerate(self.levels, 1):
+            h, there = sizes[d]
+            at, inside = _find(level.contexts, sizes[d - 1][0][:-1])
+            inside &= there[1:]
+            here[d - 1][:-1] |= inside
+            rest[1:][inside] += level.rest[at[inside]]
+            at, inside = _find(level.entries, h)
+            inside &= there
+            here[d] |= inside
+            gain[inside] += level.gain[at[inside]]
+        for (h, there), known in zip(sizes[1:], here[1:]):
+            at = np.flatnonzero(there & ~known)
+            at = at[_marked(self.rare, h[at])]
+            others.append((at, h[at]))
+        return rest, gain, others
+
     def split(self, toks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per token: probability = ``add`` + ``keep`` * root; the root and whether it is known here."""
         at, frequent = _find(self.words, toks)
         root = self.root(self.counts[at]) if len(self.counts) else np.ones(len(toks))
-        add, keep = np.zeros(len(toks)), np.ones(len(toks))
-        for d, level in enumerate(self.levels, 1):
-            ctx, there = context(toks, first, d)
-            place, inside = _find(level.contexts, ctx)
-            inside &= there
-            if not inside.any():
-                continue
-            rest = level.rest[place[inside]]
-            add[inside] *= rest
-            keep[inside] *= rest
-            both = inside & frequent
-            add[both] += level.gain(ctx[both], toks[both])
-        return add, keep, root, frequent
+        rest, gain, _ = self.logs(toks, first)
+        keep = np.exp(rest)
+        return keep * root * np.expm1(gain), keep, root, frequent
+
+
+def _marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (bits[h >> np.uint64(64 - SLOTS)] >> (h & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """The bitmap of the hashes ``key``."""
+    slot = F.shiftrightunsigned("key", 64 - SLOTS).alias("slot")
+    bit = F.expr("shiftleft(1L, CAST(key & 63L AS int))")
+    slot, value = _columns(keys.select(slot, bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bit")))
+    out = np.zeros(1 << SLOTS, dtype=np.uint64)
+    out[slot] = value.view(np.uint64)
+    return out
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -141,7 +170,7 @@ def _counted(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.Record
     return pa.RecordBatch.from_arrays([*map(_signed, out), pa.array(n.astype(np.int64))], names=[*names, "n"])
 
 
-FLUSH = 4_000_000  # tokens put together in one task before they are handed on
+FLUSH = 2_000_000  # tokens put together in one task before they are handed on
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,28 +187,36 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _counted(parts, ["word"])
 
 
-def _entry_counts(depth: int, contexts, frequent):
+def _run_counts(depth: int, known):
+    """``(ctx, low, n)`` of all runs of ``depth + 1`` tokens: those without the last and without the first."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ctxs, words_ = contexts.value, frequent.value
         parts, held = [], 0
         for batch in batches:
             for _, words in word_pieces(batch.column(0)):
                 toks, first = tokens(words)
-                ctx, there = context(toks, first, depth)
-                there &= _find(ctxs, ctx)[1]
-                pick = np.flatnonzero(there)
-                pick = pick[_find(words_, toks[pick])[1]]
-                parts.append((ctx[pick], toks[pick]))
+                sizes = runs(toks, first, depth + 1)
+                h, pick = sizes[depth - 1][0], np.flatnonzero(sizes[depth][1])
+                if known is not None:  # a run seen twice is of runs seen twice
+                    marked = _marked(known.value, h)
+                    pick = pick[marked[pick] & marked[pick - 1]]
+                parts.append((h[pick - 1], h[pick]))
                 held += len(pick)
                 if held >= FLUSH:
-                    yield _counted(parts, ["ctx", "word"])
+                    yield _counted(parts, ["ctx", "low"])
                     parts, held = [], 0
         if parts:
-            yield _counted(parts, ["ctx", "word"])
+            yield _counted(parts, ["ctx", "low"])
 
     return count
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ctx, low = (batch.column(c).to_numpy().view(np.uint64) for c in ("ctx", "low"))
+        yield pa.RecordBatch.from_arrays([_signed(entry(ctx, low)), *batch.columns], names=["key", *batch.schema.names])
+
+
 def _columns(df: DataFrame) -> list[np.ndarray]:
     """Columns of a table of bounded size."""
     table = df.toArrow()
@@ -189,11 +226,15 @@ def _columns(df: DataFrame) -> list[np.ndarray]:
 def train(
     docs: DataFrame,
     depth: int = 2,
-    least_context: float = 1e-4,
-    least_entry: float = 2e-6,
+    least_context: float = 0.0,
+    least_entry: float = 0.0,
     divergence: float = 0.05,
+    head: float = HEAD,
 ) -> tuple[Tree, DataFrame]:
-    """The tree of the texts of ``docs`` and the full table ``(word, n)`` of token counts."""
+    """The frequent part of the tree of ``docs``, and the table of all else.
+
+    The table has what a word or run adds to a text: ``(key, known, base, value)``.
+    """
     spark = docs.sparkSession
     texts = docs.select("text")
     counts = cut_lineage(
@@ -201,56 +242,65 @@ def train(
     )
     whole = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(whole["n"] or 0), int(whole["v"])
-    enough = max(2.0, least_entry * total)
-    word, n = _columns(counts.where(F.col("n") >= enough).orderBy("word"))
-    order = np.argsort(word.view(np.uint64))
-    tree = Tree(total, distinct, word.view(np.uint64)[order], n[order].astype(float))
-    if not total:
-        return tree, counts
-    frequent = spark.sparkContext.broadcast(tree.words)
-    many = (tree.counts >= max(2.0, least_context * total)) & (tree.words != END)
-    sequences, size = tree.words[many][:, None], tree.counts[many]
+    enough, context = max(2.0, least_entry * total), max(2.0, least_context * total)
+    often = max(enough, head * total)
+    tree = Tree(total, distinct, *_sorted(counts.where(F.col("n") >= often)))
+    root = F.log((F.col("n") + ALPHA) / (total + ALPHA * (distinct + 1)))
+    below = counts.where(F.col("n") >= enough).select(F.col("word").alias("key"), "n", root.alias("lp"), F.lit(True).alias("open"))
+    zero = F.lit(0.0)
+    others, first_rest = [], None
     for d in range(1, depth + 1):
-        if not len(sequences):
-            break
-        names = _names(sequences)
-        order = np.argsort(names)
-        names, sequences, size = names[order], sequences[order], size[order]
-        sent = spark.sparkContext.broadcast(names)
-        rows = texts.mapInArrow(_entry_counts(d, sent, frequent), "ctx bigint, word bigint, n bigint")
-        got = rows.groupBy("ctx", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= enough)
-        ctx, nxt, n = _columns(got)
-        ctx, nxt, n = ctx.view(np.uint64), nxt.view(np.uint64), n.astype(float)
-        place = np.searchsorted(names, ctx)
-        below = tree.root(tree.counts[_find(tree.words, nxt)[0]])  # what the suffix states say
-        for lower in range(1, d):
-            level, suffix = tree.levels[lower - 1], _names(sequences[:, d - lower :])[place]
-            at, inside = _find(level.contexts, suffix)
-            if inside.any():
-                below[inside] = level.gain(suffix[inside], nxt[inside]) + level.rest[at[inside]] * below[inside]
-        raw = n / size[place]
-        gain = np.bincount(place, raw * np.log(raw / below), minlength=len(names))
-        stays = gain >= divergence
-        share = (n - DISCOUNT) / size[place]
-        rest = 1.0 - np.bincount(place, share, minlength=len(names))
-        use = stays[place]
-        keys = entry(ctx[use], nxt[use])
-        order = np.argsort(keys)
-        tree.levels.append(Level(names[stays], rest[stays], keys[order], share[use][order]))
-        # longer contexts: one more word, whose suffix is in the tree
-        grown = (n >= max(2.0, least_context * total)) & (nxt != END)
-        sequences, size = np.column_stack([sequences[place[grown]], nxt[grown]]), n[grown]
-        known = _find(tree.levels[-1].contexts, _names(sequences[:, 1:]))[1] if len(sequences) else np.zeros(0, bool)
-        sequences, size = sequences[known], size[known]
-    return tree, counts
-
-
-def _names(sequences: np.ndarray) -> np.ndarray:
-    """The hash that ``context`` gives to each row of words."""
-    h = np.zeros(len(sequences), dtype=np.uint64)
-    for j in range(sequences.shape[1]):
-        h = h * _STEP + sequences[:, j]
-    return mix(h)
+        known = spark.sparkContext.broadcast(_bitmap(below.select("key"))) if d > 1 else None
+        got = texts.mapInArrow(_run_counts(d, known), "ctx bigint, low bigint, n bigint").groupBy("ctx", "low")
+        got = got.agg(F.sum("n").alias("n")).where(F.col("n") >= enough)
+        size = below.where(F.col("open") & (F.col("n") >= context)).select(F.col("key").alias("ctx"), F.col("n").alias("size"))
+        got = got.join(size, "ctx").join(below.select(F.col("key").alias("low"), F.col("lp").alias("below")), "low")
+        got = got.select("ctx", "low", "n", "size", "below")
+        got = cut_lineage(got.mapInArrow(_named, "key bigint, ctx bigint, low bigint, n bigint, size bigint, below double"))
+        raw, share = F.col("n") / F.col("size"), (F.col("n") - DISCOUNT) / F.col("size")
+        states = got.groupBy("ctx").agg(
+            F.sum(raw * (F.log(raw) - F.col("below"))).alias("told"),
+            F.log(1.0 - F.sum(share)).alias("rest"),
+            F.max("size").alias("size"),
+        )
+        states = cut_lineage(states.where(F.col("told") >= divergence).select("ctx", "rest", "size"))
+        lp = F.when(F.col("rest").isNull(), F.col("below")).otherwise(F.log(share + F.exp(F.col("rest") + F.col("below"))))
+        # longer contexts are those whose suffix is in the tree
+        open_ = states.select(F.col("ctx").alias("low"), F.lit(True).alias("open"))
+        rows = got.join(states.select("ctx", "rest"), "ctx", "left").join(open_, "low", "left").withColumn("lp", lp)
+        gain = F.col("lp") - F.col("below") - F.col("rest")  # null where the context is not in the tree
+        below = cut_lineage(rows.select("key", "n", "lp", F.coalesce("open", F.lit(False)).alias("open"), gain.alias("gain")))
+        entries = below.where("gain IS NOT NULL").select("key", "n", F.col("gain").alias("v"))
+        contexts = states.select(F.col("ctx").alias("key"), F.col("size").alias("n"), F.col("rest").alias("v"))
+        frequent = F.col("n") >= often
+        tree.levels.append(Level(*_sorted(contexts.where(frequent).select("key", "v")), *_sorted(entries.where(frequent).select("key", "v"))))
+        others.append(entries.where(~frequent))
+        if d == 1:
+            first_rest = contexts.select(F.col("key").alias("word"), "v")
+        else:
+            others.append(contexts.where(~frequent))
+    unseen = float(np.log(tree.root(0)))
+    ten = float(np.log(10))
+    words = counts.where(F.col("n") < often).withColumn("b", root - unseen)
+    words = words.join(first_rest, "word", "left") if first_rest is not None else words.withColumn("v", zero)
+    table = words.select(
+        F.col("word").alias("key"),
+        F.lit(1).alias("known"),
+        (F.col("b") / ten).alias("base"),
+        ((F.col("b") + F.coalesce("v", zero)) / ten).alias("value"),
+    )
+    for part in others:
+        table = table.unionByName(part.select("key", F.lit(0).alias("known"), zero.alias("base"), (F.col("v") / ten).alias("value")))
+    table = cut_lineage(table)
+    tree.rare = _bitmap(table.where("known = 0").select("key"))
+    return tree, table
+
+
+def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order and their numbers, of a table of bounded size."""
+    key, value = _columns(df)
+    order = np.argsort(key.view(np.uint64))
+    return key.view(np.uint64)[order], value[order].astype(float)
 
 
 def _scored(tree_sent):
@@ -261,14 +311,19 @@ def _scored(tree_sent):
             for row, words in word_pieces(batch.column("text")):
                 toks, first = tokens(words)
                 size = np.diff(first)
-                add, keep, root, known = tree.split(toks, first)
+                at, known = _find(tree.words, toks)
+                root = np.full(len(toks), tree.root(0))
+                root[known] = tree.root(tree.counts[at[known]])
+                rest, gain, others = tree.logs(toks, first)
                 n = len(size)
                 of = np.repeat(np.arange(n), size)
                 total = lambda v: np.bincount(of, v, minlength=n)  # noqa: E731, B023
-                base = total(np.where(known, np.log10(root), 0.0))
-                value = total(np.log10(np.where(known, add + keep * root, keep)))
-                rare = np.flatnonzero(~known)
-                cuts = np.searchsorted(rare, first).astype(np.int32)
+                base = total(np.log10(root))
+                value = base + total(rest + gain) / np.log(10)
+                others.append((np.flatnonzero(~known), toks[~known]))
+                place, keys = (np.concatenate(x) for x in zip(*others))
+                order = np.argsort(place, kind="stable")
+                cuts = np.searchsorted(place[order], first).astype(np.int32)
                 out = {
                     "uid": pa.array(np.arange(uid, uid + n)),
                     "doc_id": batch.column("doc_id").slice(row, n),
@@ -277,7 +332,7 @@ def _scored(tree_sent):
                     "known": pa.array(total(known).astype(np.int64)),
                     "base": pa.array(base),
                     "value": pa.array(value),
-                    "rare": pa.ListArray.from_arrays(pa.array(cuts), _signed(toks[rare])),
+                    "rare": pa.ListArray.from_arrays(pa.array(cuts), _signed(keys[order])),
                 }
                 uid += n
                 yield pa.RecordBatch.from_pydict(out)
@@ -285,7 +340,7 @@ def _scored(tree_sent):
     return score
 
 
-def scored(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, tree: Tree, table: DataFrame) -> DataFrame:
     """Each row of ``(doc_id, held_out, text)`` with its base score and the tree's score (log10)."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -296,20 +351,19 @@ def scored(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
             "rare array<bigint>",
         )
     )
-    root = F.log10((F.coalesce("n", F.lit(0)) + ALPHA) / (tree.total + ALPHA * (tree.distinct + 1)))
     rare = (
-        local.select("uid", F.explode("rare").alias("word"))
-        .join(counts, "word", "left")
+        local.select("uid", F.explode("rare").alias("key"))
+        .join(table, "key")
         .groupBy("uid")
-        .agg(F.sum(root).alias("_root"), F.count("n").alias("_known"))
+        .agg(F.sum("known").alias("_known"), F.sum("base").alias("_base"), F.sum("value").alias("_value"))
     )
-    more = F.coalesce("_root", F.lit(0.0))
+    zero = F.lit(0.0)
     return local.drop("rare").join(rare, "uid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(tree.total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("value") + more).alias("score"),
+        (F.col("base") + F.coalesce("_base", zero)).alias("base_score"),
+        (F.col("value") + F.coalesce("_value", zero)).alias("score"),
     )
