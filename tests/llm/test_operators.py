@@ -369,6 +369,22 @@ def test_toxicity_finds_held_out_rows(spark, sf):
     assert sum(r["_t_toxic"] >= 0.5 for r in clean) <= 0.02 * len(clean)
 
 
+def test_toxicity_finds_held_out_rows_of_each_language(spark, sf):
+    sf = sf.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
+    chain = toxicity.fit(docs, labels.where(~part))
+    known = toxicity.scored(docs, chain).join(labels.where(part), "doc_id").collect()
+    called = defaultdict(list)
+    for r in known:
+        called[r["lang"], r["toxic"]].append(r["_t_toxic"] >= toxicity.REJECT)
+        called[None, r["toxic"]].append(r["_t_toxic"] >= toxicity.REJECT)
+    # found: 114 of 133; en 78 of 86, fr 22 of 22, de 10 of 19, es 4 of 6
+    for lang, least in ((None, 0.85), ("en", 0.9), ("fr", 0.95), ("de", 0.5), ("es", 0.6)):
+        assert np.mean(called[lang, 1]) >= least
+        assert np.mean(called[lang, 0]) <= 0.02
+
+
 def test_toxicity_uses_every_significant_term(spark):
     words = [f"{c}{d}xenolith" for c in "bcdfghjklm" for d in "aeiou"]  # each with its own beginnings
     toxic = [(i, f"{w} t{i}", 1) for i, w in enumerate(words * 12)]
