@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackweave.llm import (
+    filter_audit,
     mixing,
     pieces,
     quality,
@@ -18,6 +19,7 @@ from trackweave.llm import (
     vector_join,
     winnowing,
 )
+from trackweave.session import cut_lineage
 from trackweave.sources.tracks import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,4 +148,57 @@ def op10(spark, sf):
     return vector_join.near_vectors(table(spark, sf, "embeddings"), cosine=0.95, recall=0.995)
 
 
+@query("op11_filter_audit")
+def op11(spark, sf):
+    rows = cut_lineage(filter_audit.described(table(spark, sf, "documents"), F.col("lang")))
+    return filter_audit.orders(filter_audit.survivors(filter_audit.failed(rows, table(spark, sf, "labels"))))
+
+
+AUDIT_SQL = """
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+f AS (
+  SELECT doc_id, part,
+         len(words) < 200 AS a,
+         100 * len(list_distinct(words)) < 50 * len(words) AS b,
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e
+  FROM w),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT f.*, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+         CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END
+           || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails
+  FROM f LEFT JOIN l USING (doc_id)),
+n AS (
+  SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic
+  FROM m GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM x p, x q, x r, x s, x t
+  WHERE length(replace(replace(replace(replace(replace(
+    'ABCDE', p.x, ''), q.x, ''), r.x, ''), s.x, ''), t.x, '')) = 0),
+k AS (
+  SELECT part, filter_order, step, filter_order[step] AS own, n, good, toxic, fails,
+         contains(fails, filter_order[step]) AS hit,
+         translate(fails, filter_order[:step - 1], '') = fails AS whole
+  FROM n, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+g AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN whole AND NOT hit THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN whole AND hit THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN NOT whole AND hit THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN fails = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN whole AND hit THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN whole AND hit THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM k GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM g
+"""
+
 ORACLE["op1_mix_sources"] = MIX_SQL
+ORACLE["op11_filter_audit"] = AUDIT_SQL
