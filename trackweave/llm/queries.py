@@ -16,6 +16,7 @@ from trackweave.llm import (
     token_counts,
     toxicity,
     url_rules,
+    vector_codes,
     vector_join,
     winnowing,
 )
@@ -200,5 +201,57 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 FROM g
 """
 
+@query("op13_vector_codes")
+def op13(spark, sf):
+    return vector_codes.codes(table(spark, sf, "embeddings"))
+
+
+def codes_sql(rounds: int = 4, positions: int = 4, entries: int = 256) -> str:
+    """Rounds of assignment and update, one after the other."""
+
+    def assigned(book: str) -> str:
+        return f"""
+  SELECT rn, pos, min(f).e AS e, min(f).d AS d
+  FROM (SELECT p.rn, p.pos, {{'d': CAST(list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, c.c)
+                                      + list_inner_product(c.c, c.c) AS BIGINT), 'e': c.e}} AS f
+        FROM p JOIN {book} c ON p.pos = c.pos)
+  GROUP BY rn, pos"""
+
+    steps = []
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({assigned(f'c{r}')})")
+        steps.append(f"""u{r} AS (
+  SELECT pos, e, list(m ORDER BY i) AS c
+  FROM (SELECT pos, e, i, floor(sum(y) / count(*)) AS m
+        FROM (SELECT a.pos, a.e, unnest(p.x) AS y, generate_subscripts(p.x, 1) AS i
+              FROM a{r} a JOIN p ON a.rn = p.rn AND a.pos = p.pos)
+        GROUP BY pos, e, i)
+  GROUP BY pos, e)""")
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.pos, c.e, coalesce(u.c, c.c) AS c FROM c{r} c LEFT JOIN u{r} u USING (pos, e))")
+    return f"""
+WITH n AS (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id, embedding) AS rn
+  FROM embeddings WHERE len(embedding) > 0),
+x AS (SELECT rn, CAST(unnest(embedding) AS DOUBLE) AS y, generate_subscripts(embedding, 1) AS i FROM n),
+w AS (SELECT rn, list(floor(1024 * y) ORDER BY i) AS v FROM x GROUP BY rn HAVING bool_and(coalesce(isfinite(y), false))),
+v AS (SELECT row_number() OVER (ORDER BY rn) - 1 AS place, rn, v, len(v) // {positions} AS k FROM w),
+p AS MATERIALIZED (
+  SELECT rn, pos, place, v[pos * k + 1 : pos * k + k] AS x
+  FROM v, (SELECT unnest(range({positions})) AS pos)),
+c0 AS MATERIALIZED (SELECT pos, place AS e, x AS c FROM p WHERE place < {entries}),
+{", ".join(steps)},
+f AS ({assigned(f"c{rounds}")}),
+r AS (
+  SELECT rn, string_agg(lower(printf('%02x', e)), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM f GROUP BY rn),
+b AS (
+  SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY pos, e, i)) AS codebooks_sha256
+  FROM (SELECT pos, e, unnest(c) AS y, generate_subscripts(c, 1) AS i FROM c{rounds}))
+SELECT n.vec_id, r.code, r.error, CAST(sum(r.error) OVER (PARTITION BY n.label) AS BIGINT) AS label_error, b.codebooks_sha256
+FROM r JOIN n USING (rn), b
+"""
+
+
 ORACLE["op1_mix_sources"] = MIX_SQL
 ORACLE["op11_filter_audit"] = AUDIT_SQL
+ORACLE["op13_vector_codes"] = codes_sql()
