@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trackweave.llm import (
     filter_audit,
     mixing,
+    page_text,
     pieces,
     quality,
     shingle_join,
@@ -201,6 +202,11 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 FROM g
 """
 
+@query("op12_page_text")
+def op12(spark, sf):
+    return page_text.extracted(table(spark, sf, "pages"))
+
+
 @query("op13_vector_codes")
 def op13(spark, sf):
     return vector_codes.codes(table(spark, sf, "embeddings"))
