@@ -61,7 +61,7 @@ def test_stages_take_odd_and_empty_tables(spark, sf, odd, empty):
 def test_every_operator_has_a_query():
     names = spark_entry.queries()
     assert set(QUERIES) <= set(names) and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

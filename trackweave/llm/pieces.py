@@ -3,13 +3,16 @@
 The model file is parsed, its parts are rebuilt as a tokenizers pipeline (normaliser,
 space mark, unigram scores or merges in score order, byte fallback). Where no piece
 crosses a cut before spaces, each distinct part of a batch is encoded and decoded once;
-otherwise whole texts are. The library's threads share each list. The file travels as bytes (its size is checked);
-tasks need no path. The first use in a process compares the rebuilt tokenizer with the
-original library on a fixed set of texts and stops on any difference.
+otherwise whole texts are. The library's threads share each list. Ids of parts (and their decoded bytes, where
+they are asked for) are remembered in flat buffers of at most ``MOST_KNOWN`` bytes. The file travels as bytes
+(its size is checked); tasks need no path. The first use in a process compares what is used with the original
+library, on a fixed set of texts and on the first ``PARITY`` texts of the process with up to
+``PARITY_CHARS`` characters, and stops on any difference.
 
 Defined cases: null text has null ids, count and text; empty text has no ids; special
-tokens written out in a text are ordinary text, and decoding gives the text back. All
-other columns pass through.
+tokens written out in a text are ordinary text, and decoding gives the text back. Texts are encoded whole, at
+any length. Repeated rows are encoded each by itself, an empty table gives no rows, and all other columns pass through.
+Models with user-defined pieces are refused.
 """
 
 from __future__ import annotations
@@ -25,10 +28,14 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 from trackweave.llm.piece_model import BPE, BYTE, NORMAL, SPACE_MARK, TOKENIZER, USER_DEFINED, PieceModel, model_bytes, parse
-from trackweave.llm.segments import parted
+from trackweave.llm.segments import Parts, column_parts
 
 MOST_BYTES = 64 << 20  # of a model file sent to the tasks
-TEXTS = 1 << 22  # characters encoded in one call
+TEXTS = 1 << 21  # characters encoded in one call
+MOST_KNOWN = 32 << 20  # bytes of remembered parts in a process
+LOT = 1 << 13  # parts encoded in one call
+PARITY = 16
+PARITY_CHARS = 1 << 14
 
 PROBES = [
     "", " ", "  two  spaces ", "Hello, world!", "\n\tline\r\nline", "Ärger, naïve, été, señor", "日本語 한국어 🙂🙃",
@@ -108,6 +115,31 @@ def encode(tokenizer: Tokenizer, texts: list[str | None]) -> list[np.ndarray | N
     return [None if t is None else np.array(next(got).ids, dtype=np.int32) for t in texts]
 
 
+def _gathered(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The spans of ``values`` one after the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.arange(total) + np.repeat(begin - (ends - size), size)]
+
+
+class Buffer:
+    """Spans of one kind of values, one after the other."""
+
+    def __init__(self, kind: type):
+        self.values = np.zeros(0, dtype=kind)
+        self.ends = np.zeros(1, dtype=np.int64)
+
+    def add(self, lots: list[tuple[np.ndarray, list[int]]]) -> None:
+        """Lots of spans, each given as values in a row and sizes."""
+        self.values = np.concatenate([self.values, *[v for v, _ in lots]])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([n for _, sizes in lots for n in sizes], dtype=np.int64)])
+
+    def taken(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(values, sizes)`` of the spans of the given numbers."""
+        size = self.ends[which + 1] - self.ends[which]
+        return _gathered(self.values, self.ends[which], size), size
+
+
 class PartCoder:
     """Encodes and decodes single parts, given with space marks in place of spaces."""
 
@@ -119,16 +151,55 @@ class PartCoder:
         self.tokenizer.decoder = decoders.Sequence([decoders.Replace(SPACE_MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.plain = [p.replace(SPACE_MARK, " ") for p in model.pieces]
         self.bytes = frozenset(i for i, k in enumerate(model.kinds) if k == BYTE)
+        self.decodes = False
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.ids, self.texts = Buffer(np.int32), Buffer(np.uint8)
 
-    def both(self, parts: list[str]) -> list[tuple[list[int], str]]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        return [(x, self.text(x)) for x in ids]
+    def size(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.place, self.ids.values, self.ids.ends, self.texts.values, self.texts.ends))
 
     def text(self, ids: list[int]) -> str:
         if self.bytes.isdisjoint(ids):
             return "".join([self.plain[i] for i in ids])
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
+    def _learn(self, parts: Parts, which: np.ndarray) -> None:
+        """Encodes the parts of the given numbers, a lot at a time, and remembers them in that order."""
+        ids, texts = [], []
+        for lo in range(0, len(which), LOT):
+            some = self.tokenizer.encode_batch_fast(parts.texts(which[lo : lo + LOT], SPACE_MARK), add_special_tokens=False)
+            lists = [e.ids for e in some]
+            ids.append((np.fromiter((i for x in lists for i in x), dtype=np.int32), [len(x) for x in lists]))
+            if self.decodes:
+                back = [self.text(x).encode() for x in lists]
+                texts.append((np.frombuffer(b"".join(back), dtype=np.uint8), [len(x) for x in back]))
+        self.ids.add(ids)
+        self.texts.add(texts)
+
+    def numbers(self, parts: Parts, decode: bool) -> np.ndarray:
+        """The number of each part among those remembered; new ones are encoded once."""
+        if self.size() > MOST_KNOWN or (decode and not self.decodes):
+            self.forget()
+            self.decodes = decode
+        keys, at, number = np.unique(parts.key, return_index=True, return_inverse=True)
+        found = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), dtype=bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(found, len(self.keys) - 1)] == keys
+        new = np.flatnonzero(~known)
+        first = len(self.ids.ends) - 1
+        self._learn(parts, at[new])
+        place = np.empty(len(keys), dtype=np.int64)
+        place[known] = self.place[found[known]]
+        place[new] = first + np.arange(len(new))
+        joined = np.concatenate([self.keys, keys[new]])
+        order = np.argsort(joined, kind="stable")
+        self.keys, self.place = joined[order], np.concatenate([self.place, place[new]])[order]
+        return place[number]
+
 
 @lru_cache(maxsize=2)
 def by_parts(data: bytes) -> PartCoder | None:
@@ -139,31 +210,68 @@ def by_parts(data: bytes) -> PartCoder | None:
     return PartCoder(data, model)
 
 
-def _ids_by_parts(column: pa.Array, coder: PartCoder) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
+def _ids_by_parts(column: pa.Array, coder: PartCoder, decode: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
     """``(first row, ids in a row, where each text's begin, decoded texts)``."""
-    for row, parts, number, made in parted(column, coder.both, coder.prefix, SPACE_MARK):
-        size = np.array([len(ids) for ids, _ in made], dtype=np.int64)
-        flat = np.fromiter((i for ids, _ in made for i in ids), dtype=np.int32, count=int(size.sum()))
-        begin = np.cumsum(size) - size
-        each = size[number]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.arange(total) + np.repeat(begin[number] - (ends - each), each)]
-        texts = np.array([t for _, t in made], dtype=object)[number] if len(made) else np.zeros(0, object)
-        at = np.concatenate([[0], ends])[parts.first]
-        cuts = parts.first.tolist()
-        yield row, ids, at, ["".join(texts[a:b])[coder.prefix :] for a, b in zip(cuts[:-1], cuts[1:])]
-
-
-def _ids(column: pa.Array, data: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
-    whole, single = checked(data), by_parts(data)
+    for row, parts in column_parts(column, coder.prefix, SPACE_MARK):
+        which = coder.numbers(parts, decode)
+        ids, size = coder.ids.taken(which)
+        at = np.concatenate([[0], np.cumsum(size)])[parts.first]
+        texts: list[str] = []
+        if decode:
+            flat, size = coder.texts.taken(which)
+            cuts = np.concatenate([[0], np.cumsum(size)])[parts.first]
+            whole = flat.tobytes()
+            texts = [whole[a:b].decode()[coder.prefix :] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        yield row, ids, at, texts
+
+
+def _ids(column: pa.Array, data: bytes, decode: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
+    """Ids and, if asked for, decoded texts, by the way that the model allows."""
+    single = by_parts(data)
     if single is not None:
-        yield from _ids_by_parts(column, single)
+        yield from _ids_by_parts(column, single, decode)
         return
+    whole = checked(data)
     for start, part in _groups([t or "" for t in column.to_pylist()]):
         ids = encode(whole, part)
         at = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-        yield start, np.concatenate(ids), at, whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        back = whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False) if decode else []
+        yield start, np.concatenate(ids), at, back
+
+
+@lru_cache(maxsize=2)
+def _library(data: bytes):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=data)
+
+
+def compare(data: bytes, texts: list[str]) -> None:
+    """Stops unless the way in use encodes and decodes the texts as the original library does."""
+    known = _library(data)
+    for start, ids, at, back in _ids(pa.array(texts, pa.string()), data):
+        for i, text in enumerate(back):
+            got = ids[at[i] : at[i + 1]].tolist()
+            if got != known.encode(texts[start + i]) or text != known.decode(got):
+                raise ValueError(f"the rebuilt tokenizer differs from the model on {texts[start + i]!r}")
+
+
+_COMPARED: set[bytes] = set()
+
+
+def _compare_once(data: bytes, column: pa.Array) -> None:
+    """Once in a process: the fixed probes and the first short texts of ``column``."""
+    if data in _COMPARED:
+        return
+    found: list[str] = []
+    for value in column:
+        text = value.as_py()
+        if text is not None and len(text) <= PARITY_CHARS:
+            found.append(text)
+        if len(found) == PARITY:
+            break
+    compare(data, PROBES + found)
+    _COMPARED.add(data)
 
 
 def _hash(data: bytes) -> str:
@@ -173,8 +281,9 @@ def _hash(data: bytes) -> str:
 def _encoder(sent, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, ids, at, texts in _ids(batch.column("text"), sent.value):
-                kept = batch.slice(start, len(texts))
+            _compare_once(sent.value, batch.column("text"))
+            for start, ids, at, texts in _ids(batch.column("text"), sent.value, digest):
+                kept = batch.slice(start, len(at) - 1)
                 null = kept.column("text").is_null().to_numpy(zero_copy_only=False)
                 count = pa.array(np.diff(at), pa.int64(), mask=null)
                 if digest:

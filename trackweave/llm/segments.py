@@ -71,6 +71,14 @@ def parts_of(data: np.ndarray, texts: np.ndarray, prefix: int) -> Parts:
     return Parts(words, key, lead, word, first)
 
 
+def column_parts(column: pa.Array, prefix: int = 1, mark: str = " ", limit: int = PIECE // 2) -> Iterator[tuple[int, Parts]]:
+    """``(first row, parts)`` of runs of rows of at most ``limit`` bytes; a longer text is a run of its own."""
+    # a mark written in a text is a space to the model; a run of both must not be cut
+    column = pc.replace_substring(column, mark, " ")
+    for row, data, texts in pieces(column, limit):
+        yield row, parts_of(data, texts, prefix)
+
+
 def parted(
     column: pa.Array, make: Callable[[list[str]], list], prefix: int = 1, mark: str = " "
 ) -> Iterator[tuple[int, Parts, np.ndarray, list]]:
@@ -86,7 +94,9 @@ def parted(
         wanted = keys.tolist()
         new = [i for i, k in enumerate(wanted) if k not in known]
         gc.disable()  # many small results, none of them in a cycle
-        for i, value in zip(new, make(parts.texts(at[new], mark))):
-            known[wanted[i]] = value
-        gc.enable()
+        try:
+            for i, value in zip(new, make(parts.texts(at[new], mark))):
+                known[wanted[i]] = value
+        finally:
+            gc.enable()
         yield row, parts, number, [known[k] for k in wanted]
