@@ -1,6 +1,7 @@
 """All registered queries with the SQL that checks them."""
 
 from trackweave.catalog import (  # noqa: F401
+    bundles,
     files,
     learning,
     relational,
