@@ -57,9 +57,13 @@ def roc_auc(rows: DataFrame, score: str, label: str, bucket: Column) -> DataFram
 
 
 def described(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles and maximum."""
+    """Count, sum, mean, sample deviation, minimum, quartiles and maximum.
+
+    Counts, sums and quantiles are all combined before the shuffle; no row is exchanged.
+    """
     basic = df.groupBy(*groups).agg(
         F.count(value).alias("count"),
+        F.sum(value).alias("total"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"),

@@ -1,15 +1,24 @@
-"""Exact quantiles of large groups.
+"""Exact quantiles of groups of any size.
 
-``percentile`` keeps every distinct value of a group in one buffer. Here a
-mergeable sketch first brackets each wanted rank; rows below a bracket are only
-counted, and only the rows inside the brackets are ranked.
+``percentile`` keeps every distinct value of a group in one buffer. Here the wanted ranks are
+found by counting: a double has a whole number of 64 bits that is ordered as it is, and each
+pass counts the rows of a group by the next 13 bits of that number, in the bins that still
+hold a wanted rank only. Counts are combined before the shuffle, so no row is exchanged and a
+group of any share of the rows is as good as any other. After at most five passes a bin is
+one value; as soon as no bin holds more than ``FEW`` rows, their values are ranked at once. Every step is
+the same at every size, and exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from trackweave.session import cut_lineage
+
+SHIFTS = (51, 38, 25, 12, 0)
+FEW = 4096
 
 
 def with_group(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -24,89 +33,86 @@ def with_group(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFr
     return rows.withColumn("_key", F.struct(*keys)).join(named, "_key").drop("_key")
 
 
-def exact_quantiles(
-    df: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    accuracy: int = 10_000,
-) -> DataFrame:
+def ordered_bits(x: Column) -> Column:
+    """A whole number for every double, ordered as doubles are; equal for both zeros, highest for NaN."""
+    size = F.abs(x)
+    guess = F.floor(F.log2(size)).cast("int")
+    # the logarithm may be off by one next to powers of two
+    low = F.when(size < F.pow(F.lit(2.0), guess), 1).otherwise(0)
+    high = F.when(size >= F.pow(F.lit(2.0), guess + 1), 1).otherwise(0)
+    exponent = guess - low + high
+    fraction = ((size / F.pow(F.lit(2.0), exponent) - 1) * float(1 << 52)).cast("bigint")
+    tiny = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")
+    top = F.lit(2047 << 52)
+    bits = (
+        F.when(size == 0, F.lit(0).cast("bigint"))
+        .when(size < F.lit(2.0**-1022), tiny)
+        .when(size == F.lit(float("inf")), top)
+        .otherwise((exponent + 1023).cast("bigint") * F.lit(1 << 52) + fraction)
+    )
+    return F.when(F.isnan(x), top + 1).when(x < 0, -bits).otherwise(bits)
+
+
+def _bins(rows: DataFrame, shift: int) -> DataFrame:
+    """``(_key, _bin, _next, _c, _upto)``: rows by the next bits, and their number up to there in the bin before.
+
+    A bin has at most 8 192 next ones.
+    """
+    counted = rows.groupBy("_key", "_bin", F.shiftright("_bits", shift).alias("_next")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy("_key", "_bin").orderBy("_next").rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumn("_upto", F.sum("_c").over(upto))
+
+
+def _placed(wanted: DataFrame, bins: DataFrame) -> DataFrame:
+    """The wanted ranks inside the next bins: ``(_key, _bin, _t, _r, _c, weight)``."""
+    inside = (F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_c"))
+    met = wanted.drop("_c").join(bins, ["_key", "_bin"]).where(inside)
+    return met.select("_key", F.col("_next").alias("_bin"), "_t", (F.col("_r") - F.col("_upto") + F.col("_c")).alias("_r"), "_c", "_w")
+
+
+def _within(rows: DataFrame, wanted: DataFrame, shift: int) -> DataFrame:
+    """The rows of the bins that hold a wanted rank; there are at most as many bins as ranks."""
+    bins = wanted.select("_key", "_bin").distinct()
+    return rows.withColumn("_bin", F.shiftright("_bits", shift)).join(bins, ["_key", "_bin"])
+
+
+def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float], few: int = FEW) -> DataFrame:
     """One row per group with the linearly interpolated quantiles in ``probs``.
 
-    The sketch is off by at most ``1 / accuracy`` of the rows and the brackets
-    are twice as wide, so they hold the wanted ranks; counting is exact.
+    Null values do not count; a group without values has no row. ``df`` is read once for every pass.
     """
-    margin = 2.0 / accuracy
-    names, wanted = list(probs), list(probs.values())
-    gs = [f"_g{i}" for i in range(len(groups))]
     rows = df.select(
-        *[F.col(g).alias(a) for g, a in zip(groups, gs)], F.col(value).cast("double").alias("_v")
-    ).where("_v is not null")
-    lows = F.percentile_approx("_v", [max(p - margin, 0.0) for p in wanted], accuracy)
-    highs = F.percentile_approx("_v", [min(p + margin, 1.0) for p in wanted], accuracy)
-    brackets = rows.groupBy(*gs).agg(
-        lows.alias("_lo"),
-        highs.alias("_hi"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    # Small groups are ranked whole. In large ones the slack of a bracket is many
-    # rows; the sketch may miss the outermost values, so the end brackets are open.
-    small = F.col("_n") <= 10 * accuracy
-    bounds = brackets.select(
-        *gs,
-        "_n",
-        F.array(
-            *[
-                F.struct(
-                    F.when(small | F.lit(p <= margin), F.col("_min")).otherwise(F.col("_lo")[i]).alias("lo"),
-                    F.when(small | F.lit(p >= 1 - margin), F.col("_max")).otherwise(F.col("_hi")[i]).alias("hi"),
-                )
-                for i, p in enumerate(wanted)
-            ]
-        ).alias("_bounds"),
-    )
-    placed = with_group(rows, bounds, gs)
-    below = placed.groupBy(*gs).agg(
-        F.max("_n").alias("_n"),
-        F.array(
-            *[
-                F.sum((F.col("_v") < F.col("_bounds")[i]["lo"]).cast("bigint"))
-                for i in range(len(wanted))
-            ]
-        ).alias("_below"),
-    )
-    numbered = F.sequence(F.lit(0), F.lit(len(wanted) - 1))
-    near = F.filter(
-        numbered,
-        lambda i: F.col("_v").between(
-            F.get("_bounds", i)["lo"], F.get("_bounds", i)["hi"]
-        ),
-    )
-    upto = Window.partitionBy(*gs, "_q").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    counted = (
-        placed.withColumn("_q", F.explode(near))
-        .groupBy(*gs, "_q", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_inside", F.sum("_c").over(upto))
-    )
-    ranked = with_group(counted, below, gs).withColumn(
-        "_cum", F.col("_inside") + F.get("_below", F.col("_q"))
-    )
-    p = F.get(F.array(*[F.lit(float(x)) for x in wanted]), F.col("_q"))
-    rank = (F.col("_n") - 1) * p
-    edges = (
-        ranked.withColumn("_rank", rank)
-        .groupBy(*gs, "_q")
-        .agg(
-            F.min(F.when(F.col("_cum") > F.floor("_rank"), F.col("_v"))).alias("_a"),
-            F.min(F.when(F.col("_cum") > F.ceil("_rank"), F.col("_v"))).alias("_b"),
-            F.max(F.col("_rank") - F.floor("_rank")).alias("_w"),
-        )
-        .withColumn("_x", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w"))
+        F.struct(F.lit(0), *[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)]).alias("_key"),
+        F.col(value).cast("double").alias("_v"),
+    ).where("_v IS NOT NULL")
+    rows = rows.select("_key", "_v", ordered_bits(F.col("_v")).alias("_bits"))
+    first = cut_lineage(_bins(rows.withColumn("_bin", F.lit(0).cast("bigint")), SHIFTS[0]))
+    sizes = first.groupBy("_key").agg(F.sum("_c").alias("_n"))
+    place = lambda p: (F.col("_n") - 1) * F.lit(float(p))
+    ranks = [
+        F.struct(F.lit(2 * i + j).alias("_t"), edge(place(p)).cast("bigint").alias("_r"), (place(p) - F.floor(place(p))).alias("_w"))
+        for i, p in enumerate(probs.values())
+        for j, edge in enumerate((F.floor, F.ceil))
+    ]
+    wanted = sizes.select("_key", F.lit(0).cast("bigint").alias("_bin"), F.explode(F.array(*ranks)).alias("_s"))
+    wanted = wanted.select("_key", "_bin", "_s.*").withColumn("_c", F.lit(0))
+    wanted = cut_lineage(_placed(wanted, first))
+    shift = SHIFTS[0]
+    for finer in SHIFTS[1:]:
+        if (wanted.agg(F.max("_c").alias("c")).first()["c"] or 0) <= few:
+            break
+        wanted = cut_lineage(_placed(wanted, _bins(_within(rows, wanted, shift), finer)))
+        shift = finer
+    # bins of few rows, or of a single value
+    values = _within(rows, wanted, shift).groupBy("_key", "_bin", F.col("_v").alias("_next")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy("_key", "_bin").orderBy("_next").rowsBetween(Window.unboundedPreceding, 0)
+    found = _placed(wanted, values.withColumn("_upto", F.sum("_c").over(upto)))
+    edges = found.groupBy("_key").agg(
+        *[F.max(F.when(F.col("_t") == t, F.col("_bin"))).alias(f"_e{t}") for t in range(2 * len(probs))],
+        *[F.max(F.when(F.col("_t") == 2 * i, F.col("_w"))).alias(f"_w{i}") for i in range(len(probs))],
     )
-    wide = edges.groupBy(*gs).agg(
-        *[F.max(F.when(F.col("_q") == i, F.col("_x"))).alias(n) for i, n in enumerate(names)]
+    between = lambda a, b, w: F.when(a == b, a).otherwise(a + (b - a) * w)
+    return edges.select(
+        *[F.col("_key")[f"g{i}"].alias(g) for i, g in enumerate(groups)],
+        *[between(F.col(f"_e{2 * i}"), F.col(f"_e{2 * i + 1}"), F.col(f"_w{i}")).alias(n) for i, n in enumerate(probs)],
     )
-    return wide.select(*[F.col(a).alias(g) for g, a in zip(groups, gs)], *names)
