@@ -68,3 +68,41 @@ def test_every_operator_has_a_query():
 def test_sql(spark, sf, name):
     result = compare(spark, connect(sf), name, sf, ORACLE[name])
     assert result.startswith("ok"), result
+
+
+def test_stages_keep_columns_of_any_name(spark, sf, documents):
+    """Names that the operators use inside come back as they were."""
+    names = ["_here", "_copy", "_source", "_least", "_cut", "_t_toxic", "_q_score", "_q_digits", "name", "class", "column_1"]
+    docs = documents.selectExpr("*", *[f"doc_id * 10 + {i} AS {n}" for i, n in enumerate(names)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf).cache()
+        rows = docs.selectExpr(*[f"sum(CAST({n} <> doc_id * 10 + {i} AS INT)) AS {n}" for i, n in enumerate(names)]).first()
+        assert docs.columns[-len(names) :] == names and not any(rows), stage
+
+
+def test_one_of_each_decides_by_id_and_text(spark, sf):
+    first, second, other = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [
+        (1, first, "en", "s"),
+        (2, first + " more", "en", "s"),  # a near copy of 1
+        (3, first, "en", "s"),  # a copy of 1, while the other text of id 3 stays
+        (3, second, "en", "s"),
+        (None, first, "en", "s"),  # copies without id
+        (None, other, "en", "s"),
+        (None, other, "en", "s"),
+        (4, other + " x", "en", "s"),
+        (5, None, "en", "s"),
+        (5, None, "en", "s"),
+        (6, "", "en", "s"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = Counter((r["doc_id"], (r["text"] or "")[:2]) for r in corpus_pipeline.one_of_each(spark, docs, sf).collect())
+    assert got == Counter([(1, "a0"), (3, "b0"), (4, "c0"), (5, ""), (6, "")])
+
+
+def test_mix_of_columns_with_names_of_its_own(spark):
+    docs = spark.createDataFrame([(i, "one two three", "s") for i in range(9)], "doc_id long, text string, source string")
+    names = ["_source", "_LEAST", "_cut", "_here", "_copy", "_copy_"]
+    docs = docs.selectExpr("*", *[f"doc_id + {i} AS {n}" for i, n in enumerate(names)])
+    rows = mixing.mixed(docs, mixing.clock(docs)).collect()
+    assert len(rows) == 9 and all(r[n] == r["doc_id"] + i for r in rows for i, n in enumerate(names))

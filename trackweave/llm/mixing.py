@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackweave.functions.draws import HEX_DIGITS, draw
+from trackweave.llm.names import fresh
 from trackweave.session import cut_lineage
 
 ROWS = 50_000  # rows of one range of an order
@@ -178,20 +179,22 @@ def mixed(docs: DataFrame, made: Clock, seed: str = "mix", text: str = "text") -
     least = counted.groupBy("source").agg(F.min(F.when(F.col("size") > 0, F.col("_copies"))).alias("_least"))
     place = F.struct("draw", "doc_id", "size")
     both = counted.alias("c").join(least.alias("l"), F.col("c.source").eqNullSafe(F.col("l.source")))
-    per_source = both.groupBy(F.col("c.source").alias("_source")).agg(
-        F.first("_least").alias("_least"),
-        F.max(F.when((F.col("size") > 0) & (F.col("_copies") > F.col("_least")), place)).alias("_cut"),
+    # further columns of any name stay as they are
+    own, low, cut, here, copy = fresh(docs.columns, "_source", "_least", "_cut", "_here", "_copy")
+    per_source = both.groupBy(F.col("c.source").alias(own)).agg(
+        F.first("_least").alias(low),
+        F.max(F.when((F.col("size") > 0) & (F.col("_copies") > F.col("_least")), place)).alias(cut),
     )
-    here = F.struct(
+    at = F.struct(
         draw(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("draw"),
         F.col("doc_id"),
         word_count(F.col(text)).alias("size"),
     )
-    rows = docs.withColumn("_here", here)
-    copies = F.col("_least") + F.coalesce(F.col("_here") <= F.col("_cut"), F.lit(False)).cast("int")
+    rows = docs.withColumn(here, at)
+    copies = F.col(low) + F.coalesce(F.col(here) <= F.col(cut), F.lit(False)).cast("int")
     return (
-        rows.join(cut_lineage(per_source), rows["source"].eqNullSafe(F.col("_source")))
-        .where(F.col("_here")["size"] > 0)
-        .withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))
+        rows.join(cut_lineage(per_source), rows["source"].eqNullSafe(F.col(own)))
+        .where(F.col(here)["size"] > 0)
+        .withColumn(copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

@@ -148,8 +148,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int =
     known, share = bounded(labels, column, most, "quality")
     texts = docs.where(F.col("doc_id").isNotNull() & sampled(F.col("doc_id"), share, "quality")).select("doc_id", "text")
     names = [f"_q_{s}" for s in STATISTICS]
-    rows = with_statistics(texts).drop("text").join(known, "doc_id").dropDuplicates(["doc_id"])
-    rows = cut_lineage(rows.withColumn("stats", array_to_vector(F.array(*names))).coalesce(8))
+    # of a repeated id the text of smallest statistics
+    one = with_statistics(texts).groupBy("doc_id").agg(F.min(F.struct(*names)).alias("_s")).select("doc_id", "_s.*")
+    rows = one.join(known, "doc_id").withColumn("stats", array_to_vector(F.array(*names)))
+    rows = cut_lineage(rows.coalesce(8))
     seen = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(seen) < 2:
         p = (seen.get(1.0, 0) + 0.5) / (sum(seen.values()) + 1)
