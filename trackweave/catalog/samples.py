@@ -415,6 +415,19 @@ def pair_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PAIR_SQL = f"""WITH {FRAMES}, {profile(M)}, {_NEIGHBOURS}, {_PAIR_WINDOWS}"""
+# up to the pairs, without their batches
+PAIR_WINDOWS_SQL = PAIR_SQL[: PAIR_SQL.rindex(",\n  batches AS")]
+
+
+def pair_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """``(worker, track, win_idx, total, nbr)``: every window with the neighbour it is to be paired with."""
+    signal_ = stored_frames(spark, sf)
+    total = F.round(vectors.total(F.col("x")), 6).alias("total")
+    windows = slice_windows(
+        chunked(signal_, CHUNK), lengths(signal_), CHUNK, 10, padding="right-align"
+    ).select("track", F.col("win_idx").cast("bigint").alias("win_idx"), total)
+    nearest = pairing.window_neighbours(matrix_profile(signal_, M), 10).withColumnRenamed("win", "win_idx")
+    return pairs.requests(windows, nearest, 4, 81)
 
 
 @query(

@@ -34,3 +34,15 @@ def pair_batches(
 def pair_triplets(batches: DataFrame, size: int, seed, payload: list[str]) -> DataFrame:
     """Batches completed by a distant window from another pair of the batch."""
     return batch_distants(batches, ["worker", "batch"], size, seed, payload)
+
+
+def requests(windows: DataFrame, nearest: DataFrame, workers: int, seed) -> DataFrame:
+    """``(worker, track, <window>, nbr)``: windows with their neighbour's number, if any, and their track's worker.
+
+    ``windows`` has ``track, win_idx`` and a payload, ``nearest`` has ``track, win_idx, nbr``.
+    """
+    windows = cut_lineage(windows)
+    tracks = number_shuffled(windows.select("track").distinct(), [], seed, ["track"], "_t", "_n_t")
+    tracks = tracks.select("track", worker_of(F.col("_t"), F.col("_n_t"), workers).alias("worker"))
+    met = windows.join(nearest, ["track", "win_idx"], "left").join(tracks, "track")
+    return cut_lineage(met.select("worker", *windows.columns, "nbr"))

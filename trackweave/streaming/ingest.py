@@ -45,6 +45,11 @@ def run_batches(
     )
 
 
+def files_for(rows: int, most_rows: int = 250_000, least: int = 8) -> int:
+    """In how many files a table of so many rows arrives."""
+    return max(least, -(-rows // most_rows))
+
+
 def spread(df: DataFrame, time: str) -> str:
     """The time between the first and the last row, as a delay that no row exceeds."""
     seconds = df.agg((F.unix_seconds(F.max(time)) - F.unix_seconds(F.min(time))).alias("s")).first()["s"]
@@ -54,7 +59,10 @@ def spread(df: DataFrame, time: str) -> str:
 def time_windows(
     stream: DataFrame, time: str, width: str, delay: str, keys: list[str], value: str
 ) -> DataFrame:
-    """Counts and sums per time window, kept open for late rows by ``delay``."""
+    """Counts and sums per time window.
+
+    A window is open until ``delay`` after its end has been seen; appended, it is given once then and forgotten.
+    """
     return (
         stream.withWatermark(time, delay)
         .groupBy(F.window(time, width).alias("_w"), *keys)
