@@ -145,3 +145,53 @@ def test_one_track_spreads_over_groups(spark):
     got = slice_windows(chunks, lengths(df), 64, 100, step=50, padding="right")
     assert got.count() == 99
     assert got.where("x[0] <> start_pos or x[99] <> start_pos + 99").count() == 0
+
+
+def read_by_queue(tracks, queue):
+    """Rounds of a queue that is filled up, read once round and cleared of what has ended."""
+    waiting, open_, out, number = list(tracks), [], [], 0
+    while True:
+        while len(open_) < queue - 1 and waiting:
+            open_.append([*waiting.pop(0), 0])
+        if not open_:
+            return out
+        out.append((number, 0, None))
+        slot = 0
+        for entry in open_:
+            track, n, at = entry
+            if at < n:
+                slot += 1
+                out.append((number, slot, track))
+                entry[2] += 1
+            else:
+                entry[2] = None
+        open_ = [e for e in open_ if e[2] is not None]
+        number += 1
+
+
+@pytest.mark.parametrize(("queue", "workers"), [(2, 1), (4, 1), (4, 3), (9, 5)])
+def test_refilled_queue_of_unequal_tracks(spark, queue, workers):
+    from trackweave.operators.batches import refilled_queue
+
+    sizes = {t: (t * 7) % 11 + 1 for t in range(23)}
+    rows = [(t, w, f"k{t % 3}") for t, n in sizes.items() for w in range(n)]
+    df = spark.createDataFrame(rows, "track bigint, win_idx bigint, label string")
+    got = refilled_queue(df, queue, workers, 5).collect()
+    order = sorted(sizes, key=lambda t: __import__("hashlib").md5(f"5|{t}".encode()).hexdigest())
+    share = -(-len(order) // workers)
+    for worker in range(workers):
+        own = [(t, sizes[t]) for t in order[worker * share : (worker + 1) * share]]
+        mine = sorted((r["round"], r["slot"], r["track"]) for r in got if r["worker"] == worker)
+        assert mine == read_by_queue(own, queue)
+    picked = [(r["track"], r["win_idx"], r["label"]) for r in got if r["track"] is not None]
+    assert sorted(picked) == sorted(rows)
+    assert {r["label"] for r in got if r["track"] is None} == {"noise"}
+
+
+def test_refilled_queue_of_nothing(spark):
+    from trackweave.operators.batches import refilled_queue
+
+    df = spark.createDataFrame([], "track bigint, win_idx bigint, label string")
+    assert refilled_queue(df, 4, 2, 5).count() == 0
+    with pytest.raises(ValueError):
+        refilled_queue(df, 1, 2, 5)

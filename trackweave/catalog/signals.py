@@ -152,6 +152,38 @@ def w8(spark, sf):
     return batches.interleave(labelled_windows(spark, sf).select("track", "win_idx", "label"), 8, 11)
 
 
+QUEUE = 8
+WORKERS = 3
+
+
+@query(
+    "w8_refilled_queue",
+    f"""WITH RECURSIVE {FRAMES}, {TAXONOMY}, {slices_sql(10, 0, None, "right-align")},
+  wins AS (SELECT DISTINCT track, win_idx FROM slices),
+  named AS (SELECT wins.*, species AS label FROM wins JOIN taxonomy ON taxonomy.track = wins.track),
+  tracks AS (
+    SELECT *, CAST(floor(seq / ceil(total / {WORKERS}.0)) AS BIGINT) AS worker FROM (
+      SELECT track, count(*) AS n, {shuffled(12, ['track'])} AS seq, count(*) OVER () AS total FROM named GROUP BY track)),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY seq) AS turn FROM tracks),
+  queue AS (
+    SELECT worker, turn, 0::BIGINT AS start, list_sort(list_append([{", ".join(["0::BIGINT"] * (QUEUE - 2))}], n + 1)) AS free
+    FROM placed WHERE turn = 1
+    UNION ALL
+    SELECT p.worker, p.turn, free[1], list_sort(list_append(free[2:], free[1] + p.n + 1))
+    FROM queue q JOIN placed p ON p.worker = q.worker AND p.turn = q.turn + 1),
+  data AS (
+    SELECT p.worker, q.start + {shuffled(12, ['n.track', 'win_idx'], ['n.track'])} AS round, p.seq, n.track, win_idx, label
+    FROM named n JOIN placed p ON p.track = n.track JOIN queue q ON q.worker = p.worker AND q.turn = p.turn),
+  ends AS (SELECT p.worker, max(q.start + p.n) + 1 AS rounds FROM placed p JOIN queue q ON q.worker = p.worker AND q.turn = p.turn GROUP BY 1)
+  SELECT worker, round, CAST(row_number() OVER (PARTITION BY worker, round ORDER BY seq) AS INTEGER) AS slot, track, win_idx, label FROM data
+  UNION ALL SELECT worker, unnest(range(rounds)), 0, NULL, NULL, 'noise' FROM ends""",
+)
+def w8_refilled(spark, sf):
+    """Reading order of workers with a queue of open tracks that is refilled as tracks end."""
+    windows = labelled_windows(spark, sf).select("track", "win_idx", "label")
+    return batches.refilled_queue(windows, QUEUE, WORKERS, 12)
+
+
 # profiles
 
 
