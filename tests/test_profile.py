@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from trackweave.operators import profile
 from trackweave.operators.profile import (
     matrix_profile,
     motifs,
@@ -94,3 +95,65 @@ def test_reference_profile(spark, bound):
     for r in features:
         near = [v[0] for (k, name, _), v in want.items() if (k, name) == (r.k, r.ref)]
         assert np.allclose([r.mp_min, r.mp_median, r.mp_max], [min(near), np.median(near), max(near)])
+
+
+@pytest.mark.parametrize("bound", [1000, 2])
+@pytest.mark.parametrize("block", [4096, 5])
+def test_reference_profile_with_gaps_and_long_windows(spark, monkeypatch, bound, block):
+    """Missing and non-finite frames take out only the subsequences they are in; long windows are cut in blocks."""
+    monkeypatch.setattr(profile, "BLOCK", block)
+    monkeypatch.setattr(profile, "_CELLS", 200)
+    rng = np.random.default_rng(8)
+
+    def frames(n, *gaps):
+        out = rng.normal(size=(n, 2)).tolist()
+        for at, what in gaps:
+            out[at] = None if what is None else [what, 1.0]
+        return out
+
+    windows = [
+        (0, frames(30, (4, None), (17, np.nan))),
+        (1, frames(11, (0, np.inf))),
+        (2, frames(6, (2, None), (3, np.nan))),
+        (3, [None] * 7),
+        (4, None),
+        (5, []),
+        (6, frames(40)),
+        (7, [[1.0, None]] * 5),
+    ]
+    refs = [("a", frames(25, (9, None))), ("b", frames(8, (3, np.nan))), ("c", frames(3)), ("d", None), ("e", [None] * 6)]
+    left = spark.createDataFrame(windows, "k int, q_frames array<array<double>>")
+    right = spark.createDataFrame(refs, "ref string, r_frames array<array<double>>")
+
+    def matrix(rows):
+        return np.array([[np.nan, np.nan] if r is None else [np.nan if x is None else x for x in r] for r in rows or []], dtype=float).reshape(-1, 2)
+
+    want = {}
+    for k, q in windows:
+        for name, r in refs:
+            q_, r_ = matrix(q), matrix(r)
+            if min(len(q_), len(r_)) < 4:
+                continue
+            for i in range(len(q_) - 3):
+                d = np.array([np.sqrt(((q_[i : i + 4] - r_[j : j + 4]) ** 2).sum()) for j in range(len(r_) - 3)])
+                d[~np.isfinite(d)] = np.inf
+                want[k, name, i] = (d.min(), int(d.argmin()) if np.isfinite(d.min()) else -1)
+    got = {(r.k, r.ref, r.i): (r.mp, r.pi) for r in reference_profile(left, right, 4, ["k"], max_references=bound).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[x][1] == want[x][1] and np.isclose(got[x][0], want[x][0]) for x in want)
+    features = {(r.k, r.ref): r for r in reference_features(left, right, 4, ["k"], max_references=bound).collect()}
+    assert features.keys() == {(k, name) for k, name, _ in want}
+    for key, r in features.items():
+        near = [v[0] for (k, name, _), v in want.items() if (k, name) == key and v[1] >= 0]
+        if near:
+            assert np.allclose([r.mp_min, r.mp_median, r.mp_max], [min(near), np.median(near), max(near)])
+        else:
+            assert r.mp_min is None and r.mp_median is None and r.mp_max is None
+
+
+def test_rectangles_are_the_whole_block():
+    rng = np.random.default_rng(1)
+    q, r = rng.integers(0, 4, (900, 3)).astype(float), rng.integers(0, 4, (700, 3)).astype(float)
+    near, at = profile.nearest_of(q, r, 6)
+    d = np.sqrt(sum(((q[t : len(q) - 5 + t, None] - r[None, t : len(r) - 5 + t]) ** 2).sum(axis=2) for t in range(6)))
+    assert np.allclose(near, d.min(axis=1)) and (at == d.argmin(axis=1)).all()

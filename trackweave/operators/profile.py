@@ -20,6 +20,8 @@ from trackweave.operators.numbering import with_each
 
 BLOCK = 4096
 _CELLS = 125_000
+#: numbers of reference frames that go to the tasks as a model (64 MB)
+MOST_SENT = 8_000_000
 
 
 class Scratch:
@@ -111,6 +113,11 @@ def _improve_cols(near: np.ndarray, at: np.ndarray, d: np.ndarray, first: int) -
     at[closer] = (d[:, closer] == best[closer]).argmax(axis=0) + first
 
 
+def _whole(*parts: np.ndarray) -> bool:
+    """Whether all frames are finite, so that no distance needs a look."""
+    return all(np.isfinite(p).all() for p in parts)
+
+
 def _hide(d: np.ndarray, gap: int, zone: int) -> None:
     """Rule out pairs at most ``zone`` apart; column 0 is ``gap`` after row 0."""
     cols = min(d.shape[1], max(0, len(d) + zone - gap))
@@ -135,13 +142,15 @@ def nearest_between(
     """
     rows, cols = len(a) - m + 1, len(b) - m + 1
     (near_a, at_a), (near_b, at_b) = _none_yet(rows), _none_yet(cols)
+    whole = _whole(a, b)
     height, width = _piece(m)
     for lo in range(0, rows, height):
         hi = min(lo + height, rows)
         for left in range(0, cols, width):
             right = min(left + width, cols)
             d = window_distances(a[lo : hi + m - 1], b[left : right + m - 1], m)
-            _finite(d)
+            if not whole:
+                _finite(d)
             _hide(d, gap + left - lo, zone)
             _improve_rows(near_a[lo:hi], at_a[lo:hi], d, left)
             _improve_cols(near_b[left:right], at_b[left:right], d, lo)
@@ -156,13 +165,15 @@ def nearest_within(a: np.ndarray, m: int, zone: int) -> tuple[np.ndarray, np.nda
     """
     n = len(a) - m + 1
     near, at = _none_yet(n)
+    whole = _whole(a)
     height, width = _piece(m)
     for lo in range(0, n, height):
         hi = min(lo + height, n)
         for left in range(lo, n, width):
             right = min(left + width, n)
             d = window_distances(a[lo : hi + m - 1], a[left : right + m - 1], m)
-            _finite(d)
+            if not whole:
+                _finite(d)
             _hide(d, left - lo, zone)
             _improve_rows(near[lo:hi], at[lo:hi], d, left)
             # the square on the diagonal has served its own rows already
@@ -185,8 +196,15 @@ def _matrix(column) -> np.ndarray:
 
 
 def _stack(column, length: int) -> np.ndarray:
-    """Lists of equally many frame vectors as a stack of matrices."""
-    numbers = column.flatten().flatten().to_numpy(zero_copy_only=False)
+    """Lists of equally many frame vectors as a stack of matrices; a missing frame is not a number."""
+    frames = column.flatten()
+    numbers = frames.flatten().to_numpy(zero_copy_only=False)
+    if frames.null_count:
+        there = frames.is_valid().to_numpy(zero_copy_only=False)
+        whole = np.full((len(frames), len(numbers) // max(1, int(there.sum())) or 1), np.nan)
+        if there.any():
+            whole[there] = numbers.reshape(int(there.sum()), -1)
+        numbers = whole
     return numbers.reshape(len(column), length, -1)
 
 
@@ -287,15 +305,45 @@ def matrix_profile(
     )
 
 
+def nearest_of(q: np.ndarray, r: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest window of ``r`` for each window of ``q``: infinite and -1 where there is none.
+
+    Rectangles of the two are gone over one after the other; no whole distance block is held.
+    """
+    rows, cols = len(q) - m + 1, len(r) - m + 1
+    near, at = _none_yet(rows)
+    whole = _whole(q, r)
+    height, width = _piece(m)
+    for lo in range(0, rows, height):
+        hi = min(lo + height, rows)
+        for left in range(0, cols, width):
+            right = min(left + width, cols)
+            d = window_distances(q[lo : hi + m - 1], r[left : right + m - 1], m)
+            if not whole:
+                _finite(d)
+            _improve_rows(near[lo:hi], at[lo:hi], d, left)
+    return np.sqrt(near), at
+
+
 def _matched(
     q: np.ndarray, r: np.ndarray, m: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest window of ``r`` for each window of ``q``, for stacks of both."""
+    """Nearest window of ``r`` for each window of ``q``, for stacks of both; ``r`` may be one for all."""
+    if q.shape[2] != r.shape[2]:
+        # frames of other dimensions, or none at all, are near to nothing
+        rows = q.shape[1] - m + 1
+        return np.full((len(q), rows), np.inf), np.full((len(q), rows), -1, dtype=np.int64)
+    if q.shape[1] * r.shape[1] > _CELLS:
+        each = [nearest_of(q[k], r[k if len(r) > 1 else 0], m) for k in range(len(q))]
+        return np.stack([n for n, _ in each]), np.stack([a for _, a in each])
     part = np.zeros((q.shape[0], q.shape[1], r.shape[1]))
     for k in range(q.shape[2]):
         part += np.square(q[:, :, None, k] - r[:, None, :, k])
     d = diagonal_sums(part, m)
-    return np.sqrt(d.min(axis=2)), d.argmin(axis=2)
+    if not _whole(q, r):
+        _finite(d)
+    near, at = np.sqrt(d.min(axis=2)), d.argmin(axis=2)
+    return near, np.where(np.isfinite(near), at, -1)
 
 
 def _profile_rows(near: np.ndarray, at: np.ndarray) -> tuple[int, list[np.ndarray]]:
@@ -303,8 +351,22 @@ def _profile_rows(near: np.ndarray, at: np.ndarray) -> tuple[int, list[np.ndarra
     return width, [np.tile(np.arange(width), rows), near.ravel(), at.ravel()]
 
 
-def _feature_rows(near: np.ndarray, at: np.ndarray) -> tuple[int, list[np.ndarray]]:
-    return 1, [near.min(axis=1), np.median(near, axis=1), near.max(axis=1)]
+def _feature_rows(near: np.ndarray, at: np.ndarray) -> tuple[int, list]:
+    """Minimum, median and maximum of what has a neighbour; null where nothing has one."""
+    with_one = np.where(np.isfinite(near), near, np.nan)
+    none = np.isnan(with_one).all(axis=1)
+    with_one[none] = 0.0
+    found = [np.nanmin(with_one, axis=1), np.nanmedian(with_one, axis=1), np.nanmax(with_one, axis=1)]
+    return 1, [pa.array(x, mask=none) for x in found]
+
+
+def _blocks_of(windows: DataFrame, keys: list[str], m: int, block: int) -> DataFrame:
+    """``(keys, _from, _n, q_frames)``: windows in blocks of ``block`` subsequences, and how many there are."""
+    subsequences = F.size("q_frames") - m + 1
+    starts = F.when(subsequences > block, F.sequence(F.lit(0), subsequences - 1, F.lit(block))).otherwise(F.array(F.lit(0)))
+    rows = windows.select(*keys, "q_frames", F.size(starts).alias("_n"), F.explode(starts).alias("_from"))
+    part = F.when(F.col("_n") > 1, F.slice("q_frames", F.col("_from") + 1, F.lit(block + m - 1))).otherwise(F.col("q_frames"))
+    return rows.select(*keys, F.col("_from").cast("bigint"), "_n", part.alias("q_frames"))
 
 
 def _against_references(windows, references, m, keys, ref, shape, fields, max_references):
@@ -314,7 +376,9 @@ def _against_references(windows, references, m, keys, ref, shape, fields, max_re
     schema = ", ".join(
         [f"{k} {windows.schema[k].dataType.simpleString()}" for k in keys] + [f"{ref} {ref_type}", *fields]
     )
-    model = references.select(ref, "r_frames").limit(max_references + 1).collect()
+    # what is sent to the tasks is counted before
+    sizes = references.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(F.flatten("r_frames"))), F.lit(0)).alias("numbers")).first()
+    sent = sizes["n"] <= max_references and sizes["numbers"] <= MOST_SENT
 
     def rows_of(batch, some, near, at, labels):
         repeat, columns = shape(near, at)
@@ -327,23 +391,25 @@ def _against_references(windows, references, m, keys, ref, shape, fields, max_re
     def parts(lists: np.ndarray, other: int):
         """Rows of equal sizes, a bounded number at a time."""
         for size in np.unique(lists, axis=0):
-            if size.min() >= m:
+            if np.nanmin(size) >= m and not np.isnan(size).any():
                 rows = np.flatnonzero((lists == size).all(axis=1))
-                step = max(1, _CELLS // int(size[0] * (other or size[1])))
+                step = max(1, int(_CELLS // (size[0] * (other or size[1]))))
                 yield from ((some, size) for some in np.split(rows, range(step, len(rows), step)))
 
-    if len(model) <= max_references:
-        known = [(r[ref], np.array(r.r_frames, dtype=float)) for r in model]
+    if sent:
+        known = []
+        for batch in references.select(ref, "r_frames").toArrow().combine_chunks().to_batches():
+            known += [(batch.column(ref)[k].as_py(), _matrix(f)) for k, f in enumerate(batch.column("r_frames")) if f.is_valid]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 queries = batch.column("q_frames")
-                lists = pc.list_value_length(queries).to_numpy()[:, None]
+                lists = pc.list_value_length(queries).to_numpy(zero_copy_only=False)[:, None].astype(float)
                 for name, frames in known:
                     if len(frames) < m:
                         continue
                     for some, size in parts(lists, len(frames)):
-                        q = _stack(queries.take(pa.array(some)), size[0])
+                        q = _stack(queries.take(pa.array(some)), int(size[0]))
                         near, at = _matched(q, frames[None], m)
                         yield rows_of(batch, some, near, at, pa.array([name] * len(some)))
 
@@ -352,10 +418,10 @@ def _against_references(windows, references, m, keys, ref, shape, fields, max_re
     def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             queries, refs = batch.column("q_frames"), batch.column("r_frames")
-            lists = np.stack([pc.list_value_length(c).to_numpy() for c in (queries, refs)], axis=1)
+            lists = np.stack([pc.list_value_length(c).to_numpy(zero_copy_only=False) for c in (queries, refs)], axis=1).astype(float)
             for some, size in parts(lists, 0):
-                q = _stack(queries.take(pa.array(some)), size[0])
-                r = _stack(refs.take(pa.array(some)), size[1])
+                q = _stack(queries.take(pa.array(some)), int(size[0]))
+                r = _stack(refs.take(pa.array(some)), int(size[1]))
                 near, at = _matched(q, r, m)
                 yield rows_of(batch, some, near, at, batch.column(ref).take(pa.array(some)))
 
@@ -371,16 +437,21 @@ def reference_profile(
     ref: str = "ref",
     max_references: int = 1000,
 ) -> DataFrame:
-    """``(keys, ref, i, mp, pi)``: profiles of short windows against short references.
+    """``(keys, ref, i, mp, pi)``: profiles of windows against references.
 
     ``windows`` holds ``keys`` and ``q_frames``, ``references`` holds ``ref`` and
     ``r_frames``, both arrays of frame vectors. For every subsequence of a window
-    the nearest one of the reference is found, without exclusion zone. Up to
-    ``max_references`` references are a model that goes to the tasks; more of them
+    the nearest one of the reference is found, without exclusion zone. A missing or non-finite
+    frame takes out the subsequences it is in; one without any neighbour has distance infinity and
+    position -1. Long windows are cut in blocks of ``BLOCK`` subsequences, each a row of its own, and a
+    task goes over rectangles of a block and a reference. Up to ``max_references`` references of at most
+    ``MOST_SENT`` numbers are a model that goes to the tasks; more of them
     stay a table that the windows are joined with.
     """
     fields = ["i bigint", "mp double", "pi bigint"]
-    return _against_references(windows, references, m, keys, ref, _profile_rows, fields, max_references)
+    blocks = _blocks_of(windows, keys, m, BLOCK)
+    rows = _against_references(blocks, references, m, [*keys, "_from"], ref, _profile_rows, fields, max_references)
+    return rows.select(*keys, ref, (F.col("i") + F.col("_from")).alias("i"), "mp", "pi")
 
 
 def reference_features(
@@ -393,10 +464,17 @@ def reference_features(
 ) -> DataFrame:
     """``(keys, ref, mp_min, mp_median, mp_max)``: the same profiles summed up.
 
-    A profile never leaves its task, so nothing is shuffled.
+    Only subsequences with a neighbour count; without any the three are null. The profile of a window of one block never
+    leaves its task; blocks of longer windows are summed up together by a grouping.
     """
     fields = ["mp_min double", "mp_median double", "mp_max double"]
-    return _against_references(windows, references, m, keys, ref, _feature_rows, fields, max_references)
+    blocks = _blocks_of(windows, keys, m, BLOCK)
+    short = _against_references(blocks.where("_n = 1"), references, m, keys, ref, _feature_rows, fields, max_references)
+    rows = ["i bigint", "mp double", "pi bigint"]
+    long = _against_references(blocks.where("_n > 1"), references, m, [*keys, "_from"], ref, _profile_rows, rows, max_references)
+    near = F.when(F.col("pi") >= 0, F.col("mp"))
+    summed = long.groupBy(*keys, ref).agg(F.min(near).alias("mp_min"), F.median(near).alias("mp_median"), F.max(near).alias("mp_max"))
+    return short.unionByName(summed)
 
 
 def motifs(profile: DataFrame) -> DataFrame:
