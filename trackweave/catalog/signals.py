@@ -288,6 +288,48 @@ def a9(spark, sf):
     return got.withColumns({c: F.round(c, 6) for c in ("mp_min", "mp_median", "mp_max")})
 
 
+_GAPS = f"""{_WINDOWS16},
+  whole AS (
+    SELECT f.track, ref, f.pos AS i, r.off AS j, CASE WHEN f.kind <> 'error' THEN (f.value - r.value) * (f.value - r.value) END AS e
+    FROM frames f, refs r),
+  sums AS (SELECT track, ref, i, j, sum(e) OVER v AS d2, count(e) OVER v AS c FROM whole
+    WINDOW v AS (PARTITION BY track, ref, j - i ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+  found AS (SELECT track, ref, i, d2, j FROM (
+    SELECT *, row_number() OVER (PARTITION BY track, ref, i ORDER BY d2, j) AS r FROM sums WHERE c = 4) WHERE r = 1),
+  places AS (SELECT track, ref, unnest(range(n - 3)) AS i FROM sizes, (SELECT DISTINCT ref FROM refs) WHERE n >= 4),
+  gap_mp AS (
+    SELECT p.track, p.ref, p.i, sqrt(d2) AS d, round(sqrt(d2), 6) AS mp, coalesce(j, -1) AS pi
+    FROM places p LEFT JOIN found f ON f.track = p.track AND f.ref = p.ref AND f.i = p.i)"""
+
+
+def tracks_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole tracks as one window each; frames of errors are missing."""
+    frame = F.when(F.col("kind") != "error", F.array("value"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", frame.alias("frame"))))
+    return frames(spark, sf).groupBy("track").agg(F.transform(ordered, lambda s: s["frame"]).alias("q_frames"))
+
+
+@query(
+    "j6_whole_tracks_with_gaps",
+    f"WITH {FRAMES}, {TAXONOMY}, {_GAPS} SELECT track, ref, i, mp, pi FROM gap_mp",
+)
+def j6_gaps(spark, sf):
+    refs = reference_windows(spark, sf, query_windows(spark, sf))
+    got = reference_profile(tracks_with_gaps(spark, sf), refs, 4, ["track"])
+    return got.withColumn("mp", F.when(F.col("pi") >= 0, F.round("mp", 6)))
+
+
+@query(
+    "a9_features_with_gaps",
+    f"""WITH {FRAMES}, {TAXONOMY}, {_GAPS} SELECT track, ref, min(mp) AS mp_min,
+          round(median(d), 6) AS mp_median, max(mp) AS mp_max FROM gap_mp GROUP BY 1, 2""",
+)
+def a9_gaps(spark, sf):
+    refs = reference_windows(spark, sf, query_windows(spark, sf))
+    got = reference_features(tracks_with_gaps(spark, sf), refs, 4, ["track"])
+    return got.withColumns({"mp_min": F.round("mp_min", 6), "mp_median": F.round("mp_median", 6), "mp_max": F.round("mp_max", 6)})
+
+
 @query("a8_motif_and_discord", f"WITH {FRAMES}, {profile(M)} SELECT * FROM motifs")
 def a8(spark, sf):
     return motifs(matrix_profile(stored_frames(spark, sf), M))
