@@ -70,7 +70,7 @@ def test_unknown_padding(spark):
 
 
 @pytest.mark.parametrize("padding", PADDINGS)
-@pytest.mark.parametrize("shape", [(5, 0, None), (4, 0, 2), (4, 2, 3), (3, 0, 5)])
+@pytest.mark.parametrize("shape", [(5, 0, None), (4, 0, 2), (4, 2, 3), (3, 0, 5), (2, 0, 9), (1, 1, 14)])
 def test_all_lengths(spark, padding, shape):
     tracks = {n: [i + 1 for i in range(n)] for n in range(1, 24)}
     want = {

@@ -85,6 +85,7 @@ _slice_query("w2_slice_center", 10, 0, None, "center")
 _slice_query("w3_slice_right_align", 10, 0, None, "right-align")
 _slice_query("w4_slice_overlapping", 10, 0, 4, "center")
 _slice_query("w4_slice_context", 10, 4, 7, "right")
+_slice_query("w4_slice_sparse_center", 4, 0, 23, "center")
 _slice_query("w4_slice_overlap_right_align", 10, 0, 4, "right-align")
 
 
@@ -448,6 +449,26 @@ def l14(spark, sf):
     return motif.place_fragments(recs, chunks, sizes, CHUNK, "motif_0", 6)
 
 
+@query(
+    "l14_motif_tracks",
+    f"""WITH {FRAMES}, {profile(M)},
+        named AS (
+          SELECT track, n_frames AS n, unnest(['motif_0', 'motif_1', 'discord_0', 'discord_1']) AS place,
+                 unnest([motif_0, motif_1, discord_0, discord_1]) AS idx FROM records),
+        places AS (SELECT track, place, coalesce(
+            CAST(trunc((idx / (n + 8.0)::DOUBLE + (8 / 2.0) / (n + 8.0)::DOUBLE) * n) AS BIGINT), 0) AS start FROM named)
+        SELECT place, row_number() OVER (PARTITION BY place ORDER BY p.track, f.pos) - 1 AS pos, p.track,
+               CAST(f.pos - start AS INTEGER) AS off, value
+        FROM places p JOIN frames f ON f.track = p.track AND f.pos >= start AND f.pos < start + 6""",
+)
+def l14_tracks(spark, sf):
+    """The fragments at each of the four places of all tracks, joined to one signal a place."""
+    signal_ = stored_frames(spark, sf)
+    chunks, sizes = chunked(signal_, CHUNK), lengths(signal_)
+    recs = motif.track_records(sizes, matrix_profile(signal_, M), M)
+    return motif.motif_tracks(recs, chunks, sizes, CHUNK, 6)
+
+
 @query(
     "l16_primary_fragments",
     f"""WITH {FRAMES}, {profile(40)}, {fragment_sql('''SELECT track, coalesce(CAST(trunc(

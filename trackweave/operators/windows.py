@@ -56,8 +56,6 @@ def slice_windows(
         raise ValueError(f"padding must be one of {PADDINGS}")
     full = width + context
     step = full if step is None else step
-    if padding == "center" and step > 2 * full:
-        raise ValueError("with centred padding the step may be at most two windows")
     plan = window_plan(F.col("n"), full, step, padding)
     src = chunks.join(lengths, "track").select(
         "track",
@@ -103,6 +101,11 @@ def slice_windows(
             F.slice("vals", (F.col("lo") - F.col("at") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias("vals"),
         ).alias("piece"),
     )
+    if padding == "center" and step > 2 * full:
+        # the zeros on the left may hold the whole first window, which no sample touches
+        empty = F.struct(F.lit(0).cast("bigint").alias("lo"), F.array().cast(chunks.schema["values"].dataType).alias("vals"))
+        blank = lengths.select("track", plan["left"].alias("left"), plan["n_win"].alias("n_win")).where((F.col("n_win") > 0) & (F.col("left") >= full))
+        pieces = pieces.unionByName(blank.select("track", F.lit(0).cast("bigint").alias("win_idx"), empty.alias("piece")))
     if padding == "right" and step == full and chunk_size % full == 0:
         # every window lies in one chunk: nothing to put together, no shuffle
         joined = pieces.select("track", "win_idx", F.array("piece").alias("p"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from trackweave.functions.scalar import duration_seconds, frame_to_data
+from trackweave.operators.numbering import number_rows
 from trackweave.operators.pairing import triplets
 from trackweave.operators.profile import matrix_profile, motifs, top_positions
 from trackweave.operators.windows import cut, fragments
@@ -107,6 +110,34 @@ def place_fragments(
     )
 
 
+PLACES = ("motif_0", "motif_1", "discord_0", "discord_1")
+
+
+def motif_tracks(
+    records: DataFrame, chunks: DataFrame, lengths: DataFrame, chunk_size: int, width: int, places: Sequence[str] = PLACES
+) -> DataFrame:
+    """``(place, pos, track, off, value)``: the samples after a place of every track, one track after the other.
+
+    ``pos`` counts the samples of a place's joined signal, in the order of tracks. A track without the
+    place gives its beginning. Positions are numbered in buckets of tracks, so a joined
+    signal of any length is never ordered as a whole.
+    """
+
+    def span(place: str):
+        start, _ = frame_to_data(F.col(place), F.col("window"), F.col("n_frames"), F.col("n_frames"))
+        return F.struct(F.lit(place).alias("place"), F.coalesce(start, F.lit(0).cast("bigint")).alias("start"))
+
+    each = records.select("track", "window", "n_frames", F.explode(F.array(*[span(p) for p in places])).alias("_s"))
+    spans = (
+        each.select("track", "_s.*")
+        .join(lengths, "track")
+        .select("place", "track", "start", F.least(F.lit(width), F.col("n") - F.col("start")).alias("taken"))
+        .where("taken > 0")
+    )
+    rows = cut(chunks, chunk_size, spans, ["place", "track"]).select("place", "track", F.posexplode("x").alias("off", "value"))
+    return number_rows(rows, ["place"], ["track", "off"], F.expr("track div 1024"), "pos")
+
+
 def primary_fragments(
     records: DataFrame, chunks: DataFrame, lengths: DataFrame, chunk_size: int, width: int,
     raw_units: bool = False,
