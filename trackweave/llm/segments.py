@@ -71,7 +71,7 @@ def parts_of(data: np.ndarray, texts: np.ndarray, prefix: int) -> Parts:
     return Parts(words, key, lead, word, first)
 
 
-def column_parts(column: pa.Array, prefix: int = 1, mark: str = " ", limit: int = PIECE // 2) -> Iterator[tuple[int, Parts]]:
+def column_parts(column: pa.Array, prefix: int = 1, mark: str = " ", limit: int = PIECE // 4) -> Iterator[tuple[int, Parts]]:
     """``(first row, parts)`` of runs of rows of at most ``limit`` bytes; a longer text is a run of its own."""
     # a mark written in a text is a space to the model; a run of both must not be cut
     column = pc.replace_substring(column, mark, " ")

@@ -45,6 +45,7 @@ FOLDS = 3
 TASKS = 4  # tasks over the features of the bounded sample: few enough to sum gradients in one stage
 RIDGE = 1e-4
 REJECT = 0.5
+PIECE = 1 << 19  # bytes of texts whose terms are held at once; a longer text is held whole
 
 #: weak labels of the finer categories
 SEEDS = {
@@ -58,7 +59,7 @@ APART = (_BYTE < 128) & ~(((_BYTE | 32) >= 97) & ((_BYTE | 32) <= 122)) & ~((_BY
 
 
 def _word_pieces(column: pa.Array) -> Iterator[tuple[int, Words]]:
-    for row, data, offsets in pieces(column):
+    for row, data, offsets in pieces(column, PIECE):
         yield row, cut(data, offsets, APART)
 
 
