@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,33 @@ def test_mixup(spark):
     assert len(set(lam)) == 10 and all(0 <= v <= 1 for v in lam)
 
 
+@pytest.mark.parametrize("alpha", [0.2, 0.4, 1.0, 2.0])
+def test_beta_moments(spark, alpha):
+    """Mean 1/2 and variance 1 / (4 (2 alpha + 1)); the same values on a rerun."""
+    rows = spark.range(4000, numPartitions=4).select("id", beta(alpha, 5, "id").alias("v"))
+    again = spark.range(4000, numPartitions=1).select("id", beta(alpha, 5, "id").alias("v"))
+    assert rows.exceptAll(again).isEmpty()
+    got = np.array([r.v for r in rows.collect()])
+    assert abs(got.mean() - 0.5) < 0.03 and (got >= 0).all() and (got <= 1).all()
+    assert abs(got.var() * 4 * (2 * alpha + 1) - 1) < 0.08
+
+
+def test_beta_of_large_alpha_is_refused():
+    with pytest.raises(ValueError):
+        beta(3.0, 1, "id")
+
+
+def test_rows_nobody_picked_stay_where_they_are(spark):
+    """Only keys are numbered; the payload meets few picks in a join that Spark broadcasts."""
+    rows = spark.range(2000).select("id", (F.col("id") % 3).alias("g"), F.array_repeat(F.col("id").cast("double"), 50).alias("x"))
+    drawn = sampling.sample_with_replacement(rows, "g", 5, 1, ["id"])
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    got = drawn.collect()
+    assert len(got) == 15 and all(r.x == [float(r.id)] * 50 and r.id % 3 == r.g for r in got)
+    assert drawn.columns == ["g", "draw", "id", "x"]
+
+
 def test_skip_existing(spark, tmp_path):
     from trackweave.sources import files
 

@@ -18,7 +18,7 @@ from trackweave.catalog.signals import (
 )
 from trackweave.catalog.sqltext import FRAMES, TAXONOMY, digest, draw, profile, shuffled, uniform
 from trackweave.functions import vectors
-from trackweave.functions.beta import beta
+from trackweave.functions.beta import attempts, beta
 from trackweave.functions.draws import uniform as uniform_of
 from trackweave.functions.scalar import frame_to_data
 from trackweave.operators import batches, labels, pairing, sampling
@@ -376,7 +376,27 @@ def m11(spark, sf):
     )
 
 
-@query("m11_mixup_beta")
+def beta_sql(alpha: float, seed, key: str, source: str) -> str:
+    """A CTE ``weights(<key>, lam)``: the first accepted pair of draws of each key."""
+    return f"""tries AS (
+    SELECT {key}, i, pow({uniform(seed, "'first'", key, 'i')}, {1 / alpha!r}::DOUBLE) AS x,
+           pow({uniform(seed, "'second'", key, 'i')}, {1 / alpha!r}::DOUBLE) AS y
+    FROM {source}, (SELECT unnest(range({attempts(alpha)})) AS i)),
+  weights AS (SELECT {key}, arg_min(x / (x + y), i) AS lam FROM tries WHERE x + y <= 1 AND x + y > 0 GROUP BY {key})"""
+
+
+@query(
+    "m11_mixup_beta",
+    f"""WITH {_MIXED}, {beta_sql(0.4, 74, 'vec_id', 'embeddings')},
+        pairs AS (
+          SELECT a.vec_id, w.lam, a.embedding::DOUBLE[] AS e, b.embedding::DOUBLE[] AS f, a.label AS k, b.label AS l
+          FROM placed a JOIN placed b ON b.batch = a.batch AND b.r = (a.r + 1) % 16 JOIN weights w ON w.vec_id = a.vec_id)
+        SELECT vec_id, round(lam, 9) AS lam, 'embedding' AS part, dim, round(x * lam + y * (1 - lam), 9) AS value FROM (
+          SELECT vec_id, lam, CAST(unnest(range(64)) AS INTEGER) AS dim, unnest(e) AS x, unnest(f) AS y FROM pairs)
+        UNION ALL
+        SELECT vec_id, round(lam, 9), 'target', dim, round((k = dim)::DOUBLE * lam + (l = dim)::DOUBLE * (1 - lam), 9) FROM (
+          SELECT vec_id, lam, k, l, CAST(unnest(range(10)) AS INTEGER) AS dim FROM pairs)""",
+)
 def m11_beta(spark, sf):
     """Mixing weights from Beta(0.4, 0.4); features and one-hot targets."""
     rows = vector_batches(spark, sf).select(
@@ -386,7 +406,10 @@ def m11_beta(spark, sf):
         F.col("embedding").cast("array<double>").alias("embedding"),
         vectors.one_hot(F.col("label"), F.lit(10)).cast("array<double>").alias("target"),
     )
-    return pairing.mixed_up(rows, ["batch"], 73, beta(0.4, 74, "vec_id"), ["embedding", "target"])
+    mixed = pairing.mixed_up(rows, ["batch"], 73, beta(0.4, 74, "vec_id"), ["embedding", "target"])
+    parts = F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("values")) for c in ("embedding", "target")])
+    each = mixed.select("vec_id", F.round("lam", 9).alias("lam"), F.explode(parts).alias("_p"))
+    return each.select("vec_id", "lam", "_p.part", F.posexplode("_p.values").alias("dim", "value")).withColumn("value", F.round("value", 9))
 
 
 # pipelines

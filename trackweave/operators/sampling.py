@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackweave.functions.draws import digest, draw_below, uniform
 from trackweave.operators.numbering import number_shuffled, repeat_rows
+from trackweave.session import cut_lineage
 
 # from here on Spark ranks whole groups instead of each task's first rows
 _LARGE_K = 1000
@@ -42,14 +43,22 @@ def sample_with_replacement(
     """Exactly ``k`` rows per group, drawn with replacement, with their ``draw``.
 
     Members are numbered and draws pick numbers, so the join is on
-    ``(group, number)`` and spreads evenly however uneven the groups are.
+    ``(group, number)`` and spreads evenly however uneven the groups are. Only the group and the unique ``keys`` are
+    numbered; what else a row has is fetched for the picks alone. They are written before, so Spark knows
+    how few they are and need not move the rows that nobody picked.
     """
-    members = number_shuffled(df.where(F.col(group).isNotNull()), [group], seed, keys)
-    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    known = df.where(F.col(group).isNotNull())
+    names = list(dict.fromkeys([group, *keys]))
+    members = number_shuffled(known.select(*names), [group], seed, keys)
+    sizes = known.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     draws = repeat_rows(sizes, F.lit(k)).select(
         group, "draw", draw_below("_n", seed, F.lit("pick"), group, "draw").alias("row_idx")
     )
-    return draws.join(members, [group, "row_idx"]).drop("row_idx")
+    picks = draws.join(members, [group, "row_idx"]).drop("row_idx")
+    payload = [c for c in df.columns if c not in names]
+    if not payload:
+        return picks
+    return known.join(cut_lineage(picks), names).select(group, "draw", *[c for c in df.columns if c != group])
 
 
 def sample_without_replacement(
