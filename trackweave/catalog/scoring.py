@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackweave.catalog.registry import query
 from trackweave.catalog.samples import inside_sql, members_sql, outside_sql
-from trackweave.catalog.sqltext import draw
+from trackweave.catalog.sqltext import FRAMES, draw
 from trackweave.functions import vectors
 from trackweave.functions.project import linear_map
+from trackweave.functions.tables import loud_runs
 from trackweave.operators import labels, metrics, pairing, sampling
 from trackweave.operators.numbering import with_each
 from trackweave.plans import predict
-from trackweave.sources.tracks import table
+from trackweave.sources.tracks import frames, table
 
 NOISE = 63
 
@@ -441,3 +442,20 @@ def x4_udtf(spark, sf):
     spark.udtf.register("windows_of", WindowsOf)
     table(spark, sf, "documents").select("doc_id", "n_chars").createOrReplaceTempView("_lengths")
     return spark.sql("SELECT doc_id, w.* FROM _lengths, LATERAL windows_of(n_chars, 500) w")
+
+
+@query(
+    "x4_table_argument",
+    f"""WITH {FRAMES},
+        marks AS (SELECT track, pos, value, CASE WHEN value >= 80 THEN 1 WHEN value < 40 THEN 0 END AS m FROM frames),
+        states AS (SELECT track, pos, value, coalesce(last_value(m IGNORE NULLS) OVER (
+            PARTITION BY track ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS s FROM marks),
+        runs AS (SELECT *, pos - row_number() OVER (PARTITION BY track, s ORDER BY pos) AS run FROM states)
+        SELECT track, min(pos) AS start_pos, max(pos) AS end_pos, count(*) AS n, max(value) AS peak
+        FROM runs WHERE s = 1 GROUP BY track, run""",
+)
+def x4_table(spark, sf):
+    """Runs above two levels, found by a function that is given each track as an ordered table."""
+    spark.udtf.register("loud_runs", loud_runs(80.0, 40.0))
+    frames(spark, sf).select("track", "pos", "value").createOrReplaceTempView("_frames")
+    return spark.sql("SELECT * FROM loud_runs(TABLE(_frames) PARTITION BY track ORDER BY pos)")
