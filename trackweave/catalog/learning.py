@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackweave.catalog.registry import query
+from trackweave.catalog.sqltext import digest
 from trackweave.operators import metrics, sampling
 from trackweave.plans import learn
 from trackweave.session import cut_lineage
@@ -98,6 +99,36 @@ def l8(spark, sf):
     )
 
 
+PROBE = 25
+RUNS = 10
+
+
+@query(
+    "l8_probe_rows",
+    f"""WITH drawn AS (
+          SELECT run, label, vec_id FROM (
+            SELECT run, label, vec_id, row_number() OVER (PARTITION BY run, label ORDER BY {digest(SEED, "run", "vec_id")}, run, vec_id) AS r
+            FROM embeddings, (SELECT unnest(range({RUNS})) AS run)) WHERE r <= {PROBE}),
+        placed AS (
+          SELECT *, row_number() OVER (PARTITION BY run ORDER BY {digest(f"{SEED}-split", "run", "vec_id")}, run, vec_id) - 1 AS i,
+                 count(*) OVER (PARTITION BY run) AS n FROM drawn)
+        SELECT CAST(run AS INTEGER) AS run, vec_id, CAST(label AS INTEGER) AS label,
+               CASE WHEN i < floor(0.67::DOUBLE * n) THEN 'train' ELSE 'test' END AS split FROM placed""",
+)
+def l8_rows(spark, sf):
+    """The rows of every run of the probe: so many of each class, two thirds for training."""
+    return learn.probe_rows(vectors(spark, sf), PROBE, RUNS, SEED, "vec_id")
+
+
+@query("l8_probe_by_dimension")
+def l8_grid(spark, sf):
+    """Mean and deviation of the probe's accuracy over ten runs of each dimension."""
+    grid = learn.probe_grid(vectors(spark, sf), PROBE, [8, 16, 32], RUNS, SEED, "vec_id")
+    return grid.groupBy("dim").agg(
+        F.count("*").alias("n"), F.avg("accuracy").alias("mean"), F.stddev_samp("accuracy").alias("std")
+    )
+
+
 @query("l9_perceptron")
 def l9(spark, sf):
     """A feed-forward classifier on vectors; test accuracy per class."""

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -13,7 +15,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import PCA, StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
@@ -144,6 +146,44 @@ def probe(
     )
 
 
+def probe_rows(df: DataFrame, per_class: int, runs: int, seed, key: str, label: str = "label", train: float = 0.67) -> DataFrame:
+    """``(run, <key>, <label>, split)``: for every run so many rows of each class, split for training and test.
+
+    All runs are drawn in one job, by the digests of run and key.
+    """
+    each = df.select(label, key).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    drawn = sample_without_replacement(each, ["run", label], per_class, seed, ["run", key])
+    return split_two(drawn, train, f"{seed}-split", ["run", key], ["run"]).select("run", key, label, "split")
+
+
+def probe_grid(
+    df: DataFrame, per_class: int, dims: Sequence[int], runs: int, seed, key: str, label: str = "label", at_once: int = 4
+) -> DataFrame:
+    """``(dim, run, n_train, n_test, accuracy)``: how well a linear model tells classes apart, by dimension and run.
+
+    The components are fitted once, at the largest dimension; those of a smaller one are its first ones. The samples
+    of all runs are one written table, over which the models of the grid are fitted, ``at_once`` at a time.
+    """
+    spark = df.sparkSession
+    rows = probe_rows(df, per_class, runs, seed, key, label)
+    flat = projected(df.select(key, "features"), max(dims)).drop("features")
+    sample = cut_lineage(rows.join(flat, key).repartition("run"))
+
+    def fitted(task: tuple[int, int]) -> tuple:
+        dim, run = task
+        own = VectorSlicer(inputCol="pca", outputCol="first", indices=list(range(dim))).transform(sample.where(F.col("run") == run))
+        known, rest = own.where("split = 'train'"), own.where("split = 'test'")
+        model = LogisticRegression(featuresCol="first", labelCol=label, maxIter=100).fit(known)
+        hit = (F.col("prediction") == F.col(label)).cast("int")
+        seen = model.transform(rest).agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy")).first()
+        return dim, run, known.count(), seen["n"], float(seen["accuracy"])
+
+    tasks = [(dim, run) for dim in dims for run in range(runs)]
+    with ThreadPool(at_once) as pool:
+        found = pool.map(inheritable_thread_target(spark)(fitted), tasks)
+    return spark.createDataFrame(found, "dim int, run int, n_train bigint, n_test bigint, accuracy double")
+
+
 def perceptron(df: DataFrame, layers: Sequence[int], seed: int, rounds: int = 50, label: str = "label"):
     """A feed-forward classifier; the last layer gives class probabilities."""
     return MultilayerPerceptronClassifier(
