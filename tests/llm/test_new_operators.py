@@ -332,3 +332,106 @@ def test_nearest_in_both_number_kinds():
 
 def test_the_new_queries_have_sql():
     assert {"op11_filter_audit", "op13_vector_codes"} <= set(ORACLE)
+
+
+# --- shingle join: tiles --------------------------------------------------------------
+
+
+def tile_table(sizes, comps=None):
+    """Tiles of equal sets, one after the other."""
+    import pyarrow as pa
+
+    from trackweave.llm import shingle_join
+
+    part = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 20, dtype=np.uint64))
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    n = len(key)
+    node = np.arange(n)
+    zeros = np.zeros(n, dtype=np.int32)
+    return pa.table(
+        {
+            "key": key, "band": zeros, "lo": zeros, "hi": zeros, "node": node, "n": np.full(n, 20, dtype=np.int32),
+            "comp": node if comps is None else np.array(comps), "own": np.ones(n, dtype=np.int32), "block": zeros,
+            "bits": pa.array([shingle_join.bitmap(part)] * n, pa.binary()),
+        }
+    )
+
+
+@pytest.mark.parametrize("together", [4, 48])
+def test_first_round_gives_fewer_pairs_than_rows(monkeypatch, together):
+    """A tile of m components gives m - 1 pairs that tie it together; the last round gives every pair across components."""
+    from trackweave.llm import shingle_join
+
+    monkeypatch.setattr(shingle_join, "TOGETHER", together)
+    sizes = [1, 2, 3, 30, 70]
+    tiles = shingle_join.Tiles(shingle_join.Threshold(), tile_table(sizes))
+    key = tiles.at["key"]
+    few = [np.concatenate(c) for c in zip(*tiles.pairs(True))]
+    assert len(few[0]) == sum(m - 1 for m in sizes) and (key[few[0]] == key[few[1]]).all()
+    roots = shingle_join._roots(len(key), *few)
+    assert len(np.unique(roots)) == len(sizes)
+    every = [np.concatenate(c) for c in zip(*tiles.pairs(False))]
+    assert len(set(map(tuple, np.sort(np.column_stack(every), axis=1).tolist()))) == len(every[0]) == sum(m * (m - 1) // 2 for m in sizes)
+    known = shingle_join.Tiles(shingle_join.Threshold(), tile_table([6, 5], [0, 0, 0, 1, 1, 1, 7, 7, 7, 7, 7]))
+    assert sum(len(x) for x, _ in known.pairs(True)) == 1 and sum(len(x) for x, _ in known.pairs(False)) == 9
+
+
+@pytest.mark.parametrize("most", [0, 1 << 40])
+def test_sets_are_fetched_alike_either_way(spark, monkeypatch, most):
+    """Ids sent to the tasks or, beyond the bound, joined: the same components."""
+    from trackweave.llm import shingle_join
+
+    monkeypatch.setattr(shingle_join, "MOST_SENT", most)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(base[:78] + [f"x{i}", f"y{i}"])) for i in range(12)] + [(50 + i, " ".join(f"z{i}{k}" for k in range(30))) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in shingle_join.near_classes(docs).collect()}
+    assert got == {i: 0 if i < 12 else i for i, _ in rows}
+
+
+def test_whole_runs_keep_groups_together():
+    import pyarrow as pa
+
+    from trackweave.llm.runs import whole_runs
+
+    keys = [1, 1, 2, 2, 2, 2, 2, 2, 3, 4, 4]
+    batches = [pa.RecordBatch.from_pydict({"k": pa.array(keys[i : i + 3]), "v": pa.array(range(i, min(len(keys), i + 3)))}) for i in range(0, len(keys), 3)]
+    tables = list(whole_runs(iter([batches[0].slice(0, 0), *batches]), ["k"]))
+    assert [v for t in tables for v in t.column("v").to_pylist()] == list(range(len(keys)))
+    for a, b in zip(tables, tables[1:]):
+        assert not set(a.column("k").to_pylist()) & set(b.column("k").to_pylist())
+
+
+# --- SentencePiece: the way in use ----------------------------------------------------
+
+
+def test_parts_are_remembered_in_bounded_buffers(spark, documents, monkeypatch):
+    """Forgetting and learning anew, lot by lot, changes no id; decoding gives the texts back."""
+    import pyarrow as pa
+
+    from trackweave.llm import pieces
+    from trackweave.llm.piece_model import TOKENIZER, model_bytes
+
+    data = model_bytes(spark, TOKENIZER)
+    texts = [r["text"] for r in documents.select("text").limit(60).collect()]
+    column = pa.array(texts, pa.string())
+
+    def ids():
+        pieces.by_parts.cache_clear()
+        coder = pieces.by_parts(data)
+        out, back = [], []
+        for _ in range(2):
+            for _, found, at, some in pieces._ids(column, data):
+                out += [found[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+                back += some
+        return out, back, coder
+
+    want, back, _ = ids()
+    assert back == texts + texts
+    monkeypatch.setattr(pieces, "MOST_KNOWN", 1000)
+    monkeypatch.setattr(pieces, "LOT", 7)
+    again, _, coder = ids()
+    assert again == want
+    pieces.compare(data, pieces.PROBES + texts[:5])
+    plain = [i for _, found, at, some in pieces._ids(column, data, False) for i in found.tolist() if not some]
+    assert plain == [i for x in want[: len(texts)] for i in x]

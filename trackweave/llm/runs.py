@@ -38,3 +38,22 @@ def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.
         held.append(batch.slice(cuts[-2]))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """The same rows in tables of whole groups, about a batch each; a longer group is a table of its own."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        turns = np.flatnonzero(_changes(batch, keys))
+        if len(turns):
+            last = int(turns[-1]) + 1
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held, batch = [], batch.slice(last)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)

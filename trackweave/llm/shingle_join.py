@@ -11,8 +11,8 @@ the first two do, the last one completes the components exactly:
    last in that order, so passages shared by many texts are rarely among the first ones. A
    tile holds the nodes with one such shingle in one size band or the next longer one
    (sizes of a pair are at most one band apart). Tiles of one component are dropped. In
-   the others bit counts of hashed bitmap signatures bound the overlap from above, and the
-   pair of highest bound of each node is verified by exact intersection of sorted arrays.
+   the others bit counts of hashed bitmap signatures bound the overlap from above, and in a few tiles of each node
+   the pairs of highest bound that would tie a tile together are verified by exact intersection of sorted arrays.
 3. Tiles that still hold several components are gone over again, now with every pair across
    components that the bound lets pass.
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from trackweave.llm.components import components
-from trackweave.llm.runs import runs
+from trackweave.llm.runs import whole_runs
 from trackweave.llm.words import mix, shingles, word_pieces
 from trackweave.session import cut_lineage
 
@@ -46,6 +46,10 @@ AGREE = 10  # minimum hashes that a node and its hub share
 HUBS = 6  # orders in which hubs are picked
 TRIED = 3  # hubs of a node that are verified
 BLOCK = 256  # nodes of one block of a large tile
+SPREAD = 1  # bits of a signature for each shingle: with fewer, pairs far below the threshold pass the bound
+FEW = 4  # tiles of a node that the first round goes over
+HELD = 1 << 19  # shingles that a task holds before it hands them on
+TOGETHER = 48  # tiles of up to so many rows are gone over together
 MOST_SENT = 4_000_000  # ids broadcast at once (32 MB); beyond it texts are joined by a shuffle
 
 
@@ -102,12 +106,16 @@ def _described(size: int):
             n = batch.num_rows
             nodes, sizes = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
             minima: list[list[int] | None] = [None] * n
-            cells = []
+            cells, held = [], 0
             for row, part in _sets(batch.column("text"), size):
                 sizes[row] = len(part)
                 if len(part):
                     nodes[row] = _node(part)
                     cells.append(_cells(part))
+                    held += len(part)
+                    if held > HELD:
+                        sketch += np.bincount(np.concatenate(cells), minlength=CELLS)
+                        cells, held = [], 0
                     slot = (part & np.uint64(MINIMA - 1)).astype(np.int64)
                     there, at = np.unique(slot, return_index=True)
                     minima[row] = (part[at] & ~np.uint64(MINIMA - 1) | there.astype(np.uint64)).view(np.int64).tolist()
@@ -172,32 +180,38 @@ def _fetched(sent, size: int):
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 at = np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)
                 batch = batch.filter(pa.array(wanted[at] == ids))
-            nodes, sizes, parts = [], [], []
+            nodes, sizes, parts, held = [], [], [], 0
             for _, part in _sets(batch.column("text"), size):
                 if len(part):
                     nodes.append(_node(part))
                     sizes.append(len(part))
                     parts.append(part.tobytes())
+                    held += len(part)
+                if held > HELD:
+                    yield _named(nodes, sizes, parts)
+                    nodes, sizes, parts, held = [], [], [], 0
             if nodes:
-                yield pa.RecordBatch.from_pydict(
-                    {"node": pa.array(nodes, pa.int64()), "n": pa.array(sizes, pa.int64()), "part": pa.array(parts, pa.binary())}
-                )
+                yield _named(nodes, sizes, parts)
 
     return fetch
 
 
+def _named(nodes: list[int], sizes: list[int], parts: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {"node": pa.array(nodes, pa.int64()), "n": pa.array(sizes, pa.int64()), "part": pa.array(parts, pa.binary())}
+    )
+
+
 def _intersected(rule: Threshold):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("part_a").to_pylist(), batch.column("part_b").to_pylist()
-            shared, linked = [], []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            linked = []
+            for x, y in zip(batch.column("part_a"), batch.column("part_b")):
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 common = int(np.count_nonzero(y[at] == x))
-                shared.append(common)
                 linked.append(rule.linked(common, len(x), len(y)))
             out = batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
             if out.num_rows:
@@ -207,16 +221,22 @@ def _intersected(rule: Threshold):
 
 
 def _firsts(frequent, rule: Threshold, size: int):
-    """``(key, node, n, often)``: the first shingles of every text in the common order."""
+    """``(key, node, n, often, few)``: the first shingles of every text in the common order; ``few`` marks ``FEW`` of them.
+
+    Those marked are the smallest by hash, so similar sets have most of them in common.
+    """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
         for batch in batches:
-            keys, nodes, sizes, often = [], [], [], []
+            keys, nodes, sizes, often, few, held = [], [], [], [], [], 0
             for _, part in _sets(batch.column("text"), size):
                 n = len(part)
                 if not n:
                     continue
+                if held > HELD:
+                    yield _first_rows(keys, nodes, sizes, often, few)
+                    keys, nodes, sizes, often, few, held = [], [], [], [], [], 0
                 k = rule.first(n)
                 flag = late[_cells(part)]
                 rare = part[~flag]
@@ -225,27 +245,35 @@ def _firsts(frequent, rule: Threshold, size: int):
                 nodes.append(np.full(k, _node(part), dtype=np.int64))
                 sizes.append(np.full(k, n, dtype=np.int32))
                 often.append(np.arange(k) >= len(rare))
+                order = mix(own ^ np.uint64(0xD1B54A32D192ED03))
+                few.append(order <= np.partition(order, FEW - 1)[FEW - 1] if k > FEW else np.ones(k, dtype=bool))
+                held += k
             if keys:
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "key": pa.array(np.concatenate(keys).view(np.int64)),
-                        "node": pa.array(np.concatenate(nodes)),
-                        "n": pa.array(np.concatenate(sizes)),
-                        "often": pa.array(np.concatenate(often)),
-                    }
-                )
+                yield _first_rows(keys, nodes, sizes, often, few)
 
     return first
 
 
+def _first_rows(keys, nodes, sizes, often, few) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {
+            "key": pa.array(np.concatenate(keys).view(np.int64)),
+            "node": pa.array(np.concatenate(nodes)),
+            "n": pa.array(np.concatenate(sizes)),
+            "often": pa.array(np.concatenate(often)),
+            "few": pa.array(np.concatenate(few)),
+        }
+    )
+
+
 def bitmap(part: np.ndarray) -> bytes:
-    """Parities of the shingles per bit, with at least as many bits as shingles."""
-    bits = 1 << max(6, (len(part) - 1).bit_length())
+    """Parities of the shingles per bit, with at least ``SPREAD`` bits for each shingle."""
+    bits = 1 << max(6, (SPREAD * len(part) - 1).bit_length())
     at = (mix(part ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def _folded(data: bytes, width: int) -> np.ndarray:
+def _folded(data: bytes | pa.Buffer, width: int) -> np.ndarray:
     """A signature in ``width`` 64-bit words; folding keeps the parity of each bit."""
     x = np.frombuffer(data, dtype=np.uint64)
     while len(x) > width:
@@ -259,49 +287,151 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "bits": pa.array(maps, pa.binary())})
 
 
+def _signatures(column: pa.Array, rows: np.ndarray, width: int) -> np.ndarray:
+    """The signatures of some rows, in ``width`` words each."""
+    out = np.empty((len(rows), width), dtype=np.uint64)
+    for k, i in enumerate(rows.tolist()):
+        out[k] = _folded(column[i].as_buffer(), width)
+    return out
+
+
+@dataclass
+class Tiles:
+    """Rows of whole tiles, tile after tile."""
+
+    rule: Threshold
+    table: pa.Table
+
+    def __post_init__(self) -> None:
+        columns = ("key", "band", "lo", "hi", "node", "n", "comp", "own", "block")
+        self.at = {c: self.table.column(c).to_numpy() for c in columns}
+        self.bits = self.table.column("bits").combine_chunks()
+        new = np.ones(len(self.at["key"]), dtype=bool)
+        new[1:] = np.any([self.at[c][1:] != self.at[c][:-1] for c in columns[:4]], axis=0)
+        self.start = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.start, len(new)))
+        self.tile = np.cumsum(new) - 1
+        # components of one tile, numbered over all tiles
+        order = np.lexsort((self.at["comp"], self.tile))
+        turn = np.ones(len(order), dtype=bool)
+        turn[1:] = (self.tile[order][1:] != self.tile[order][:-1]) | (self.at["comp"][order][1:] != self.at["comp"][order][:-1])
+        self.comp_in_tile = np.empty(len(order), dtype=np.int64)
+        self.comp_in_tile[order] = np.cumsum(turn)
+        self.words = 1 << np.maximum(0, np.frexp(SPREAD * np.minimum.reduceat(self.at["n"], self.start) - 1.0)[1] - 6)
+
+    def tested(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether two rows of a tile are to be compared."""
+        comp, own, block = self.at["comp"], self.at["own"], self.at["block"]
+        one = self.at["lo"][x] == self.at["hi"][x]
+        return (comp[x] != comp[y]) & ((own[x] == 1) | (own[y] == 1)) & (one | (block[x] != block[y]))
+
+    def bounded(self, x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the bound lets pairs pass, and the likeness it stands for."""
+        both = self.at["n"][x].astype(np.int64) + self.at["n"][y]
+        most = (both - apart) // 2
+        return self.rule.whole * most >= self.rule.part * (both - most), most / (both - most)
+
+    def small(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs ``(x, y, likeness)`` of all tiles of up to ``TOGETHER`` rows, at once for every distance in the tile."""
+        few = (self.size > 1) & (self.size <= TOGETHER)
+        for width in np.unique(self.words[few]).tolist():
+            rows = np.flatnonzero((few & (self.words == width))[self.tile])
+            tile, marks = self.tile[rows], None
+            for d in range(1, TOGETHER):
+                near = np.flatnonzero(tile[:-d] == tile[d:]) if d < len(rows) else rows[:0]
+                if not len(near):
+                    break
+                near = near[self.tested(rows[near], rows[near + d])]
+                if not len(near):
+                    continue
+                if marks is None:
+                    marks = _signatures(self.bits, rows, width)
+                step = max(1, (1 << 21) // width)
+                for lo in range(0, len(near), step):
+                    some = near[lo : lo + step]
+                    apart = np.bitwise_count(marks[some] ^ marks[some + d]).sum(axis=1, dtype=np.int64)
+                    x, y = rows[some], rows[some + d]
+                    ok, like = self.bounded(x, y, apart)
+                    yield x[ok], y[ok], like[ok]
+
+    def large(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same of the other tiles, some rows of a tile against all of it."""
+        for k in np.flatnonzero(self.size > TOGETHER).tolist():
+            rows = np.arange(self.start[k], self.start[k] + self.size[k])
+            width = int(self.words[k])
+            marks = _signatures(self.bits, rows, width)
+            step = max(1, (1 << 21) // (len(rows) * width))
+            for lo in range(0, len(rows), step):
+                x, y = (g.ravel() for g in np.meshgrid(rows[lo : lo + step], rows, indexing="ij"))
+                wanted = (x < y) & self.tested(x, y)
+                x, y = x[wanted], y[wanted]
+                if not len(x):
+                    continue
+                at = int(rows[0])
+                apart = np.bitwise_count(marks[x - at] ^ marks[y - at]).sum(axis=1, dtype=np.int64)
+                ok, like = self.bounded(x, y, apart)
+                yield x[ok], y[ok], like[ok]
+
+    def forest(self, x: np.ndarray, y: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of highest bound that tie the components of each tile together, one fewer than components."""
+        names = np.concatenate([self.comp_in_tile[x], self.comp_in_tile[y]])
+        names, ends = np.unique(names, return_inverse=True)
+        u, v = ends[: len(x)], ends[len(x) :]
+        kept, left = [], np.arange(len(x))
+        while len(left):
+            side = np.concatenate([u[left], v[left]])
+            order = np.lexsort((np.tile(left, 2), -np.tile(like[left], 2), side))
+            first = np.ones(len(order), dtype=bool)
+            first[1:] = side[order][1:] != side[order][:-1]
+            best = np.unique(left[order[first] % len(left)])
+            kept.append(best)
+            root = _roots(len(names), u[best], v[best])
+            u, v = root[u], root[v]
+            left = left[u[left] != v[left]]
+        kept = np.concatenate(kept) if kept else left
+        return x[kept], y[kept]
+
+    def pairs(self, best: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        node = self.at["node"]
+        parts = [*self.small()]
+        for found in ([tuple(np.concatenate(c) for c in zip(*parts))] if parts else []):
+            x, y = self.forest(*found) if best else found[:2]
+            yield node[x], node[y]
+        for found in self.large():
+            x, y = self.forest(*found) if best else found[:2]
+            yield node[x], node[y]
+
+
+def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest number that links reach from each number."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
 def _candidates(rule: Threshold, best: bool):
     """Pairs of a tile in different components whose bound on the overlap is high enough.
 
-    With ``best`` only the pair of highest bound is given for each node.
+    With ``best`` only the pairs of highest bound that would tie a tile's components together are given.
     """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n_held = 0
-        for tile in runs(batches, ["key", "band", "lo", "hi"]):
-            m = tile.num_rows
-            if m < 2:
-                continue
-            node, n, comp, own, block = (tile.column(c).to_numpy() for c in ("node", "n", "comp", "own", "block"))
-            lo, hi = tile.column("lo")[0].as_py(), tile.column("hi")[0].as_py()
-            width = 1 << max(0, (int(n.min()) - 1).bit_length() - 6)
-            bits = np.stack([_folded(x, width) for x in tile.column("bits").to_pylist()])
-            step = max(1, (1 << 21) // (m * width))
-            for i in range(0, m, step):
-                rows = slice(i, i + step)
-                ok = (comp[rows, None] != comp) & ((own[rows, None] == 1) | (own == 1))
-                if lo != hi:
-                    ok &= block[rows, None] != block
-                if not ok.any():
-                    continue
-                apart = np.bitwise_count(bits[rows, None, :] ^ bits).sum(axis=2, dtype=np.int64)
-                both = n[rows, None].astype(np.int64) + n
-                most = (both - apart) // 2
-                ok &= rule.whole * most >= rule.part * (both - most)
-                if best:
-                    some = np.flatnonzero(ok.any(axis=1))
-                    like = np.where(ok[some], most[some] / (both[some] - most[some]), -1.0)
-                    x, y = some + i, like.argmax(axis=1)
-                else:
-                    x, y = np.nonzero(ok)
-                    x = x + i
-                    x, y = x[x < y], y[x < y]
-                if len(x):
-                    held.append((node[x], node[y]))
-                    n_held += len(x)
-            if n_held > 200_000:
-                yield _pairs(held)
-                held, n_held = [], 0
+        for table in whole_runs(batches, ["key", "band", "lo", "hi"]):
+            for x, y in Tiles(rule, table).pairs(best):
+                held.append((x, y))
+                n_held += len(x)
+                if n_held > 200_000:
+                    yield _pairs(held)
+                    held, n_held = [], 0
         if n_held:
             yield _pairs(held)
 
@@ -376,14 +506,14 @@ class Join:
         return tried.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
     def tile_rows(self) -> DataFrame:
-        """``(key, node, n)``: first shingles that several nodes have."""
-        kinds = "key bigint, node bigint, n int, often boolean"
+        """``(key, node, n, few)``: first shingles that several nodes have."""
+        kinds = "key bigint, node bigint, n int, often boolean, few boolean"
         firsts = self.docs.where("doc_id IS NOT NULL").mapInArrow(_firsts(self.frequent, self.rule, self.size), kinds)
         # texts of equal sets give equal rows; rare shingles have short runs by the sketch
-        rare = firsts.where("NOT often").repartition("key").groupBy("key", "node", "n").agg(F.lit(1).alias("_one"))
+        rare = firsts.where("NOT often").repartition("key").groupBy("key", "node", "n").agg(F.max("few").alias("few"))
         shared = rare.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_c > 1")
-        heavy = firsts.where("often").select("key", "node", "n").distinct()
-        return shared.select("key", "node", "n").union(heavy)
+        heavy = firsts.where("often").select("key", "node", "n", "few").distinct()
+        return shared.select("key", "node", "n", "few").union(heavy)
 
     def open_tiles(self, rows: DataFrame, known: DataFrame) -> DataFrame:
         """Rows of the tiles with several components; a tile has one band and the next longer one."""
@@ -392,7 +522,7 @@ class Join:
         place = lambda b, own: F.struct(b.alias("band"), F.lit(own).alias("own"))
         rows = rows.withColumn("_band", band)
         rows = rows.withColumn("_in", F.explode(F.array(place(F.col("_band"), 1), place(F.col("_band") - 1, 0))))
-        rows = cut_lineage(rows.select("key", "node", "n", "comp", "_in.band", "_in.own"))
+        rows = cut_lineage(rows.select("key", "node", "n", "few", "comp", "_in.band", "_in.own"))
         tiles = (
             rows.groupBy("key", "band")
             .agg(F.min("comp").alias("_c0"), F.max("comp").alias("_c1"), F.max("own").alias("_own"), F.count(F.lit(1)).alias("_n"))
@@ -419,18 +549,19 @@ class Join:
     def components(self) -> DataFrame:
         """``(node, component)`` of all nodes that links tie to a smaller one.
 
-        After the hubs, a round over the tiles verifies the best pair of each node only;
-        what that ties together needs no further pairs. The last round takes every pair
+        After the hubs, a round over ``FEW`` tiles of each node verifies the pairs of highest bound that would tie a tile
+        together; what they do tie together needs no further pairs. The last round takes all tiles and every pair
         across components that the bound lets pass.
         """
         known = components(cut_lineage(self.verified(cut_lineage(self.hub_pairs()))))
         rows = cut_lineage(self.tile_rows())
         marks = None
         for best in (True, False):
-            rows = self.open_tiles(rows.select("key", "node", "n").distinct() if marks is not None else rows, known)
+            rows = self.open_tiles(rows.select("key", "node", "n", "few").distinct() if marks is not None else rows, known)
             if marks is None:
                 marks = cut_lineage(self.marks(cut_lineage(rows.select("node").distinct())))
-            more = cut_lineage(self.verified(cut_lineage(self.tile_pairs(rows, marks, best))))
+            tiles = rows.where("few") if best else rows
+            more = cut_lineage(self.verified(cut_lineage(self.tile_pairs(tiles, marks, best))))
             if not more.isEmpty():
                 # what is known ties the same nodes together as the links it came from
                 known = components(known.union(more))
