@@ -114,6 +114,7 @@ def verdicts(
 ) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` of every page.
 
+    Mined rules have at most ``most_tokens`` tokens; longer ones are left out, even of higher confidence.
     At most (mean tokens per URL) / ``min_support`` tokens reach the support, which bounds
     the list of indexed tokens.
     """
