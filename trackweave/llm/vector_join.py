@@ -38,6 +38,7 @@ from trackweave.llm.runs import runs
 from trackweave.session import cut_lineage
 
 BLOCK = 512
+FEW = 64  # rows whose pairs are compared without ranks: the same windows, one array operation
 PER_CELL = 16  # vectors of a cell on average, if they were spread evenly
 WINDOW = 2.0  # half window in spreads of a pair at the threshold
 PROJECTIONS = 48
@@ -126,20 +127,27 @@ def _cells(how: Projections):
 
 
 def collisions(projected: np.ndarray, half: float) -> np.ndarray:
-    """Number of projections in which each pair collides, as a matrix."""
-    n = len(projected)
+    """Number of projections in which each pair collides, as a matrix.
+
+    Each projection is sorted; the window centred at a vector is a range of ranks, and a pair collides where
+    the one's rank is in the other's range. In few rows the ranges are read off the values themselves.
+    """
+    n, many = projected.shape
+    if n <= FEW:
+        low, high = projected - half, projected + half
+        return ((projected >= low[:, None]) & (projected <= high[:, None])).sum(axis=2, dtype=np.int16)
     count = np.zeros((n, n), dtype=np.int16)
-    for j in range(projected.shape[1]):
-        order = np.argsort(projected[:, j], kind="stable")
-        line = projected[order, j]
-        low = np.searchsorted(line, line - half, side="left")
-        high = np.searchsorted(line, line + half, side="right")
-        # the window around each vector, as marks along the sorted line
-        marks = np.zeros((n, n + 1), dtype=np.int16)
-        rows = np.arange(n)
-        marks[rows, low] += 1
-        np.add.at(marks, (rows, high), -1)
-        count[np.ix_(order, order)] += np.cumsum(marks[:, :n], axis=1, dtype=np.int16)
+    kind = np.int16 if n < 1 << 15 else np.int64
+    order = np.argsort(projected, axis=0, kind="stable")
+    rank, places = np.empty(n, dtype=kind), np.arange(n, dtype=kind)
+    for j in range(many):
+        own = projected[:, j]
+        line = own[order[:, j]]
+        rank[order[:, j]] = places
+        low = np.searchsorted(line, own - half, side="left").astype(kind)
+        high = np.searchsorted(line, own + half, side="right").astype(kind)
+        count += rank >= low[:, None]
+        count -= rank >= high[:, None]
     return count
 
 
@@ -254,5 +262,5 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.995
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
-        (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"),
+        F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"),
     )
