@@ -353,6 +353,7 @@ def tile_table(sizes, comps=None):
             "key": key, "band": zeros, "lo": zeros, "hi": zeros, "node": node, "n": np.full(n, 20, dtype=np.int32),
             "comp": node if comps is None else np.array(comps), "own": np.ones(n, dtype=np.int32), "block": zeros,
             "bits": pa.array([shingle_join.bitmap(part)] * n, pa.binary()),
+            "least": pa.array([np.zeros(shingle_join.FEW, dtype=np.uint64).tobytes()] * n, pa.binary()),
         }
     )
 
@@ -376,6 +377,27 @@ def test_first_round_gives_fewer_pairs_than_rows(monkeypatch, together):
     assert sum(len(x) for x, _ in known.pairs(True)) == 1 and sum(len(x) for x, _ in known.pairs(False)) == 9
 
 
+def test_pairs_are_given_in_the_first_tile_of_the_few():
+    """Rows that share three of their few shingles meet in three tiles and are given once; others in every tile."""
+    import pyarrow as pa
+
+    from trackweave.llm import shingle_join
+
+    few = np.array([11, 22, 33, 44], dtype=np.uint64)
+    keys = np.array([11, 22, 33, 77], dtype=np.int64)
+    table = tile_table([2, 2, 2, 2])
+    rows = {c: table.column(c) for c in table.schema.names} | {"key": np.repeat(keys, 2), "node": np.tile([5, 6], 4), "comp": np.tile([5, 6], 4)}
+
+    def given(other):
+        least = [few.tobytes(), np.array(other, dtype=np.uint64).tobytes()] * 4
+        tiles = shingle_join.Tiles(shingle_join.Threshold(), pa.table(rows | {"least": pa.array(least, pa.binary())}))
+        return sum(len(x) for x, _ in tiles.pairs(False))
+
+    before = {int(k) for k in few[:3] if shingle_join._order(np.array([k], dtype=np.uint64)) < shingle_join._order(np.array([77], dtype=np.uint64))}
+    assert given([11, 22, 33, 55]) == (1 if before else 2)
+    assert given([1, 2, 3, 0]) == 4
+
+
 @pytest.mark.parametrize("most", [0, 1 << 40])
 def test_sets_are_fetched_alike_either_way(spark, monkeypatch, most):
     """Ids sent to the tasks or, beyond the bound, joined: the same components."""

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,6 @@ AGREE = 10  # minimum hashes that a node and its hub share
 HUBS = 6  # orders in which hubs are picked
 TRIED = 3  # hubs of a node that are verified
 BLOCK = 256  # nodes of one block of a large tile
-SPREAD = 1  # bits of a signature for each shingle: with fewer, pairs far below the threshold pass the bound
 FEW = 4  # tiles of a node that the first round goes over
 HELD = 1 << 19  # shingles that a task holds before it hands them on
 TOGETHER = 48  # tiles of up to so many rows are gone over together
@@ -220,6 +220,20 @@ def _intersected(rule: Threshold):
     return check
 
 
+def _own(part: np.ndarray, late: np.ndarray, rule: Threshold) -> tuple[np.ndarray, int]:
+    """The first shingles of a set in the common order, and how many of them are rare."""
+    k = rule.first(len(part))
+    flag = late[_cells(part)]
+    rare = part[~flag]
+    own = rare[:k] if len(rare) >= k else np.concatenate([rare, part[flag][: k - len(rare)]])
+    return own, len(rare)
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The order in which a few of the first shingles are chosen."""
+    return mix(keys ^ np.uint64(0xD1B54A32D192ED03))
+
+
 def _firsts(frequent, rule: Threshold, size: int):
     """``(key, node, n, often, few)``: the first shingles of every text in the common order; ``few`` marks ``FEW`` of them.
 
@@ -237,15 +251,13 @@ def _firsts(frequent, rule: Threshold, size: int):
                 if held > HELD:
                     yield _first_rows(keys, nodes, sizes, often, few)
                     keys, nodes, sizes, often, few, held = [], [], [], [], [], 0
-                k = rule.first(n)
-                flag = late[_cells(part)]
-                rare = part[~flag]
-                own = rare[:k] if len(rare) >= k else np.concatenate([rare, part[flag][: k - len(rare)]])
+                own, rare = _own(part, late, rule)
+                k = len(own)
                 keys.append(own)
                 nodes.append(np.full(k, _node(part), dtype=np.int64))
                 sizes.append(np.full(k, n, dtype=np.int32))
-                often.append(np.arange(k) >= len(rare))
-                order = mix(own ^ np.uint64(0xD1B54A32D192ED03))
+                often.append(np.arange(k) >= rare)
+                order = _order(own)
                 few.append(order <= np.partition(order, FEW - 1)[FEW - 1] if k > FEW else np.ones(k, dtype=bool))
                 held += k
             if keys:
@@ -267,8 +279,8 @@ def _first_rows(keys, nodes, sizes, often, few) -> pa.RecordBatch:
 
 
 def bitmap(part: np.ndarray) -> bytes:
-    """Parities of the shingles per bit, with at least ``SPREAD`` bits for each shingle."""
-    bits = 1 << max(6, (SPREAD * len(part) - 1).bit_length())
+    """Parities of the shingles per bit, with at least as many bits as shingles."""
+    bits = 1 << max(6, (len(part) - 1).bit_length())
     at = (mix(part ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -281,10 +293,26 @@ def _folded(data: bytes | pa.Buffer, width: int) -> np.ndarray:
     return x
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        maps = [bitmap(np.frombuffer(p, dtype=np.uint64)) for p in batch.column("part").to_pylist()]
-        yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "bits": pa.array(maps, pa.binary())})
+def _marked(frequent, rule: Threshold):
+    """``(node, bits, least)``: the signature of each set and the ``FEW`` of its first shingles that the first round takes."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = frequent.value
+        for batch in batches:
+            maps, least = [], []
+            for value in batch.column("part"):
+                part = np.frombuffer(value.as_buffer(), dtype=np.uint64)
+                maps.append(bitmap(part))
+                own, _ = _own(part, late, rule)
+                chosen = np.zeros(FEW, dtype=np.uint64)
+                some = own[np.argsort(_order(own), kind="stable")[:FEW]]
+                chosen[: len(some)] = some
+                least.append(chosen.tobytes())
+            yield pa.RecordBatch.from_pydict(
+                {"node": batch.column("node"), "bits": pa.array(maps, pa.binary()), "least": pa.array(least, pa.binary())}
+            )
+
+    return mark
 
 
 def _signatures(column: pa.Array, rows: np.ndarray, width: int) -> np.ndarray:
@@ -306,6 +334,7 @@ class Tiles:
         columns = ("key", "band", "lo", "hi", "node", "n", "comp", "own", "block")
         self.at = {c: self.table.column(c).to_numpy() for c in columns}
         self.bits = self.table.column("bits").combine_chunks()
+        self.least = np.frombuffer(b"".join(self.table.column("least").to_pylist()), dtype=np.uint64).reshape(-1, FEW)
         new = np.ones(len(self.at["key"]), dtype=bool)
         new[1:] = np.any([self.at[c][1:] != self.at[c][:-1] for c in columns[:4]], axis=0)
         self.start = np.flatnonzero(new)
@@ -317,7 +346,7 @@ class Tiles:
         turn[1:] = (self.tile[order][1:] != self.tile[order][:-1]) | (self.at["comp"][order][1:] != self.at["comp"][order][:-1])
         self.comp_in_tile = np.empty(len(order), dtype=np.int64)
         self.comp_in_tile[order] = np.cumsum(turn)
-        self.words = 1 << np.maximum(0, np.frexp(SPREAD * np.minimum.reduceat(self.at["n"], self.start) - 1.0)[1] - 6)
+        self.words = 1 << np.maximum(0, np.frexp(np.minimum.reduceat(self.at["n"], self.start) - 1.0)[1] - 6)
 
     def tested(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether two rows of a tile are to be compared."""
@@ -391,14 +420,30 @@ class Tiles:
         kept = np.concatenate(kept) if kept else left
         return x[kept], y[kept]
 
+    def first_met(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether pairs are known not to meet in a tile that comes before this one.
+
+        Two rows with a shingle in common among the few of each are both in its tile.
+        """
+        here = _order(self.at["key"][x].view(np.uint64))
+        a, b = self.least[x], self.least[y]
+        met = np.zeros(len(x), dtype=bool)
+        for i in range(FEW):
+            before = (a[:, i] != 0) & (_order(a[:, i]) < here)
+            met |= before & (a[:, i : i + 1] == b).any(axis=1)
+        return ~met
+
     def pairs(self, best: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         node = self.at["node"]
         parts = [*self.small()]
-        for found in ([tuple(np.concatenate(c) for c in zip(*parts))] if parts else []):
-            x, y = self.forest(*found) if best else found[:2]
-            yield node[x], node[y]
-        for found in self.large():
-            x, y = self.forest(*found) if best else found[:2]
+        together = [tuple(np.concatenate(c) for c in zip(*parts))] if parts else []
+        for found in chain(together, self.large()):
+            if best:
+                x, y = self.forest(*found)
+            else:
+                x, y = found[:2]
+                first = self.first_met(x, y)
+                x, y = x[first], y[first]
             yield node[x], node[y]
 
 
@@ -544,14 +589,14 @@ class Join:
         return ready.mapInArrow(_candidates(self.rule, best), "a bigint, b bigint").distinct()
 
     def marks(self, nodes: DataFrame) -> DataFrame:
-        return self.sets_of(nodes).mapInArrow(_marked, "node bigint, bits binary")
+        return self.sets_of(nodes).mapInArrow(_marked(self.frequent, self.rule), "node bigint, bits binary, least binary")
 
     def components(self) -> DataFrame:
         """``(node, component)`` of all nodes that links tie to a smaller one.
 
         After the hubs, a round over ``FEW`` tiles of each node verifies the pairs of highest bound that would tie a tile
         together; what they do tie together needs no further pairs. The last round takes all tiles and every pair
-        across components that the bound lets pass.
+        across components that the bound lets pass, once for all tiles before which the two are known to have met.
         """
         known = components(cut_lineage(self.verified(cut_lineage(self.hub_pairs()))))
         rows = cut_lineage(self.tile_rows())
