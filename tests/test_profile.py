@@ -50,6 +50,43 @@ def test_against_brute_force(spark, m, dims, block):
         assert np.allclose([got[t][i][0] for i in range(len(near))], near)
 
 
+@pytest.mark.parametrize("kind", ["far", "ties", "zeros", "outlier", "vectors"])
+def test_bounded_pairs_give_what_all_pairs_give(kind, monkeypatch):
+    """Pieces that are summed up for near pairs alone are bit for bit those of whole pieces."""
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(5000, 3 if kind == "vectors" else 1)) * 100 + 1e6
+    if kind == "ties":
+        values = rng.integers(0, 3, values.shape).astype(float)
+    if kind == "zeros":
+        values = np.repeat(values[:500], 10, axis=0)
+    if kind == "outlier":
+        values[77] = 1e11
+    a, b = values[:2300], values[2291:]
+    quick = [*profile.nearest_within(values, 10, 5), *profile.nearest_between(a, b, 10, 2291, 5)]
+    monkeypatch.setattr(profile, "MOST_QUICK", 0)
+    whole = [*profile.nearest_within(values, 10, 5), *profile.nearest_between(a, b, 10, 2291, 5)]
+    assert all(np.array_equal(x, y) for x, y in zip(quick, whole))
+
+
+def test_blocks_grow_with_the_track(spark, monkeypatch):
+    """What is sent to the tiles is a fixed multiple of the track."""
+    sent = []
+    monkeypatch.setattr(profile, "_tasks", lambda sides: sent.append(sides) or 4)
+    for n in (300, 1200):
+        frames = spark.range(n).selectExpr("'a' AS track", "id AS pos", "CAST(id * id % 97 AS DOUBLE) AS value")
+        assert matrix_profile(frames, 4, block=8).count() == n - 3
+    few, many = (s.selectExpr("sum(length(frames)) AS n").first()["n"] for s in sent)
+    assert many < 5 * few
+
+
+def test_a_block_without_whole_frames(spark):
+    values = [[1.0, 2.0], [3.0, 1.0], [2.0, 2.0], [5.0, 0.0]] * 4
+    rows = [("a", i, None if 8 <= i < 14 else v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "track string, pos bigint, value array<double>")
+    got = {r.i: (r.mp, r.pi) for r in matrix_profile(df, 2, block=4).collect()}
+    assert got[0] == (0.0, 4) and got[10] == (np.inf, -1)
+
+
 def test_repeated_passage_is_exactly_zero(spark):
     rng = np.random.default_rng(7)
     passage = rng.normal(size=(30, 12)) * 1e3

@@ -19,7 +19,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from trackweave.operators.numbering import with_each
 
 BLOCK = 4096
+#: a block of a long track grows up to so many frames
+MOST_BLOCK = 1 << 20
 _CELLS = 125_000
+#: numbers of a window up to which products in single precision tell far windows
+MOST_QUICK = 128
+_QUICK = 2048
+#: what sums in single precision lose below their smallest numbers
+_LOST = 1e-34
+#: a piece with a larger share of pairs that may be near is computed as a whole
+_NEAR_SHARE = 0.02
 #: numbers of reference frames that go to the tasks as a model (64 MB)
 MOST_SENT = 8_000_000
 
@@ -133,6 +142,108 @@ def _none_yet(n: int) -> tuple[np.ndarray, np.ndarray]:
 # an earlier one.
 
 
+def pair_distances(a: np.ndarray, b: np.ndarray, m: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of the windows ``x`` of ``a`` and ``y`` of ``b``, as ``window_distances`` adds them up."""
+    x, y = x[:, None] + np.arange(m), y[:, None] + np.arange(m)
+    part = (a[x, 0] - b[y, 0]) ** 2
+    for k in range(1, a.shape[1]):
+        part += (a[x, k] - b[y, k]) ** 2
+    total, done, width = None, 0, 1
+    while True:
+        if m & width:
+            total = part[:, done] if total is None else total + part[:, done]
+            done += width
+        if done == m:
+            return total
+        part, width = part[:, :-width] + part[:, width:], 2 * width
+
+
+class Quick:
+    """Lower bounds of the distances between windows of ``a`` and ``b``, by products in single precision."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, m: int) -> None:
+        self.middle = a.mean(axis=0)
+        self.a, self.b, self.m = a - self.middle, b - self.middle, m
+        most = max(np.abs(self.a).max(), np.abs(self.b).max())
+        self.fits = 1e-12 < most < 1e12  # squares are neither lost nor too large
+        # single precision: rounded inputs, products and sums
+        self.share = 2.0**-24 * 4 * (m * a.shape[1] + 16)
+
+    def _windows(self, frames: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        some = np.lib.stride_tricks.sliding_window_view(frames[lo : hi + self.m - 1], self.m, axis=0).reshape(hi - lo, -1)
+        return some, np.einsum("ij,ij->i", some, some)
+
+    def columns(self, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of ``b`` and their squares, as products take them."""
+        some, squares = self._windows(self.b, left, right)
+        return np.vstack([some.T, np.ones(right - left), squares]).astype(np.float32), squares
+
+    def near(self, lo: int, hi: int, columns: tuple[np.ndarray, np.ndarray], near_a: np.ndarray, near_b: np.ndarray) -> np.ndarray:
+        """Which pairs may be nearer than what is known of either window."""
+        some, squares = self._windows(self.a, lo, hi)
+        d = np.column_stack([-2 * some, squares, np.ones(hi - lo)]).astype(np.float32) @ columns[0]
+        # nothing is nearer than 0
+        rows = np.where(near_a > 0, near_a + self.share * (squares + columns[1].max()) + _LOST, -np.inf)
+        cols = np.where(near_b > 0, near_b + self.share * (columns[1] + squares.max()) + _LOST, -np.inf)
+        up = np.float32(np.inf)
+        found = d < np.nextafter(rows.astype(np.float32), up)[:, None]
+        found |= d < np.nextafter(cols.astype(np.float32), up)
+        return found
+
+
+def _take(near: np.ndarray, at: np.ndarray, i: np.ndarray, d: np.ndarray, j: np.ndarray) -> None:
+    """Take the pairs ``(i, j)`` that beat ``near``, the first one on ties."""
+    order = np.lexsort((j, d, i))
+    i, d, j = i[order], d[order], j[order]
+    best = np.ones(len(i), dtype=bool)
+    best[1:] = i[1:] != i[:-1]
+    best &= d < near[i]
+    near[i[best]], at[i[best]] = d[best], j[best]
+
+
+def _meet(
+    a: np.ndarray, b: np.ndarray, m: int, gap: int, zone: int, best_a: tuple, best_b: tuple, first_a: int = 0, first_b: int = 0
+) -> None:
+    """Take the pairs of a window of ``a`` and one of ``b`` that beat what is known of either.
+
+    Windows are numbered from ``first_a`` and ``first_b``. Where something is known of all windows of a piece,
+    distances are summed up for the pairs alone that a lower bound lets pass.
+    """
+    (near_a, at_a), (near_b, at_b) = best_a, best_b
+    rows, cols = len(near_a), len(near_b)
+    whole = _whole(a, b)
+    height, width = _piece(m)
+    quick = Quick(a, b, m) if whole and m * a.shape[1] <= MOST_QUICK else None
+    wide = _QUICK if quick and quick.fits else width
+    for start in range(0, cols, wide):
+        stop = min(start + wide, cols)
+        columns = None
+        for lo in range(0, rows, height):
+            hi = min(lo + height, rows)
+            if wide == _QUICK and np.isfinite(near_a[lo:hi]).all() and np.isfinite(near_b[start:stop]).all():
+                if not near_a[lo:hi].any() and not near_b[start:stop].any():
+                    continue
+                columns = columns or quick.columns(start, stop)
+                found = quick.near(lo, hi, columns, near_a[lo:hi], near_b[start:stop])
+                if np.count_nonzero(found) <= _NEAR_SHARE * found.size:
+                    x, y = np.nonzero(found)
+                    x, y = x + lo, y + start
+                    apart = np.abs(gap + y - x) > zone
+                    x, y = x[apart], y[apart]
+                    d = pair_distances(a, b, m, x, y)
+                    _take(near_a, at_a, x, d, y + first_b)
+                    _take(near_b, at_b, y, d, x + first_a)
+                    continue
+            for left in range(start, stop, width):
+                right = min(left + width, stop)
+                d = window_distances(a[lo : hi + m - 1], b[left : right + m - 1], m)
+                if not whole:
+                    _finite(d)
+                _hide(d, gap + left - lo, zone)
+                _improve_rows(near_a[lo:hi], at_a[lo:hi], d, left + first_b)
+                _improve_cols(near_b[left:right], at_b[left:right], d, lo + first_a)
+
+
 def nearest_between(
     a: np.ndarray, b: np.ndarray, m: int, gap: int, zone: int
 ) -> tuple[np.ndarray, ...]:
@@ -140,31 +251,18 @@ def nearest_between(
 
     ``b`` starts ``gap`` after ``a``; pairs at most ``zone`` apart do not count.
     """
-    rows, cols = len(a) - m + 1, len(b) - m + 1
-    (near_a, at_a), (near_b, at_b) = _none_yet(rows), _none_yet(cols)
-    whole = _whole(a, b)
-    height, width = _piece(m)
-    for lo in range(0, rows, height):
-        hi = min(lo + height, rows)
-        for left in range(0, cols, width):
-            right = min(left + width, cols)
-            d = window_distances(a[lo : hi + m - 1], b[left : right + m - 1], m)
-            if not whole:
-                _finite(d)
-            _hide(d, gap + left - lo, zone)
-            _improve_rows(near_a[lo:hi], at_a[lo:hi], d, left)
-            _improve_cols(near_b[left:right], at_b[left:right], d, lo)
-    return near_a, at_a, near_b, at_b
+    best_a, best_b = _none_yet(len(a) - m + 1), _none_yet(len(b) - m + 1)
+    _meet(a, b, m, gap, zone, best_a, best_b)
+    return *best_a, *best_b
 
 
-def nearest_within(a: np.ndarray, m: int, zone: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest other window of ``a`` more than ``zone`` windows away.
+def _meet_itself(a: np.ndarray, m: int, zone: int, near: np.ndarray, at: np.ndarray, first: int) -> None:
+    """Take the pairs of windows of ``a`` that beat what is known of either; windows are numbered from ``first``.
 
     Distances are symmetric: a row range only looks at windows from its own start
     on, and serves the later ones as well.
     """
-    n = len(a) - m + 1
-    near, at = _none_yet(n)
+    n = len(near)
     whole = _whole(a)
     height, width = _piece(m)
     for lo in range(0, n, height):
@@ -175,10 +273,21 @@ def nearest_within(a: np.ndarray, m: int, zone: int) -> tuple[np.ndarray, np.nda
             if not whole:
                 _finite(d)
             _hide(d, left - lo, zone)
-            _improve_rows(near[lo:hi], at[lo:hi], d, left)
+            _improve_rows(near[lo:hi], at[lo:hi], d, left + first)
             # the square on the diagonal has served its own rows already
             later = max(left, hi)
-            _improve_cols(near[later:right], at[later:right], d[:, later - left :], lo)
+            _improve_cols(near[later:right], at[later:right], d[:, later - left :], lo + first)
+
+
+def nearest_within(a: np.ndarray, m: int, zone: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest other window of ``a`` more than ``zone`` windows away: squares on the diagonal, then all after them."""
+    n = len(a) - m + 1
+    near, at = _none_yet(n)
+    for lo in range(0, n, _QUICK):
+        hi = min(lo + _QUICK, n)
+        _meet_itself(a[lo : hi + m - 1], m, zone, near[lo:hi], at[lo:hi], lo)
+        if hi < n:
+            _meet(a[lo : hi + m - 1], a[hi:], m, hi - lo, zone, (near[lo:hi], at[lo:hi]), (near[hi:], at[hi:]), lo, hi)
     return near, at
 
 
@@ -195,6 +304,30 @@ def _matrix(column) -> np.ndarray:
     return out
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks as bytes; one without any whole frame has one number a frame."""
+    for batch in batches:
+        at, held, dims, size = 0, [], [], 0
+        for row in range(batch.num_rows):
+            some = _matrix(batch.column("_f")[row])
+            held.append(some.tobytes())
+            dims.append(some.shape[1])
+            size += some.nbytes
+            if size > 8 * _CELLS or row + 1 == batch.num_rows:
+                keys = batch.select(["track", "blk"]).slice(at, len(held))
+                yield pa.RecordBatch.from_arrays(
+                    [*keys.columns, pa.array(held, pa.binary()), pa.array(dims, pa.int32())],
+                    names=["track", "blk", "frames", "dims"],
+                )
+                at, held, dims, size = row + 1, [], [], 0
+
+
+def _unpacked(data: pa.Buffer, own: int, dims: int) -> np.ndarray:
+    """A block's frames, in as many numbers as the blocks it meets."""
+    frames = np.frombuffer(data).reshape(-1, own)
+    return frames if own == dims else np.full((len(frames), dims), np.nan)
+
+
 def _stack(column, length: int) -> np.ndarray:
     """Lists of equally many frame vectors as a stack of matrices; a missing frame is not a number."""
     frames = column.flatten()
@@ -224,6 +357,11 @@ def _tasks(df: DataFrame) -> int:
     return max(wanted, 2 * spark.sparkContext.defaultParallelism)
 
 
+def _parts_of(df: DataFrame) -> int:
+    """Blocks of a long track, so that their pairs are three for each core."""
+    return math.isqrt(6 * df.sparkSession.sparkContext.defaultParallelism) + 1
+
+
 def matrix_profile(
     frames: DataFrame, m: int, value: str = "value", block: int | None = None
 ) -> DataFrame:
@@ -233,13 +371,16 @@ def matrix_profile(
     track more than ``m / 2`` frames away and ``pi`` its position, the first one
     on ties; without any such subsequence they are infinite and -1. ``value`` is
     a number or a vector of numbers per frame; positions count 0, 1, 2, ... without
-    gaps.
+    gaps. Each block is sent once for every block of its track: blocks of long tracks grow beyond ``block``, so
+    that what is sent grows with the track and not with its square.
     """
     if block is None:
         block = max(BLOCK, 2 * m)
     if block < m:
         raise ValueError("block must hold at least one window")
     vectors = _as_vector(frames, value)
+    longest = frames.agg(F.max("pos")).first()[0] or 0
+    block = max(block, min(MOST_BLOCK, longest // _parts_of(frames) + 1))
     own = F.expr(f"pos div {block}")
     spill = (F.col("pos") % block < m - 1) & (own > 0)
     blocks = (
@@ -248,6 +389,8 @@ def matrix_profile(
         .agg(F.array_sort(F.collect_list(F.struct("pos", "_f"))).alias("_s"))
         .select("track", "blk", F.transform("_s", lambda s: s["_f"]).alias("_f"))
     )
+    kind = vectors.schema["track"].dataType.simpleString()
+    blocks = blocks.mapInArrow(_packed, f"track {kind}, blk bigint, frames binary, dims int")
     sizes = frames.groupBy("track").agg(
         F.expr(f"(max(pos) + 1 - {m}) div {block}").alias("last_blk"),
         (F.max("pos") + 1 - m).alias("last_i"),
@@ -262,25 +405,33 @@ def matrix_profile(
             F.least("blk", "other").alias("a"),
             F.greatest("blk", "other").alias("b"),
             "blk",
-            "_f",
+            "frames",
+            "dims",
         )
     )
     # one row per tile, with its one or two blocks in order
+    tasks = _tasks(sides) * (4 if longest >= block else 1)
     tiles = (
-        sides.repartition(_tasks(sides), "track", "a", "b")
+        sides.repartition(tasks, "track", "a", "b")
         .groupBy("track", "a", "b")
-        .agg(F.array_sort(F.collect_list(F.struct("blk", "_f"))).alias("_p"))
-        .select("track", "a", "b", F.transform("_p", lambda p: p["_f"]).alias("parts"))
+        .agg(F.array_sort(F.collect_list(F.struct("blk", "frames", "dims"))).alias("_p"))
+        .select(
+            "track",
+            "a",
+            "b",
+            F.transform("_p", lambda p: p["frames"]).alias("parts"),
+            F.transform("_p", lambda p: p["dims"]).alias("dims"),
+        )
     )
     zone = m // 2
-    kind = sides.schema["track"].dataType.simpleString()
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts = np.stack([batch.column(c).to_numpy() * block for c in "ab"], axis=1)
             found, waiting = [], 0
             for row, (a, b) in enumerate(starts):
-                parts = [_matrix(f) for f in batch.column("parts")[row].values]
+                dims = batch.column("dims")[row].as_py()
+                parts = [_unpacked(f.as_buffer(), k, max(dims)) for f, k in zip(batch.column("parts")[row].values, dims)]
                 if a == b:
                     d2, j = nearest_within(parts[0], m, zone)
                     i, j = np.arange(len(d2)) + a, j + a
