@@ -163,3 +163,20 @@ def test_pairs_with_a_restart_in_the_middle(spark, limit):
     # ended tracks have left nothing; each worker keeps a count and an open batch
     kept = {s["operatorName"] + str(i): s["numRowsTotal"] for i, s in enumerate(last.lastProgress["stateOperators"])}
     assert min(kept.values()) <= 3 * (SIZE + 1)
+
+
+@pytest.mark.parametrize("files", [8, 24, 144])
+def test_a_larger_table_comes_in_no_more_batches(files):
+    assert -(-files // ingest.files_per_batch(files)) == 2
+
+
+def test_one_timer_and_few_calls_for_a_part():
+    memory, calls = Memory(), []
+    memory.listTimers = lambda: calls.append("list") or iter(memory.timers)
+    cutter = state.WindowCutter(4)
+    cutter.init(memory)
+    for at in (0, 3, 3):
+        part = pd.DataFrame({"ts": pd.Timestamp(2024, 1, 1) + pd.Timedelta(at, "s"), "pos": [at], "value": [1.0]})
+        list(cutter.handleInputRows((1,), iter([part]), None))
+        assert memory.timers == {int(part["ts"][0].value // 1_000_000) + cutter.gap}
+    assert not calls

@@ -68,7 +68,8 @@ def r1_spread(spark, sf):
     root = work_path(spark, "spread")
     files = ingest.files_for(table(spark, sf, "events").count())
     state.write_in_order(timed_frames(spark, sf), f"{root}/in", "ts", files)
-    stream = ingest.read_arriving(spark, f"{root}/in", "track bigint, ts timestamp, pos bigint, value double")
+    kinds = "track bigint, ts timestamp, pos bigint, value double"
+    stream = ingest.read_arriving(spark, f"{root}/in", kinds, ingest.files_per_batch(files))
     # a recording has ended when nothing of it came for a year
     cutter = state.WindowCutter(10, 4, "right-align", gap_ms=365 * 24 * 3600 * 1000)
     with state.keyed_state(spark):

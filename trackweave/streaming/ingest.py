@@ -50,6 +50,14 @@ def files_for(rows: int, most_rows: int = 250_000, least: int = 8) -> int:
     return max(least, -(-rows // most_rows))
 
 
+def files_per_batch(files: int, batches: int = 2, least: int = 4) -> int:
+    """Files of one micro-batch, so that a table of any size arrives in so many of them.
+
+    Every open key is touched by every micro-batch: with more of them for more rows the work would grow with the square.
+    """
+    return max(least, -(-files // batches))
+
+
 def spread(df: DataFrame, time: str) -> str:
     """The time between the first and the last row, as a delay that no row exceeds."""
     seconds = df.agg((F.unix_seconds(F.max(time)) - F.unix_seconds(F.min(time))).alias("s")).first()["s"]
