@@ -180,3 +180,50 @@ def test_one_timer_and_few_calls_for_a_part():
         list(cutter.handleInputRows((1,), iter([part]), None))
         assert memory.timers == {int(part["ts"][0].value // 1_000_000) + cutter.gap}
     assert not calls
+
+
+class Places(dict):
+    """A stand-in for map state that counts its calls."""
+
+    calls = 0
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self[key] = value
+
+    def containsKey(self, key):  # noqa: N802
+        self.calls += 1
+        return key in self
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls += 1
+        del self[key]
+
+
+def test_pairs_touch_the_state_once_for_neighbouring_windows():
+    maker, maps = state.PairMaker(), {}
+    maker.init(type("Handle", (), {"getMapState": lambda self, name, *kinds: maps.setdefault(name, Places())})())
+    got = []
+    for lo in (0, 30):
+        part = pd.DataFrame({"win_idx": range(lo, lo + 30), "slice": lo, "total": 1.0, "nbr": [(w * 7 + 3) % 60 for w in range(lo, lo + 30)]})
+        got += [r for f in maker.handleInputRows((0, 1), iter([part]), None) for r in f.itertuples(index=False)]
+    assert sorted((r.anchor_win_idx, r.neighbor_win_idx) for r in got) == [(w, (w * 7 + 3) % 60) for w in range(60)]
+    assert all(r.slice == (30 if max(r.anchor_win_idx, r.neighbor_win_idx) >= 30 else 0) for r in got)
+    assert sum(m.calls for m in maps.values()) <= 10
+
+
+def test_full_batches_leave_together():
+    class Rows(Cell):
+        put = Cell.update
+
+    maker = state.BatchMaker(4)
+    maker.init(type("Handle", (), {"getListState": lambda self, *a: Rows(), "getValueState": lambda self, *a: Cell()})())
+    part = pd.DataFrame({"slice": 0, "draw": "a", "track": range(42), "anchor_win_idx": 0, "anchor_total": 0.0, "neighbor_win_idx": 0, "neighbor_total": 0.0})
+    out = list(maker.handleInputRows((2,), iter([part]), None))
+    assert len(out) == 1 and out[0]["track"].tolist() == list(range(40))
+    assert out[0]["batch"].tolist() == [i // 4 for i in range(40)] and out[0]["slot"].tolist() == [i % 4 for i in range(40)]
+    assert [r[0] for r in maker.open.get()] == [40, 41] and maker.given.get() == (10,)
