@@ -398,6 +398,31 @@ def test_pairs_are_given_in_the_first_tile_of_the_few():
     assert given([1, 2, 3, 0]) == 4
 
 
+def test_pairs_beyond_the_few_are_given_once():
+    """Rows whose few least shingles all differ, and that share seven others of the first ones, are given once, not in seven tiles."""
+    import pyarrow as pa
+
+    from trackweave.llm import shingle_join
+
+    rule, rng = shingle_join.Threshold(), np.random.default_rng(3)
+    some = rng.integers(0, 1 << 40, 15, dtype=np.uint64)
+    some = some[np.argsort(shingle_join._order(some))]
+    rest = rng.integers(1 << 62, 1 << 63, 29, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([own, some[8:], rest])) for own in (some[0:8:2], some[1:8:2])]
+    batch = pa.RecordBatch.from_pydict({"node": [5, 6], "part": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+    class Sent:
+        value = np.zeros(shingle_join.CELLS, dtype=bool)
+
+    marks = pa.Table.from_batches([*shingle_join._marked(Sent, rule)([batch])])
+    keys = some[8:].view(np.int64)
+    table = tile_table([2] * len(keys))
+    rows = {c: table.column(c) for c in table.schema.names} | {"key": np.repeat(keys, 2)}
+    rows |= {c: np.tile([5, 6], len(keys)) for c in ("node", "comp")} | {"n": np.full(2 * len(keys), 40, dtype=np.int32)}
+    rows |= {c: pa.array(marks.column(c).to_pylist() * len(keys), pa.binary()) for c in ("bits", "least")}
+    assert sum(len(x) for x, _ in shingle_join.Tiles(rule, pa.table(rows)).pairs(False)) == 1
+
+
 @pytest.mark.parametrize("most", [0, 1 << 40])
 def test_sets_are_fetched_alike_either_way(spark, monkeypatch, most):
     """Ids sent to the tasks or, beyond the bound, joined: the same components."""

@@ -48,6 +48,7 @@ HUBS = 6  # orders in which hubs are picked
 TRIED = 3  # hubs of a node that are verified
 BLOCK = 256  # nodes of one block of a large tile
 FEW = 4  # tiles of a node that the first round goes over
+MET = 16  # first shingles of a node by which the last round knows where a pair has met before
 HELD = 1 << 19  # shingles that a task holds before it hands them on
 TOGETHER = 48  # tiles of up to so many rows are gone over together
 MOST_SENT = 4_000_000  # ids broadcast at once (32 MB); beyond it texts are joined by a shuffle
@@ -294,7 +295,7 @@ def _folded(data: bytes | pa.Buffer, width: int) -> np.ndarray:
 
 
 def _marked(frequent, rule: Threshold):
-    """``(node, bits, least)``: the signature of each set and the ``FEW`` of its first shingles that the first round takes."""
+    """``(node, bits, least)``: the signature of each set and the ``MET`` smallest of its first shingles by hash, in that order."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
@@ -304,8 +305,8 @@ def _marked(frequent, rule: Threshold):
                 part = np.frombuffer(value.as_buffer(), dtype=np.uint64)
                 maps.append(bitmap(part))
                 own, _ = _own(part, late, rule)
-                chosen = np.zeros(FEW, dtype=np.uint64)
-                some = own[np.argsort(_order(own), kind="stable")[:FEW]]
+                chosen = np.zeros(MET, dtype=np.uint64)
+                some = own[np.argsort(_order(own), kind="stable")[:MET]]
                 chosen[: len(some)] = some
                 least.append(chosen.tobytes())
             yield pa.RecordBatch.from_pydict(
@@ -334,7 +335,8 @@ class Tiles:
         columns = ("key", "band", "lo", "hi", "node", "n", "comp", "own", "block")
         self.at = {c: self.table.column(c).to_numpy() for c in columns}
         self.bits = self.table.column("bits").combine_chunks()
-        self.least = np.frombuffer(b"".join(self.table.column("least").to_pylist()), dtype=np.uint64).reshape(-1, FEW)
+        self.least = np.frombuffer(b"".join(self.table.column("least").to_pylist()), dtype=np.uint64)
+        self.least = self.least.reshape(self.table.num_rows, -1)
         new = np.ones(len(self.at["key"]), dtype=bool)
         new[1:] = np.any([self.at[c][1:] != self.at[c][:-1] for c in columns[:4]], axis=0)
         self.start = np.flatnonzero(new)
@@ -423,14 +425,16 @@ class Tiles:
     def first_met(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether pairs are known not to meet in a tile that comes before this one.
 
-        Two rows with a shingle in common among the few of each are both in its tile.
+        Two rows with a shingle in common among the least of each are both in its tile.
         """
-        here = _order(self.at["key"][x].view(np.uint64))
-        a, b = self.least[x], self.least[y]
         met = np.zeros(len(x), dtype=bool)
-        for i in range(FEW):
-            before = (a[:, i] != 0) & (_order(a[:, i]) < here)
-            met |= before & (a[:, i : i + 1] == b).any(axis=1)
+        for lo in range(0, len(x), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            here = _order(self.at["key"][x[part]].view(np.uint64))
+            a, b = self.least[x[part]], self.least[y[part]]
+            for i in range(a.shape[1]):
+                before = (a[:, i] != 0) & (_order(a[:, i]) < here)
+                met[part] |= before & (a[:, i : i + 1] == b).any(axis=1)
         return ~met
 
     def pairs(self, best: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
