@@ -238,6 +238,28 @@ def test_shelves_are_bounded_and_whole(monkeypatch, spark):
     assert all(s.words <= 100 for s in closed) and shelf.words == sum(shelf.sizes)
 
 
+def test_pages_of_different_shelves_share_a_passage(spark, monkeypatch):
+    """A passage that only two pages of a host share is seen wherever the two are dealt."""
+    monkeypatch.setattr(page_text, "SALTED", 4)
+    own = lambda i: f"story number {i} has its very own words w{i}"
+    body = lambda i: f"<div><p>{own(i)}</p><p>this notice stands on just two pages m{i // 2}</p></div>"
+    rows = [(i, f"http://a.example/{i}", body(i)) for i in range(200)]
+    # copies count as one page, here and on another host
+    rows += [(300 + i, "http://a.example/c", body(14)) for i in range(3)]
+    rows += [(400 + i, "http://b.example/c", body(14)) for i in range(3)]
+    name = "spark.sql.adaptive.coalescePartitions.enabled"  # else so few rows meet in one task
+    spark.conf.set(name, "false")
+    try:
+        got = {r["page_id"]: r for r in page_text.extracted(spark.createDataFrame(rows, PAGE)).collect()}
+    finally:
+        spark.conf.unset(name)
+    assert len(got) == 206
+    assert [got[i]["text"] for i in range(200)] == [own(i) for i in range(200)]
+    assert all(got[i]["n_repeated"] == 1 for i in range(200))
+    assert {got[i]["text"] for i in (300, 301, 302)} == {own(14)}
+    assert all(got[i]["text"].endswith("two pages m7") and got[i]["n_repeated"] == 0 for i in (400, 401, 402))
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "http://A.example/x", ""), (3, "no host", "<p>text</p>"), (None, None, "<p>text</p>"), (3, "no host", "<p>text</p>")]
     rows += [(4, "HTTP://A.EXAMPLE?x", "<p>" + "long words " * 60000 + "</p>"), (5, "://", "<")]
