@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -27,6 +28,7 @@ from trackweave.llm import (
     winnowing,
 )
 from trackweave.llm.words import word_pieces
+from trackweave.session import shared_dir
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -339,6 +341,24 @@ def test_suffix_tree_keeps_every_run_seen_twice(spark, documents, head):
         assert got[i] == pytest.approx(want, rel=1e-9)
 
 
+def test_suffix_tree_in_ranges_leaves_only_its_table(spark, odd, documents, monkeypatch):
+    docs = documents.select("doc_id", "text").union(odd.select("doc_id", "text")).withColumn("held_out", F.lit(False))
+    order = lambda rows: sorted(rows, key=str)
+    whole = order(suffix_tree.scored(docs, *suffix_tree.train(docs)).collect())
+    monkeypatch.setattr(suffix_tree, "RANGE", 1 << 8)
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    tree, table = suffix_tree.train(docs)
+    assert tree.bits > 3
+    assert len(set(os.listdir(folder)) - before) == 1
+    keys = [(k, n) for r in table.collect() for k, n in zip(r["key"], r["n"])]
+    assert len({k for k, _ in keys}) == len(keys)
+    for got, want in zip(order(suffix_tree.scored(docs, tree, table).collect()), whole, strict=True):
+        assert got[:5] == want[:5]
+        assert got[5:] == pytest.approx(want[5:], rel=1e-9)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def test_suffix_tree_of_odd_rows(odd, empty):
     docs = odd.withColumn("held_out", suffix_tree.held_out(F.col("doc_id"), 10, 0))
     tree, counts = suffix_tree.train(docs)
