@@ -68,6 +68,46 @@ def test_bounded_pairs_give_what_all_pairs_give(kind, monkeypatch):
     assert all(np.array_equal(x, y) for x, y in zip(quick, whole))
 
 
+@pytest.mark.parametrize("kind", ["far", "gaps", "ties", "outliers", "steps", "vectors"])
+def test_cells_of_long_windows_give_what_all_pairs_give(kind, monkeypatch):
+    """Runs of windows with a common core are bounded at once; what is known before only leaves windows out."""
+    rng = np.random.default_rng(6)
+    values = rng.exponential(size=(4700, 2 if kind == "vectors" else 1))
+    if kind == "gaps":
+        values[[100, 2090, 3333, 4699]] = np.nan
+        values[2500] = np.inf
+    if kind == "ties":
+        values = np.tile(rng.integers(0, 2, (940, 1)).astype(float), (5, 1))
+    if kind == "outliers":
+        values[::97] *= 1e4
+    if kind == "steps":
+        values = np.repeat(np.round(values[:79], 1), 60, axis=0)[:4700]
+    a, b = values[:2349], values[2300:]
+    within = profile.nearest_within(values, 50, 25)
+    between = profile.nearest_between(a, b, 50, 2300, 25)
+    known = [(profile._above(d2).astype(float), np.full(len(d2), -1)) for d2, _ in (profile.nearest_within(x, 50, 25) for x in (a, b))]
+    before = [d2.copy() for d2, _ in known]
+    profile._meet(a, b, 50, 2300, 25, *known)
+    monkeypatch.setattr(profile, "MOST_QUICK", 0)
+    assert all(np.array_equal(x, y) for x, y in zip(within, profile.nearest_within(values, 50, 25)))
+    assert all(np.array_equal(x, y) for x, y in zip(between, profile.nearest_between(a, b, 50, 2300, 25)))
+    for (d2, at), bound, want, first in zip(known, before, between[::2], between[1::2]):
+        nearer = want < bound
+        assert np.array_equal(at, np.where(nearer, first, -1)) and np.array_equal(d2[nearer], want[nearer])
+
+
+def test_a_gap_leaves_most_pairs_to_their_bounds(monkeypatch):
+    """A missing frame takes out its own windows and does not have all pairs summed up."""
+    values = np.random.default_rng(9).exponential(size=(8000, 1))
+    values[[77, 4000]] = np.nan
+    summed = []
+    whole = profile.window_distances
+    monkeypatch.setattr(profile, "window_distances", lambda a, b, m: summed.append(len(a) * len(b)) or whole(a, b, m))
+    near, at = profile.nearest_within(values, 50, 25)
+    assert (at[28:78] == -1).all() and (at[78:3951] >= 0).all()
+    assert sum(summed) < 0.6 * 8000 * 8000 / 2
+
+
 def test_blocks_grow_with_the_track(spark, monkeypatch):
     """What is sent to the tiles is a fixed multiple of the track."""
     sent = []

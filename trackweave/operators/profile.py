@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from trackweave.operators.numbering import with_each
+from trackweave.session import cut_lineage
 
 BLOCK = 4096
 #: a block of a long track grows up to so many frames
@@ -25,10 +26,20 @@ _CELLS = 125_000
 #: numbers of a window up to which products in single precision tell far windows
 MOST_QUICK = 128
 _QUICK = 2048
+_FIRST = 512
+#: pairs of blocks of so many frames take seconds
+_HEAVY = 1 << 15
+#: runs of windows that are bounded at once
+_TALL = 256
+#: a run of windows with a common core is this part of a window
+_CORES = 6
 #: what sums in single precision lose below their smallest numbers
 _LOST = 1e-34
-#: a piece with a larger share of pairs that may be near is computed as a whole
+#: the square of a core that holds a missing frame: above all others, and no product of it is lost
+_FAR = 1e37
+#: a piece with a larger share of cells that may hold a near pair, for each pair of a cell, is computed as a whole
 _NEAR_SHARE = 0.02
+_MOST_SHARE = 0.2
 #: numbers of reference frames that go to the tasks as a model (64 MB)
 MOST_SENT = 8_000_000
 
@@ -142,62 +153,148 @@ def _none_yet(n: int) -> tuple[np.ndarray, np.ndarray]:
 # an earlier one.
 
 
-def pair_distances(a: np.ndarray, b: np.ndarray, m: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances of the windows ``x`` of ``a`` and ``y`` of ``b``, as ``window_distances`` adds them up."""
-    x, y = x[:, None] + np.arange(m), y[:, None] + np.arange(m)
-    part = (a[x, 0] - b[y, 0]) ** 2
-    for k in range(1, a.shape[1]):
-        part += (a[x, k] - b[y, k]) ** 2
+def _runs(frames: np.ndarray, length: int) -> list[np.ndarray]:
+    """All runs of ``length`` frames, for each number of a frame."""
+    return [np.lib.stride_tricks.sliding_window_view(f, length) for f in np.ascontiguousarray(frames.T)]
+
+
+def _squares(a: list[np.ndarray], b: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of the frames of the runs ``x`` and ``y``, a column for each pair."""
+    part = None
+    for u, v in zip(a, b):
+        d = np.ascontiguousarray((u[x] - v[y]).T)
+        np.multiply(d, d, out=d)
+        part = d if part is None else np.add(part, d, out=part)
+    return part
+
+
+def pair_distances(a: list[np.ndarray], b: list[np.ndarray], m: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of the runs ``x`` of ``a`` and ``y`` of ``b``, as ``window_distances`` adds them up."""
+    part = _squares(a, b, x, y)
     total, done, width = None, 0, 1
     while True:
         if m & width:
-            total = part[:, done] if total is None else total + part[:, done]
+            total = part[done] if total is None else total + part[done]
             done += width
         if done == m:
             return total
-        part, width = part[:, :-width] + part[:, width:], 2 * width
+        part, width = part[:-width] + part[width:], 2 * width
+
+
+def _true(flags: np.ndarray) -> np.ndarray:
+    """Places of the few flags that are set: eight at a time are looked at first."""
+    some = len(flags) // 8 * 8
+    words = np.flatnonzero(flags[:some].view(np.uint64) != 0)
+    at = np.flatnonzero(flags[:some].reshape(-1, 8)[words])
+    return np.append(words[at // 8] * 8 + at % 8, some + np.flatnonzero(flags[some:]))
+
+
+def _padded(values: np.ndarray, before: int, after: int, by: float) -> np.ndarray:
+    return np.pad(values, [(before, after)] + [(0, 0)] * (values.ndim - 1), constant_values=by)
 
 
 class Quick:
-    """Lower bounds of the distances between windows of ``a`` and ``b``, by products in single precision."""
+    """Finds the pairs of windows of ``a`` and ``b`` that may be near, by products in single precision.
+
+    ``many`` neighbouring windows have a core of frames in common. The distance of two cores bounds all pairs of their
+    windows that lie equally far in: a cell. One product bounds a cell; where it lets the cell pass, the frames
+    beside the cores are added for each of its pairs.
+    """
 
     def __init__(self, a: np.ndarray, b: np.ndarray, m: int) -> None:
-        self.middle = a.mean(axis=0)
-        self.a, self.b, self.m = a - self.middle, b - self.middle, m
+        self.m, self.many = m, max(1, m // _CORES)
+        ends = self.many - 1
+        self.core = m - ends
+        self.lost_a, self.lost_b = (~np.isfinite(f).all(axis=1) for f in (a, b))
+        there = a[~self.lost_a]
+        middle = there.mean(axis=0) if len(there) else np.zeros(a.shape[1])
+        self.a, self.b = (np.where(lost[:, None], 0.0, f - middle) for f, lost in ((a, self.lost_a), (b, self.lost_b)))
         most = max(np.abs(self.a).max(), np.abs(self.b).max())
         self.fits = 1e-12 < most < 1e12  # squares are neither lost nor too large
         # single precision: rounded inputs, products and sums
         self.share = 2.0**-24 * 4 * (m * a.shape[1] + 16)
+        self.whole_a, self.whole_b = _runs(a, m), _runs(b, m)
+        # what lies beside the cores; outside of the frames nothing is near
+        if ends:
+            self.beside_a, self.beside_b = _runs(_padded(a, 0, ends, np.nan), ends), _runs(_padded(b, ends, ends, np.nan), ends)
+        self.held = [np.empty(0, dtype=kind) for kind in (np.float32, bool, bool)]
+
+    def without_frames(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which windows hold a missing or non-finite frame, and so are near to nothing."""
+        return tuple(
+            np.lib.stride_tricks.sliding_window_view(lost, self.m).any(axis=1) if lost.any() else np.zeros(len(lost) - self.m + 1, dtype=bool)
+            for lost in (self.lost_a, self.lost_b)
+        )
 
-    def _windows(self, frames: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        some = np.lib.stride_tricks.sliding_window_view(frames[lo : hi + self.m - 1], self.m, axis=0).reshape(hi - lo, -1)
-        return some, np.einsum("ij,ij->i", some, some)
+    def _cores(self, frames: np.ndarray, lost: np.ndarray, lo: int, hi: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cores that begin at ``lo`` and each ``step`` after it, and their squares."""
+        stop = hi + self.core - 1
+        some = np.lib.stride_tricks.sliding_window_view(frames[lo:stop], self.core, axis=0)[::step].reshape(-1, self.core * frames.shape[1])
+        squares = np.einsum("ij,ij->i", some, some)
+        if lost[lo:stop].any():
+            squares[np.lib.stride_tricks.sliding_window_view(lost[lo:stop], self.core)[::step].any(axis=1)] = _FAR
+        return some, squares
 
     def columns(self, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of ``b`` and their squares, as products take them."""
-        some, squares = self._windows(self.b, left, right)
-        return np.vstack([some.T, np.ones(right - left), squares]).astype(np.float32), squares
-
-    def near(self, lo: int, hi: int, columns: tuple[np.ndarray, np.ndarray], near_a: np.ndarray, near_b: np.ndarray) -> np.ndarray:
-        """Which pairs may be nearer than what is known of either window."""
-        some, squares = self._windows(self.a, lo, hi)
-        d = np.column_stack([-2 * some, squares, np.ones(hi - lo)]).astype(np.float32) @ columns[0]
+        """The cores of windows of ``b`` and their squares, as products take them."""
+        some, squares = self._cores(self.b, self.lost_b, left, right + self.many - 1, 1)
+        return np.vstack([some.T, np.ones(len(some)), squares]).astype(np.float32), squares
+
+    def pairs(
+        self, lo: int, hi: int, left: int, columns: tuple[np.ndarray, np.ndarray], near_a: np.ndarray, near_b: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray] | None:
+        """``(x, y)``: the pairs that may be nearer than what is known of either window; None where cells are too many."""
+        many, (right, later) = self.many, columns
+        some, squares = self._cores(self.a, self.lost_a, lo + many - 1, hi + many - 1, many)
+        d, found, more = self._work((len(some), right.shape[1]))
+        np.matmul(np.column_stack([-2 * some, squares, np.ones(len(some))]).astype(np.float32), right, out=d)
         # nothing is nearer than 0
-        rows = np.where(near_a > 0, near_a + self.share * (squares + columns[1].max()) + _LOST, -np.inf)
-        cols = np.where(near_b > 0, near_b + self.share * (columns[1] + squares.max()) + _LOST, -np.inf)
+        near_a, near_b = (np.where(near > 0, near, -np.inf) for near in (near_a, near_b))
+        near_a = _padded(near_a, 0, -len(near_a) % many, -np.inf).reshape(-1, many)
+        near_b = np.lib.stride_tricks.sliding_window_view(_padded(near_b, many - 1, many - 1, -np.inf), many)
+        loss_a, loss_b = (self.share * np.where(s < _FAR, s, 0.0) + _LOST for s in (squares, later))
+        rows, cols = near_a.max(axis=1) + loss_a + loss_b.max(), near_b[:, 0].copy()
+        for k in range(1, many):
+            np.maximum(cols, near_b[:, k], out=cols)
+        cols += loss_b + loss_a.max()
         up = np.float32(np.inf)
-        found = d < np.nextafter(rows.astype(np.float32), up)[:, None]
-        found |= d < np.nextafter(cols.astype(np.float32), up)
-        return found
+        np.less(d, np.nextafter(rows.astype(np.float32), up)[:, None], out=found)
+        np.less(d, np.nextafter(cols.astype(np.float32), up), out=more)
+        np.logical_or(found, more, out=found)
+        if np.count_nonzero(found) > min(_NEAR_SHARE * many, _MOST_SHARE) * found.size:
+            return None
+        cell = _true(found.ravel())
+        x, y = cell // found.shape[1], cell % found.shape[1]
+        bound = np.repeat(d.ravel()[cell].astype(float)[None] - loss_a[x] - loss_b[y], many, axis=0)
+        near_a, near_b = near_a[x].T, near_b[y].T
+        x, y = lo + x * many, left + y
+        if many > 1:
+            before = _squares(self.beside_a, self.beside_b, x, y)
+            after = _squares(self.beside_a, self.beside_b, x + self.m, y + self.m)
+            for t in range(many - 1):
+                bound[many - 2 - t] = bound[many - 1 - t] + before[many - 2 - t]
+            for t in range(1, many):
+                after[t - 1] += after[t - 2] if t > 1 else 0.0
+                bound[t] += after[t - 1]
+        t, pair = np.nonzero((bound <= near_a) | (bound <= near_b))
+        return x[pair] + t, y[pair] + t - (many - 1)
+
+    def _work(self, shape: tuple[int, int]) -> list[np.ndarray]:
+        """Work arrays that are used again, good until the next call."""
+        size = shape[0] * shape[1]
+        if self.held[0].size < size:
+            self.held = [np.empty(size, dtype=h.dtype) for h in self.held]
+        return [h[:size].reshape(shape) for h in self.held]
 
 
 def _take(near: np.ndarray, at: np.ndarray, i: np.ndarray, d: np.ndarray, j: np.ndarray) -> None:
     """Take the pairs ``(i, j)`` that beat ``near``, the first one on ties."""
+    some = np.flatnonzero(d < near[i])
+    i, d, j = i[some], d[some], j[some]
     order = np.lexsort((j, d, i))
     i, d, j = i[order], d[order], j[order]
     best = np.ones(len(i), dtype=bool)
     best[1:] = i[1:] != i[:-1]
-    best &= d < near[i]
     near[i[best]], at[i[best]] = d[best], j[best]
 
 
@@ -207,41 +304,49 @@ def _meet(
     """Take the pairs of a window of ``a`` and one of ``b`` that beat what is known of either.
 
     Windows are numbered from ``first_a`` and ``first_b``. Where something is known of all windows of a piece,
-    distances are summed up for the pairs alone that a lower bound lets pass.
+    distances are summed up for the cells alone that a lower bound lets pass.
     """
     (near_a, at_a), (near_b, at_b) = best_a, best_b
     rows, cols = len(near_a), len(near_b)
     whole = _whole(a, b)
     height, width = _piece(m)
-    quick = Quick(a, b, m) if whole and m * a.shape[1] <= MOST_QUICK else None
-    wide = _QUICK if quick and quick.fits else width
+    quick = Quick(a, b, m) if m * a.shape[1] <= MOST_QUICK else None
+    tall, wide = height, width
+    if quick and quick.fits:
+        tall, wide = _TALL * quick.many, _QUICK - quick.many + 1
+        gone_a, gone_b = quick.without_frames()
+    else:
+        quick = None
     for start in range(0, cols, wide):
         stop = min(start + wide, cols)
         columns = None
-        for lo in range(0, rows, height):
-            hi = min(lo + height, rows)
-            if wide == _QUICK and np.isfinite(near_a[lo:hi]).all() and np.isfinite(near_b[start:stop]).all():
-                if not near_a[lo:hi].any() and not near_b[start:stop].any():
-                    continue
-                columns = columns or quick.columns(start, stop)
-                found = quick.near(lo, hi, columns, near_a[lo:hi], near_b[start:stop])
-                if np.count_nonzero(found) <= _NEAR_SHARE * found.size:
-                    x, y = np.nonzero(found)
-                    x, y = x + lo, y + start
-                    apart = np.abs(gap + y - x) > zone
-                    x, y = x[apart], y[apart]
-                    d = pair_distances(a, b, m, x, y)
-                    _take(near_a, at_a, x, d, y + first_b)
-                    _take(near_b, at_b, y, d, x + first_a)
+        for lo in range(0, rows, tall):
+            hi = min(lo + tall, rows)
+            if quick:
+                known_a, known_b = (np.where(g, 0.0, n) for g, n in ((gone_a[lo:hi], near_a[lo:hi]), (gone_b[start:stop], near_b[start:stop])))
+                if not known_a.any() and not known_b.any():
                     continue
-            for left in range(start, stop, width):
-                right = min(left + width, stop)
-                d = window_distances(a[lo : hi + m - 1], b[left : right + m - 1], m)
-                if not whole:
-                    _finite(d)
-                _hide(d, gap + left - lo, zone)
-                _improve_rows(near_a[lo:hi], at_a[lo:hi], d, left + first_b)
-                _improve_cols(near_b[left:right], at_b[left:right], d, lo + first_a)
+                if np.isfinite(known_a).all() and np.isfinite(known_b).all():
+                    columns = columns or quick.columns(start, stop)
+                    pairs = quick.pairs(lo, hi, start, columns, known_a, known_b)
+                    if pairs is not None:
+                        x, y = pairs
+                        some = np.flatnonzero((x < rows) & (y >= start) & (y < stop) & (np.abs(gap + y - x) > zone))
+                        x, y = x[some], y[some]
+                        d = pair_distances(quick.whole_a, quick.whole_b, m, x, y)
+                        _take(near_a, at_a, x, d, y + first_b)
+                        _take(near_b, at_b, y, d, x + first_a)
+                        continue
+            for low in range(lo, hi, height):
+                high = min(low + height, hi)
+                for left in range(start, stop, width):
+                    right = min(left + width, stop)
+                    d = window_distances(a[low : high + m - 1], b[left : right + m - 1], m)
+                    if not whole:
+                        _finite(d)
+                    _hide(d, gap + left - low, zone)
+                    _improve_rows(near_a[low:high], at_a[low:high], d, left + first_b)
+                    _improve_cols(near_b[left:right], at_b[left:right], d, low + first_a)
 
 
 def nearest_between(
@@ -283,8 +388,10 @@ def nearest_within(a: np.ndarray, m: int, zone: int) -> tuple[np.ndarray, np.nda
     """Nearest other window of ``a`` more than ``zone`` windows away: squares on the diagonal, then all after them."""
     n = len(a) - m + 1
     near, at = _none_yet(n)
-    for lo in range(0, n, _QUICK):
-        hi = min(lo + _QUICK, n)
+    hi = 0
+    while hi < n:
+        # the first ones are compared with all others before anything is known
+        lo, hi = hi, min(hi + (_QUICK if hi else _FIRST), n)
         _meet_itself(a[lo : hi + m - 1], m, zone, near[lo:hi], at[lo:hi], lo)
         if hi < n:
             _meet(a[lo : hi + m - 1], a[hi:], m, hi - lo, zone, (near[lo:hi], at[lo:hi]), (near[hi:], at[hi:]), lo, hi)
@@ -371,7 +478,8 @@ def matrix_profile(
     track more than ``m / 2`` frames away and ``pi`` its position, the first one
     on ties; without any such subsequence they are infinite and -1. ``value`` is
     a number or a vector of numbers per frame; positions count 0, 1, 2, ... without
-    gaps. Each block is sent once for every block of its track: blocks of long tracks grow beyond ``block``, so
+    gaps. Each block is first compared with itself and then sent once for every other block of its track, with
+    what it knows: blocks of long tracks grow beyond ``block``, so
     that what is sent grows with the track and not with its square.
     """
     if block is None:
@@ -395,61 +503,97 @@ def matrix_profile(
         F.expr(f"(max(pos) + 1 - {m}) div {block}").alias("last_blk"),
         (F.max("pos") + 1 - m).alias("last_i"),
     ).where("last_i >= 0").drop("last_i")
-    partner = F.explode(F.sequence(F.lit(0).cast("bigint"), "last_blk"))
+    blocks = blocks.join(sizes, "track").where("blk <= last_blk")
+    zone = m // 2
+    near = f"track {kind}, i bigint, d2 double, j bigint"
+
+    def rows_of(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        rows, *rest = (np.concatenate(x) for x in zip(*found))
+        return pa.RecordBatch.from_arrays([batch.column("track").take(pa.array(rows)), *map(pa.array, rest)], names=["track", "i", "d2", "j"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """``(batch, row, d2, j, last)`` of each block."""
+        for batch in batches:
+            for row, (data, dims) in enumerate(zip(batch.column("frames"), batch.column("dims").to_pylist())):
+                d2, j = nearest_within(_unpacked(data.as_buffer(), dims, dims), m, zone)
+                yield batch, row, d2, j, row == batch.num_rows - 1
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, waiting = [], 0
+        for batch, row, d2, j, last in within(batches):
+            first = batch.column("blk")[row].as_py() * block
+            found.append((np.full(len(d2), row), np.arange(len(d2)) + first, d2, np.where(np.isfinite(d2), j + first, -1)))
+            waiting += len(d2)
+            if waiting > _CELLS or last:
+                yield rows_of(batch, found)
+                found, waiting = [], 0
+
+    # one block a track
+    if longest < block:
+        own = blocks.repartition(_tasks(blocks), "track")
+        partial = own.mapInArrow(alone, near)
+        return _profile(partial)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, row, d2, j, _ in within(batches):
+            yield pa.RecordBatch.from_arrays(
+                [*batch.slice(row, 1).columns, *(pa.array([x.tobytes()], pa.binary()) for x in (d2, j, _above(d2)))],
+                names=[*batch.schema.names, "d2", "j", "bound"],
+            )
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, blk in enumerate(batch.column("blk").to_pylist()):
+                d2, j = (np.frombuffer(batch.column(c)[row].as_buffer(), dtype=t) for c, t in (("d2", np.float64), ("j", np.int64)))
+                i = np.arange(len(d2)) + blk * block
+                yield rows_of(batch, [(np.full(len(i), row), i, d2, np.where(np.isfinite(d2), j + blk * block, -1))])
+
+    # what a block knows of itself rules out most windows of the others
+    # blocks that take seconds are dealt over more tasks, so that few have to wait for several
+    many = (4 if block < _HEAVY else 16) * max(frames.sparkSession.sparkContext.defaultParallelism * 2, 8)
+    inside = blocks.select("track", "blk", "frames", "dims", "last_blk").repartition(many, "track", "blk")
+    inside = cut_lineage(
+        inside.mapInArrow(known, f"track {kind}, blk bigint, frames binary, dims int, last_blk bigint, d2 binary, j binary, bound binary")
+    )
     sides = (
-        blocks.join(sizes, "track")
-        .where("blk <= last_blk")
-        .withColumn("other", partner)
-        .select(
-            "track",
-            F.least("blk", "other").alias("a"),
-            F.greatest("blk", "other").alias("b"),
-            "blk",
-            "frames",
-            "dims",
-        )
+        inside.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), "last_blk")))
+        .where("other != blk")
+        .select("track", F.least("blk", "other").alias("a"), F.greatest("blk", "other").alias("b"), "blk", "frames", "dims", "bound")
     )
-    # one row per tile, with its one or two blocks in order
-    tasks = _tasks(sides) * (4 if longest >= block else 1)
+    # one row per tile, with its two blocks in order
     tiles = (
-        sides.repartition(tasks, "track", "a", "b")
+        sides.repartition(max(_tasks(sides), many), "track", "a", "b")
         .groupBy("track", "a", "b")
-        .agg(F.array_sort(F.collect_list(F.struct("blk", "frames", "dims"))).alias("_p"))
-        .select(
-            "track",
-            "a",
-            "b",
-            F.transform("_p", lambda p: p["frames"]).alias("parts"),
-            F.transform("_p", lambda p: p["dims"]).alias("dims"),
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("blk", "frames", "dims", "bound"))).alias("_p"))
+        .select("track", "a", "b", *(F.col("_p")[c].alias(c) for c in ("frames", "dims", "bound")))
     )
-    zone = m // 2
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts = np.stack([batch.column(c).to_numpy() * block for c in "ab"], axis=1)
-            found, waiting = [], 0
             for row, (a, b) in enumerate(starts):
                 dims = batch.column("dims")[row].as_py()
-                parts = [_unpacked(f.as_buffer(), k, max(dims)) for f, k in zip(batch.column("parts")[row].values, dims)]
-                if a == b:
-                    d2, j = nearest_within(parts[0], m, zone)
-                    i, j = np.arange(len(d2)) + a, j + a
-                else:
-                    near_a, at_a, near_b, at_b = nearest_between(parts[0], parts[1], m, b - a, zone)
-                    i = np.concatenate([np.arange(len(near_a)) + a, np.arange(len(near_b)) + b])
-                    d2, j = np.concatenate([near_a, near_b]), np.concatenate([at_a + b, at_b + a])
-                found.append((np.full(len(i), row), i, d2, np.where(np.isfinite(d2), j, -1)))
-                waiting += len(i)
-                if waiting > _CELLS or row == batch.num_rows - 1:
-                    rows, *rest = (np.concatenate(x) for x in zip(*found))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("track").take(pa.array(rows)), *map(pa.array, rest)],
-                        names=["track", "i", "d2", "j"],
-                    )
-                    found, waiting = [], 0
-
-    partial = tiles.mapInArrow(nearest, f"track {kind}, i bigint, d2 double, j bigint")
+                parts = [_unpacked(f.as_buffer(), k, max(dims)) for f, k in zip(batch.column("frames")[row].values, dims)]
+                best = [np.frombuffer(f.as_buffer(), dtype=np.float32).astype(float) for f in batch.column("bound")[row].values]
+                best = [(d2, np.full(len(d2), -1, dtype=np.int64)) for d2 in best]
+                _meet(*parts, m, b - a, zone, *best)
+                # windows that found nothing nearer in the other block have their row already
+                for (d2, j), first, other in zip(best, (a, b), (b, a)):
+                    i = np.flatnonzero(j >= 0)
+                    if len(i):
+                        yield rows_of(batch, [(np.full(len(i), row), i + first, d2[i], j[i] + other)])
+
+    return _profile(inside.mapInArrow(opened, near).unionByName(tiles.mapInArrow(between, near)))
+
+
+def _above(d2: np.ndarray) -> np.ndarray:
+    """Bounds in single precision that are above the distances, so that equally near windows are below them."""
+    with np.errstate(over="ignore"):
+        return np.nextafter(d2.astype(np.float32), np.float32(np.inf))
+
+
+def _profile(partial: DataFrame) -> DataFrame:
+    """The nearest of what tiles found, the first one on ties."""
     best = partial.groupBy("track", "i").agg(F.min(F.struct("d2", "j")).alias("_best"))
     return best.select(
         "track", "i", F.sqrt("_best.d2").alias("mp"), F.col("_best.j").alias("pi")
