@@ -260,6 +260,25 @@ def test_pages_of_different_shelves_share_a_passage(spark, monkeypatch):
     assert all(got[i]["text"].endswith("two pages m7") and got[i]["n_repeated"] == 0 for i in (400, 401, 402))
 
 
+def test_notices_inside_articles(spark, monkeypatch):
+    """What most articles of a host hold is a notice, wherever its pages are dealt; shared passages and copies stay."""
+    monkeypatch.setattr(page_text, "SALTED", 4)
+    notice, part = "Sign up to read more of this", "a passage that a third of the stories quote"
+    story = lambda i: f"story number {i} has very many words of its own w{i}"
+    body = lambda i: "".join(f"<p>{t}</p>" for t in [story(i)] + [part] * (i % 3 == 0) + [notice] * (i % 10 > 0))
+    page = lambda i, text: (i, f"http://a.example/{i}", f"<nav>menu</nav><article>{text}</article>")
+    rows = [page(i, body(i)) for i in range(60)]
+    # an article that is little else, copies of one article, a host of few pages
+    rows += [page(100, f"<p>{notice}</p><p>w100</p>")] + [page(200 + i, body(1)) for i in range(90)]
+    rows += [(300 + i, f"http://b.example/{i}", f"<article>{body(i)}</article>") for i in range(1, 5)]
+    got = texts(page_text.extracted(spark.createDataFrame(rows, PAGE)))
+    for i in range(60):
+        assert got[i] == "\n".join([story(i)] + [part] * (i % 3 == 0))
+    assert got[100] == f"{notice}\nw100"
+    assert {got[200 + i] for i in range(90)} == {story(1)}
+    assert all(got[300 + i].endswith(notice) for i in range(1, 5))
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "http://A.example/x", ""), (3, "no host", "<p>text</p>"), (None, None, "<p>text</p>"), (3, "no host", "<p>text</p>")]
     rows += [(4, "HTTP://A.EXAMPLE?x", "<p>" + "long words " * 60000 + "</p>"), (5, "://", "<")]
